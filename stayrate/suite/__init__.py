@@ -6,6 +6,11 @@ import importlib
 
 MODULES = (
     "cohort_queries",
+    "profile_queries",
+    "cleaning_queries",
+    "panel_queries",
+    "preparation_queries",
+    "metric_queries",
 )
 
 
