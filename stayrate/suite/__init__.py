@@ -11,6 +11,8 @@ MODULES = (
     "panel_queries",
     "preparation_queries",
     "metric_queries",
+    "model_queries",
+    "storage_queries",
 )
 
 
