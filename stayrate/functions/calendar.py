@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from calendar import monthrange
 from dataclasses import dataclass
 from datetime import date
 
@@ -62,13 +63,18 @@ class IndexCalendar:
     def end(self) -> Column:
         return self._literal(self.last)
 
+    def days(self) -> list[date]:
+        """The index dates."""
+        found = []
+        year, month = self.first.year, self.first.month
+        while (year, month) <= (self.last.year, self.last.month):
+            found.append(date(year, month, monthrange(year, month)[1]))
+            year, month = (year, month + 1) if month < 12 else (year + 1, 1)
+        return [d for d in found if self.first <= d <= self.last]
+
     def dates(self) -> Column:
-        """All index instants as one array column of fixed size."""
-        steps = F.expr(
-            f"sequence(date'{self.first:%Y-%m}-01', date'{self.last:%Y-%m}-01', interval 1 month)"
-        )
-        ends = F.transform(steps, lambda month: F.last_day(month).cast("timestamp_ntz"))
-        return F.filter(ends, lambda day: (day >= self.start) & (day <= self.end))
+        """All index instants as one constant array."""
+        return F.array(*[self._literal(d) for d in self.days()])
 
     def frame(self, spark: SparkSession, name: str = "index_date") -> DataFrame:
         return spark.range(1).select(F.explode(self.dates()).alias(name))

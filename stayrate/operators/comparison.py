@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.operators.metrics import evaluate
+from stayrate.operators.metrics import evaluate, evaluate_scores
 from stayrate.operators.ordering import ROWS_PER_BUCKET, hash_rank
 from stayrate.operators.quality import require_both_classes
 from stayrate.session import stage
@@ -163,16 +163,14 @@ def cluster_bootstrap_replicates(
         .join(salted, [cluster, "_salt"])
         .select("p", "pos", "neg", F.inline("weights"))
     )
-    labelled = sampled.select(
-        "replicate", "p",
-        F.inline(F.array(
-            F.struct(F.lit(1).alias("y"), (F.col("pos") * F.col("w")).alias("n")),
-            F.struct(F.lit(0).alias("y"), (F.col("neg") * F.col("w")).alias("n")),
-        )),
-    )
-    measured = evaluate(
-        labelled, ["replicate"], yhat=None, weight="n", rows_per_bucket=rows_per_bucket
+    none = F.lit(0).cast("bigint")
+    scores = sampled.groupBy("replicate", "p").agg(
+        F.sum(F.col("pos") * F.col("w")).alias("pos"),
+        F.sum(F.col("neg") * F.col("w")).alias("neg"),
+        F.max(none).alias("hit"),
+        F.max(none).alias("miss"),
     )
+    measured = evaluate_scores(scores, ["replicate"], False, rows_per_bucket)
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return measured.where(both).select("replicate", "average_precision")
 

@@ -28,15 +28,48 @@ def inner_all(tables: Sequence[DataFrame], key: str) -> DataFrame:
     return result
 
 
+# Keys of at most this many rows are broadcast; their number is counted first.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """Broadcast hint when the table has at most ``limit`` rows, else the table as it is.
+
+    ``rows`` saves the count when it is already known.
+    """
+    size = df.limit(limit + 1).count() if rows is None else rows
+    return F.broadcast(df) if size <= limit else df
+
+
 def members_only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``keys`` (semi-join, no DISTINCT needed)."""
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows whose key occurs in ``keys``.
+
+    The keys are made distinct first: a key that repeats millions of times is
+    combined before its shuffle, which the semi-join then reuses.
+    """
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def non_members(df: DataFrame, keys: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key does not occur in ``keys``; a NULL key is kept."""
     names = [key] if isinstance(key, str) else list(key)
-    return df.join(keys.select(*names), names, "left_anti")
+    return df.join(keys.select(*names).distinct(), names, "left_anti")
+
+
+def drop_outsiders(
+    df: DataFrame, keys: DataFrame, key: str, rows: int | None = None, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Drop rows of other entities early, where that costs no shuffle.
+
+    For fact tables about to be aggregated and left-joined to ``keys``: the
+    result is the same either way. A small key set is broadcast into the
+    scan; for a large one the facts stay as they are, because shuffling raw
+    facts by a skewed key costs more than combining them first.
+    """
+    size = keys.limit(limit + 1).count() if rows is None else rows
+    if size > limit:
+        return df
+    return df.join(F.broadcast(keys.select(key)), key, "left_semi")
 
 
 def membership_flag(df: DataFrame, keys: DataFrame, key: str | Sequence[str], name: str) -> DataFrame:
@@ -53,9 +86,8 @@ def orphan_count(df: DataFrame, key: str, reference: DataFrame, reference_key: s
     Missing keys count as unmatched rows but not as keys.
     """
     per_key = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    missing = per_key.join(
-        reference.select(F.col(reference_key).alias("_key")), "_key", "left_anti"
-    )
+    known = reference.select(F.col(reference_key).alias("_key")).distinct()
+    missing = per_key.join(known, "_key", "left_anti")
     return missing.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("unmatched_rows"),
         F.count("_key").alias("unmatched_keys"),
@@ -64,8 +96,8 @@ def orphan_count(df: DataFrame, key: str, reference: DataFrame, reference_key: s
 
 def keys_without(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys of ``left`` absent from ``right``."""
-    present = left.select(key).where(F.col(key).isNotNull())
-    return present.join(right.select(key), key, "left_anti").distinct()
+    present = left.select(key).where(F.col(key).isNotNull()).distinct()
+    return present.join(right.select(key).distinct(), key, "left_anti")
 
 
 def key_union(frames: Sequence[DataFrame]) -> DataFrame:

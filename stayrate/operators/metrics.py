@@ -94,7 +94,18 @@ def evaluate(
     AP is the step-wise sum over distinct scores; ROC-AUC counts ties half and
     is NULL for a single class.
     """
-    curve = curve_table(score_table(df, group_cols, y, p, yhat, weight), group_cols, rows_per_bucket)
+    scores = score_table(df, group_cols, y, p, yhat, weight)
+    return evaluate_scores(scores, group_cols, yhat is not None, rows_per_bucket)
+
+
+def evaluate_scores(
+    scores: DataFrame,
+    group_cols: Sequence[str] = (),
+    classed: bool = True,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """:func:`evaluate` from a table made by :func:`score_table`."""
+    curve = curve_table(scores, group_cols, rows_per_bucket)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     precision_here = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     positives, negatives = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
@@ -126,15 +137,15 @@ def evaluate(
         "brier",
         (F.col("positives") / (F.col("positives") + F.col("negatives"))).alias("prevalence"),
     ]
-    if yhat is None:
+    if not classed:
         return counted.select(*group_cols, "positives", "negatives", *ranking)
-    classed = confusion_metrics(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
+    rates = confusion_metrics(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
     return counted.select(
         *group_cols,
         "positives",
         "negatives",
         *ranking,
-        *[column.alias(name) for name, column in classed.items()],
+        *[column.alias(name) for name, column in rates.items()],
         "tn",
         "fp",
         "fn",

@@ -31,11 +31,44 @@ def _bucket_bounds(df: DataFrame, value: str, rows_per_bucket: int) -> list[floa
     return sorted(set(cuts))
 
 
-def _with_bucket(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
-    if not bounds:
-        return df.withColumn("_bucket", F.lit(0.0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
+def _accumulate(
+    rows: DataFrame,
+    buckets: DataFrame,
+    group_cols: Sequence[str],
+    bucket_order: Column,
+    row_order: Sequence[Column],
+    measures: Sequence[str],
+) -> DataFrame:
+    """Inclusive running sums over ``(group, _bucket)`` in order.
+
+    ``buckets`` holds each bucket's sums. Every bucket gets one header row
+    that sorts first and carries the sum of the buckets before it, so the
+    running sum inside the bucket is already the global one: no join, and
+    the rows are exchanged once. Adds ``cum_<m>`` and ``all_<m>``.
+    """
+    groups = list(group_cols)
+    # A few rows per group: a window over a whole group is safe here only.
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+    before = whole.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    headers = buckets.select(
+        *groups,
+        "_bucket",
+        F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(m) for m in measures],
+        *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
+    )
+    both = rows.withColumn("_row", F.lit(1)).unionByName(headers, allowMissingColumns=True)
+    running = (
+        Window.partitionBy(*groups, "_bucket")
+        .orderBy("_row", *row_order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = both.select(
+        *[c for c in both.columns if not c.startswith("all_")],
+        *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+        *[F.first(f"all_{m}", ignorenulls=True).over(running).alias(f"all_{m}") for m in measures],
+    )
+    return summed.where(F.col("_row") == 1)
 
 
 def running_totals(
@@ -46,51 +79,37 @@ def running_totals(
     descending: bool = False,
     carry: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    staged: bool = False,
 ) -> DataFrame:
     """Per group, inclusive running sums of ``measures`` in ``value`` order.
 
     ``df`` holds one row per (group, value), so aggregate first. Adds
     ``cum_<m>`` and the group total ``all_<m>`` for every measure; ``carry``
-    columns pass through. The input
-    is written once to the shared folder because it is read several times:
-    for the bucket bounds, the bucket offsets and the final scan.
+    columns pass through. The input is written once to the shared folder
+    (unless it is ``staged`` already), because it is read several times: for
+    its size, for the bucket bounds, for the bucket sums and for the result.
     """
     groups = list(group_cols)
-    table = stage(df.select(*groups, value, *measures, *carry), "running-totals")
-    bucketed = _with_bucket(table, value, _bucket_bounds(table, value, rows_per_bucket))
-
-    def direction(column: str) -> Column:
-        return F.col(column).desc() if descending else F.col(column).asc()
-
-    # One row per (group, bucket): small, so a window per group is safe here.
-    per_bucket = bucketed.groupBy(*groups, "_bucket").agg(
-        *[F.sum(m).alias(f"_sum_{m}") for m in measures]
-    )
-    within_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    before = within_group.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_bucket").alias("_g_bucket"),
-        *[F.coalesce(F.sum(f"_sum_{m}").over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
-        *[F.sum(f"_sum_{m}").over(within_group).alias(f"all_{m}") for m in measures],
-    )
-
-    inside = (
-        Window.partitionBy(*groups, "_bucket")
-        .orderBy(direction(value))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = bucketed.select("*", *[F.sum(m).over(inside).alias(f"_local_{m}") for m in measures])
-    match = F.col("_bucket") == F.col("_g_bucket")
-    for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return local.join(offsets, match, "inner").select(
-        *groups,
-        value,
-        *measures,
-        *carry,
-        *[(F.col(f"_before_{m}") + F.col(f"_local_{m}")).alias(f"cum_{m}") for m in measures],
-        *[f"all_{m}" for m in measures],
+    kept = [*groups, value, *measures, *carry]
+    table = df.select(*kept) if staged else stage(df.select(*kept), "running-totals")
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    bounds = _bucket_bounds(table, value, rows_per_bucket)
+    if not bounds:
+        whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+        running = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return table.select(
+            *kept,
+            *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+            *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
+        )
+    bucketed = Bucketizer(
+        splits=[float("-inf"), *bounds, float("inf")], inputCol=value, outputCol="_bucket"
+    ).transform(table)
+    buckets = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    summed = _accumulate(bucketed, buckets, groups, bucket_order, [order], measures)
+    return summed.select(
+        *kept, *[f"cum_{m}" for m in measures], *[f"all_{m}" for m in measures]
     )
 
 
@@ -116,23 +135,13 @@ def hash_rank(
     """
     names = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     groups = list(group_cols)
-    keyed = df.withColumn("_h", hash_key(names, seed)).withColumn(
+    keyed = df.withColumns({"_h": hash_key(names, seed), "_one": F.lit(1).cast("bigint")}).withColumn(
         "_bucket", F.substring("_h", 1, digits)
     )
-    counts = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    within_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    before = within_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_bucket").alias("_g_bucket"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_h", *names)
-    match = F.col("_bucket") == F.col("_g_bucket")
-    for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    ranked = keyed.withColumn("_local", F.row_number().over(inside) - 1).join(offsets, match, "inner")
-    return ranked.select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+    buckets = keyed.groupBy(*groups, "_bucket").agg(F.sum("_one").alias("_one"))
+    row_order = [F.col("_h"), *[F.col(n) for n in names]]
+    ranked = _accumulate(keyed, buckets, groups, F.col("_bucket").asc(), row_order, ["_one"])
+    return ranked.select(*df.columns, (F.col("cum__one") - 1).alias(name))
 
 
 def exact_quantiles(
@@ -224,9 +233,9 @@ def exact_medians(
             ["n"],
             ["column"],
             rows_per_bucket=rows_per_bucket,
+            staged=True,
         )
-        wanted = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
-        lower, upper = wanted
+        lower = upper = F.lit(None).cast("bigint")
         for c in bounds:
             lower = F.when(F.col("column") == c, F.lit((counts[c] - 1) // 2 - below.get(c, 0))).otherwise(lower)
             upper = F.when(F.col("column") == c, F.lit(counts[c] // 2 - below.get(c, 0))).otherwise(upper)

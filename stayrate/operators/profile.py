@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.operators.joins import union_all
+from stayrate.operators.joins import broadcast_if_small, members_only, union_all
 from stayrate.operators.ordering import ROWS_PER_BUCKET, exact_quantiles
+from stayrate.session import stage
 
 
 def row_profile(df: DataFrame, id_col: str) -> DataFrame:
@@ -169,19 +170,22 @@ def box_summary(
     df: DataFrame, value: str, group: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Per group: quartiles, median and the whisker ends within 1.5 IQR."""
-    quartiles = exact_quantiles(
-        df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], rows_per_bucket
+    quartiles = stage(
+        exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], rows_per_bucket),
+        "quartiles",
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.select(
         F.col(group).alias("_g"), "q1", "median", "q3",
         (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"),
     )
-    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    inside = counted.join(fences, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group, "q1", "median", "q3")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    # A few groups as a rule: then each row finds its fences without a shuffle.
+    matched = rows.join(broadcast_if_small(fences), F.col(group).eqNullSafe(F.col("_g")))
+    inside = matched.groupBy(group, "q1", "median", "q3")
     within = F.col(value).between(F.col("_low"), F.col("_high"))
     return inside.agg(
-        F.sum("_n").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.min(F.when(within, F.col(value))).alias("whisker_low"),
         F.max(F.when(within, F.col(value))).alias("whisker_high"),
     )
@@ -255,8 +259,8 @@ def last_valid_distribution(cohort: DataFrame, facts: DataFrame, key: str, expir
 
 def labels_of_members(cohort: DataFrame, facts: DataFrame, key: str, label: str, condition: Column) -> DataFrame:
     """Label counts of the entities with at least one fact meeting the condition."""
-    hit = facts.where(condition).select(key)
-    return distribution(cohort.join(hit, key, "left_semi"), [label], "entities")
+    hit = facts.where(condition)
+    return distribution(members_only(cohort, hit, key), [label], "entities")
 
 
 def anomaly_report(

@@ -20,7 +20,7 @@ from stayrate.functions.cleaning import (
     tolerant_int,
     tolerant_long,
 )
-from stayrate.operators.joins import inner_all, label_disagreements
+from stayrate.operators.joins import drop_outsiders, inner_all, label_disagreements
 from stayrate.operators.profile import distribution, share_of_total, top_values
 from stayrate.operators.quality import (
     any_negative,
@@ -105,15 +105,15 @@ def behaviour_features(
     logs: DataFrame,
     names: CohortNames = CohortNames(),
     periods: Sequence[Period] = MONTHS,
+    cohort_rows: int | None = None,
 ) -> DataFrame:
     """Active days, sums and daily average per month for every cohort member.
 
-    ``logs`` is the parsed activity log. Entities outside the cohort are
-    dropped before aggregating.
+    ``logs`` is the parsed activity log; ``cohort_rows`` saves a count.
     """
     events = row_sum("num_25", "num_50", "num_75", "num_985", "num_100")
     totals = period_totals(
-        logs.join(cohort.select(names.id), names.id, "left_semi"),
+        drop_outsiders(logs, cohort, names.id, cohort_rows),
         names.id,
         "log_date",
         {"total_secs": "total_secs", "total_num_unq": "num_unq", "total_song_events": events},
@@ -131,7 +131,7 @@ def behaviour_flow(
     cohort_rows = cohort_gate(cohort, names.id, names.label)
     logs = parse_activity(raw_logs, names.id)
     report = date_coverage(logs, ["log_date"], "log_date", FIRST_DAY, LAST_DAY)
-    features = stage(behaviour_features(cohort, logs, names), "behaviour")
+    features = stage(behaviour_features(cohort, logs, names, MONTHS, cohort_rows), "behaviour")
     days = [f"active_days_{p.suffix}" for p in MONTHS]
     averages = [f"avg_daily_secs_{p.suffix}" for p in MONTHS]
     gate_features(
@@ -166,7 +166,7 @@ def transaction_flow(
     parsed = parse_transactions(raw, names.id)
     inside = parsed.where(F.col("transaction_date").between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
     totals = transaction_totals(
-        parsed.join(cohort.select(names.id), names.id, "left_semi"),
+        drop_outsiders(parsed, cohort, names.id, cohort_rows),
         TRANSACTIONS,
         FIRST_DAY,
         LAST_DAY,

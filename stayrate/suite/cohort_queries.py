@@ -11,7 +11,7 @@ from stayrate.functions.cleaning import (
     parse_yyyymmdd,
     tolerant_int,
 )
-from stayrate.operators.joins import inner_all, label_disagreements
+from stayrate.operators.joins import drop_outsiders, inner_all, label_disagreements
 from stayrate.operators.profile import distribution, share_of_total
 from stayrate.operators.quality import any_outside, any_present, audit, bad_label
 from stayrate.operators.windows import (
@@ -28,7 +28,7 @@ SUMS = ["total_secs", "total_num_unq", "total_song_events"]
 
 def period_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cohort = I.cohort(spark, sf_dir)
-    logs = I.activity(spark, sf_dir).join(cohort.select("c_custkey"), "c_custkey", "left_semi")
+    logs = drop_outsiders(I.activity(spark, sf_dir), cohort, "c_custkey")
     totals = period_totals(logs, "c_custkey", "ts", {n: n for n in SUMS}, I.PERIODS)
     return period_features(cohort, totals, "c_custkey", I.PERIODS, SUMS, "total_secs", "avg_daily_secs")
 
@@ -62,7 +62,7 @@ BEHAVIOUR_SQL = f"{I.COHORT_SQL},\n{I.ACTIVITY_SQL},\n{_period_sql(True)}"
 
 def transaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cohort = I.cohort(spark, sf_dir)
-    facts = I.transactions(spark, sf_dir).join(cohort.select("c_custkey"), "c_custkey", "left_semi")
+    facts = drop_outsiders(I.transactions(spark, sf_dir), cohort, "c_custkey")
     totals = transaction_totals(facts, I.TRANSACTION_NAMES, I.WINDOW_START, I.WINDOW_END, I.EARLIEST)
     return transaction_features(cohort, totals, "c_custkey")
 
