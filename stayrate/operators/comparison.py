@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.operators.joins import BROADCAST_ROWS, salted_join
 from stayrate.operators.metrics import evaluate, evaluate_scores
 from stayrate.operators.ordering import ROWS_PER_BUCKET, hash_rank
 from stayrate.operators.quality import require_both_classes
-from stayrate.session import stage
+from stayrate.session import spread, stage
 
 METRICS = (
     "average_precision",
@@ -65,21 +66,24 @@ def paired_bootstrap_replicates(
     order; every row stands for one slot per replicate, whose draw points at
     an index. Draws and rows then meet in an equi-join on (class, index),
     whose keys are uniform, and collapse at once to one row per (replicate,
-    model, score).
+    model, score). Up to half a million rows are broadcast to the draws, which
+    then need no shuffle; beyond that both sides are hashed.
     """
     if replicates < MIN_REPLICATES:
         raise ValueError(f"use at least {MIN_REPLICATES} replicates")
     sizes = require_both_classes(pair, "y", "paired bootstrap")
     indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
     size = F.when(F.col("y") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
-    draws = indexed.select(
+    draws = spread(indexed.select("y", "idx"), "y", "idx").select(
         "y", "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     ).select(
         "y",
         "replicate",
         drawn_index(F.col("replicate"), F.col("y"), F.col("idx"), seed, size).alias("idx"),
     )
-    sampled = draws.join(indexed.hint("shuffle_hash"), ["y", "idx"])
+    rows = sum(sizes.values())
+    lookup = F.broadcast(indexed) if rows <= BROADCAST_ROWS else indexed.hint("shuffle_hash")
+    sampled = draws.join(lookup, ["y", "idx"])
     measured = evaluate(
         stack_models(sampled, ["replicate"]), ["replicate", "model"], rows_per_bucket=rows_per_bucket
     )
@@ -122,14 +126,15 @@ def cluster_bootstrap_replicates(
     cluster: str,
     replicates: int = 100,
     seed: int = 42,
-    salts: int = 8,
+    salts: int = 32,
+    hot_rows: int = 100_000,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Average precision per replicate, resampling whole clusters.
 
-    A cluster's rows are first reduced to counts per score and keep a salt, so
-    a cluster holding much of the table is spread over ``salts`` tasks. The
-    draws of a cluster travel as one array of at most ``replicates`` weights.
+    A cluster's rows are first reduced to counts per score; a cluster still
+    holding much of the table is then spread over ``salts`` tasks. The draws
+    of a cluster travel as one array of at most ``replicates`` weights.
     One-class replicates are left out.
     """
     rows = stage(
@@ -142,7 +147,7 @@ def cluster_bootstrap_replicates(
         hash_rank(rows.select(cluster).distinct(), cluster, seed, name="idx"), "clusters"
     )
     size = clusters.count()
-    draws = clusters.select(
+    draws = spread(clusters.select("idx"), "idx").select(
         "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     ).select(
         "replicate",
@@ -154,14 +159,10 @@ def cluster_bootstrap_replicates(
         .groupBy("idx")
         .agg(F.collect_list(F.struct("replicate", "w")).alias("weights"))
     )
-    salted = (
-        clusters.join(weights, "idx")
-        .select(cluster, "weights", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    )
-    sampled = (
-        rows.withColumn("_salt", F.pmod(F.xxhash64("p"), F.lit(salts)).cast("int"))
-        .join(salted, [cluster, "_salt"])
-        .select("p", "pos", "neg", F.inline("weights"))
+    drawn = clusters.join(weights, "idx").select(cluster, "weights")
+    joined = salted_join(spread(rows, cluster, "p"), drawn, cluster, salts, min_rows=hot_rows)
+    sampled = joined.select(
+        "p", "pos", "neg", F.inline("weights")
     )
     none = F.lit(0).cast("bigint")
     scores = sampled.groupBy("replicate", "p").agg(
@@ -176,7 +177,7 @@ def cluster_bootstrap_replicates(
 
 
 def cluster_bootstrap(
-    scored: DataFrame, cluster: str, replicates: int = 100, seed: int = 42, salts: int = 8
+    scored: DataFrame, cluster: str, replicates: int = 100, seed: int = 42
 ) -> DataFrame:
     """Mean and 95 % interval of average precision over resampled clusters.
 
@@ -192,6 +193,6 @@ def cluster_bootstrap(
         empty = scored.sparkSession.createDataFrame([], "average_precision double")
         interval = percentile_interval(empty, ["average_precision"])
     else:
-        drawn = cluster_bootstrap_replicates(scored, cluster, replicates, seed, salts)
+        drawn = cluster_bootstrap_replicates(scored, cluster, replicates, seed)
         interval = percentile_interval(drawn, ["average_precision"])
     return interval.withColumnRenamed("mean_difference", "mean_value")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stayrate.operators.metrics import evaluate
 from stayrate.operators.ordering import ROWS_PER_BUCKET, hash_key, hash_rank
 from stayrate.operators.preprocess import FEATURES
-from stayrate.session import stage
+from stayrate.session import spread, stage
 
 
 def seeded_sample(df: DataFrame, id_cols: Sequence[str] | str, n: int = 250, seed: int = 42) -> DataFrame:
@@ -98,7 +98,7 @@ def permutation_importance(
     donors = ranked.select(
         F.pmod(F.col("r") + 1, F.lit(rows)).alias("r"), F.col("x").alias("donor")
     )
-    paired = ranked.join(donors, "r")
+    paired = spread(ranked.join(donors, "r"), "r")
     slots = F.sequence(F.lit(0), F.lit(len(names)))
     # Slot 0 is the unchanged row; slot k takes feature k - 1 from the donor.
     variants = paired.select("y", "x", "donor", F.explode(slots).alias("slot")).select(

@@ -80,6 +80,38 @@ def membership_flag(df: DataFrame, keys: DataFrame, key: str | Sequence[str], na
     return joined.withColumn(name, is_observed("_hit")).drop("_hit")
 
 
+def hot_keys(df: DataFrame, key: str, share: float = 0.001, min_rows: int = 100_000) -> DataFrame:
+    """Keys holding more than ``share`` of all rows: at most ``1 / share`` of them."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.agg(F.sum("_n")).scalar()
+    return counted.where((F.col("_n") > share * total) & (F.col("_n") > min_rows)).select(key)
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    salts: int = 32,
+    share: float = 0.001,
+    min_rows: int = 100_000,
+) -> DataFrame:
+    """Inner join where the frequent keys of ``left`` are spread over ``salts`` tasks.
+
+    Rows of a hot key take a salt from their content; the right row of that
+    key is repeated once per salt. All other keys join as they are. The hot
+    keys are broadcast: there are at most ``1 / share``.
+    """
+    hot = F.broadcast(hot_keys(left, key, share, min_rows).withColumn("_hot", F.lit(True)))
+    # A hash of the row, not a random number: a recomputed task gives the same salt.
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    salted = left.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies))
+    return salted.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 def orphan_count(df: DataFrame, key: str, reference: DataFrame, reference_key: str) -> DataFrame:
     """One row: rows and distinct keys of ``df`` that ``reference`` does not hold.
 

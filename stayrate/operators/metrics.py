@@ -246,14 +246,15 @@ def best_f1_threshold(
     if tie_break not in ("precision", "lowest"):
         raise ValueError(f"unknown tie_break: {tie_break}")
     points = pr_curve(df, y, p, end_point=False, rows_per_bucket=rows_per_bucket)
-    best = points.agg(F.max("f1")).scalar()
     values = ["threshold", "precision", "recall", "f1"]
     if tie_break == "precision":
-        tied = points.where(F.col("f1") >= best - (F.lit(F1_ATOL) + F.lit(F1_RTOL) * best))
+        slack = F.lit(F1_ATOL) + F.lit(F1_RTOL) * F.max("f1")
         order = F.struct(F.col("precision"), -F.col("threshold"))
     else:
-        tied = points.where(F.col("f1") == best)
+        slack = F.lit(0.0)
         order = -F.col("threshold")
+    lowest = points.agg(F.max("f1") - slack).scalar()
+    tied = points.where(F.col("f1") >= lowest)
     picked = tied.agg(F.max_by(F.struct(*values), order).alias("s"))
     return picked.select("s.*")
 

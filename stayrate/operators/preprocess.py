@@ -25,6 +25,9 @@ from stayrate.operators.ordering import exact_medians
 
 FEATURES = "features"
 
+# A fitted encoder lists its values, so a column with more of them is refused.
+MAX_CATEGORIES = 100_000
+
 
 @dataclass(frozen=True)
 class Preprocessor:
@@ -99,8 +102,11 @@ def learn_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
 def rare_categories(df: DataFrame, columns: Sequence[str], min_frequency: int) -> dict[str, list[str]]:
     """Values seen fewer than ``min_frequency`` times, per column."""
     rare = category_counts(df, columns).where(F.col("n") < min_frequency)
+    listed = rare.where(F.col("value").isNotNull()).limit(MAX_CATEGORIES + 1).collect()
+    if len(listed) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} rare values: not categories")
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rare.collect():
+    for r in listed:
         found[r["column"]].append(r["value"])
     return found
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.errors import DataQualityError
@@ -41,7 +41,9 @@ from stayrate.operators.windows import (
     transaction_totals,
 )
 from stayrate.session import stage
+from stayrate.sources.schemas import ACTIVITY_LOG
 from stayrate.sources.sinks import write_parquet
+from stayrate.streaming.ingest import IngestTotals, ingest_batch
 
 
 @dataclass(frozen=True)
@@ -77,11 +79,30 @@ TRANSACTIONS = TransactionColumns(
 )
 
 
+def ingest_activity(spark: SparkSession, source: str, target: str) -> IngestTotals:
+    """CSV logs to Parquet with a typed date, in one folder per month.
+
+    A month window then reads only its folders, and the date filter inside
+    them reaches the scan; neither works on the date's text.
+    """
+    day = parse_yyyymmdd("date")
+    derived = {"log_date": day, "log_month": F.date_format(day, "yyyy-MM")}
+    return ingest_batch(spark, source, target, ACTIVITY_LOG, derived=derived, partition_by=("log_month",))
+
+
+def activity_window(logs: DataFrame, first: date = FIRST_DAY, last: date = LAST_DAY) -> DataFrame:
+    """Only the month folders of the window, where the log is stored by month."""
+    if "log_month" not in logs.columns:
+        return logs
+    return logs.where(F.col("log_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+
+
 def parse_activity(logs: DataFrame, id_col: str = "msno") -> DataFrame:
-    """Typed activity log; an unreadable date is NULL."""
+    """Typed activity log; an unreadable date is NULL. A stored date is kept."""
+    stored = F.col("log_date") if "log_date" in logs.columns else parse_yyyymmdd("date")
     return logs.select(
         strict_cast(id_col, "string").alias(id_col),
-        parse_yyyymmdd("date").alias("log_date"),
+        stored.alias("log_date"),
         *[
             strict_cast(c, "bigint").alias(c)
             for c in ("num_25", "num_50", "num_75", "num_985", "num_100", "num_unq")
@@ -131,7 +152,8 @@ def behaviour_flow(
     cohort_rows = cohort_gate(cohort, names.id, names.label)
     logs = parse_activity(raw_logs, names.id)
     report = date_coverage(logs, ["log_date"], "log_date", FIRST_DAY, LAST_DAY)
-    features = stage(behaviour_features(cohort, logs, names, MONTHS, cohort_rows), "behaviour")
+    window = parse_activity(activity_window(raw_logs), names.id)
+    features = stage(behaviour_features(cohort, window, names, MONTHS, cohort_rows), "behaviour")
     days = [f"active_days_{p.suffix}" for p in MONTHS]
     averages = [f"avg_daily_secs_{p.suffix}" for p in MONTHS]
     gate_features(

@@ -65,6 +65,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Over all cores, before a step that multiplies the rows.
+
+    Scan splits follow the stored bytes, and adaptive execution merges small
+    shuffle partitions; both are too few tasks when each row is about to
+    become hundreds. An explicit number of partitions is kept as it is.
+    """
+    spark = df.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    return df.repartition(tasks, *columns)
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete one path through the Hadoop file system that owns it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -46,6 +46,9 @@ def ingest_batch(
     logs = read_csv(spark, source, schema)
     if derived:
         logs = logs.withColumns(dict(derived))
+    if partition_by:
+        # Few large files per partition value; a value with most rows is split.
+        logs = logs.hint("rebalance", *partition_by)
     write_parquet(logs, target, partition_by, rows_per_part)
     return _totals(spark, target)
 

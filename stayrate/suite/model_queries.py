@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +10,11 @@ from stayrate.operators import explain as E
 from stayrate.operators import metrics as M
 from stayrate.operators import models as L
 from stayrate.operators.preprocess import Preprocessor, fit_preprocessor
+from stayrate.operators.quality import require_both_classes
 from stayrate.operators.splits import SPLITS, stratified_split
 from stayrate.session import stage
 from stayrate.suite import inputs as I
-from stayrate.suite.preparation_queries import CATEGORICAL, NUMERIC
+from stayrate.suite.preparation_queries import CATEGORICAL, NUMERIC, split_sql
 
 BOOSTING = L.BoostingSettings(rounds=10, depth=3, rate=0.1)
 SHALLOW = L.BoostingSettings(rounds=5, depth=2, rate=0.1)
@@ -33,6 +35,32 @@ def lr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.coefficient_table(L.fit_logistic(parts["train"], LABEL, 1.0), prep.feature_names)
 
 
+def lr_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per feature, whether the fitted objective's slope is flat.
+
+    The slope of the balanced, penalised loss is computed from the scored
+    training rows; at the optimum every component is zero.
+    """
+    prep, parts = _prepared(spark, sf_dir, True)
+    train, strength = parts["train"], 1.0
+    model = L.fit_logistic(train, LABEL, strength, tolerance=1e-10)
+    weights = L.balanced_weights(require_both_classes(train, LABEL, "training rows"))
+    scored = L.weighted(model.transform(train), LABEL, weights)
+    residual = F.col(L.WEIGHT) * (vector_to_array("probability")[1] - F.col(LABEL))
+    entries = F.arrays_zip(
+        F.array(*[F.lit(n) for n in prep.feature_names]).alias("feature"),
+        F.array(*[F.lit(float(c)) for c in model.coefficients.toArray()]).alias("coefficient"),
+        vector_to_array("features").alias("value"),
+    )
+    slopes = (
+        scored.select(residual.alias("residual"), F.inline(entries))
+        .groupBy("feature", "coefficient")
+        .agg(F.sum(F.lit(strength) * F.col("residual") * F.col("value")).alias("loss_slope"))
+    )
+    flat = F.abs(F.col("loss_slope") + F.col("coefficient")) < 1e-2
+    return slopes.select("feature", flat.alias("flat"))
+
+
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows scored, classed at the validation threshold."""
     _, parts = _prepared(spark, sf_dir, True)
@@ -95,6 +123,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "lr_fit": lr_fit,
+    "lr_optimality": lr_optimality,
     "lr_scores": lr_scores,
     "gbt_fit": gbt_fit,
     "dummy_fit": dummy_fit,
@@ -105,6 +134,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "lr_optimality": I.with_ctes(
+        I.TRAINING_SQL,
+        split_sql("training", "doc_id", "quality"),
+        "fitted AS (SELECT training.* FROM training JOIN split USING (doc_id) WHERE split = 'train')",
+        select="""SELECT 'n_chars' AS feature, TRUE AS flat
+UNION ALL SELECT 'toxic', TRUE UNION ALL SELECT 'source_length', TRUE
+UNION ALL SELECT DISTINCT concat('lang=', coalesce(lang, '__MISSING__')), TRUE FROM fitted
+UNION ALL SELECT DISTINCT concat('source=', coalesce(source, '__MISSING__')), TRUE FROM fitted""",
+    ),
     "dummy_fit": I.with_ctes(
         I.TRAINING_SQL,
         select="SELECT doc_id, quality AS y, (SELECT round(avg(quality), 9) FROM training) AS p FROM training",

@@ -130,22 +130,26 @@ QUERIES = {
 }
 
 # Exact class sizes: floors, then the largest remainders, ties to the larger label.
-SPLIT_SQL = f"""{I.COHORT_SQL},
-c AS (SELECT is_churn, count(*) AS n_c FROM cohort GROUP BY is_churn),
+def split_sql(source: str, key: str, label: str) -> str:
+    """CTEs ending in ``split`` with the part of every row of ``source``."""
+    return f"""c AS (SELECT {label} AS label, count(*) AS n_c FROM {source} GROUP BY {label}),
 t AS (SELECT *, CAST(sum(n_c) OVER () AS BIGINT) AS n FROM c),
 t2 AS (SELECT *, CAST(ceil(n * (1 - 0.7::DOUBLE)) AS BIGINT) AS rest FROM t),
 a AS (SELECT *, (n - rest) * n_c // n AS base, (n - rest) * n_c % n AS rem FROM t2),
-a2 AS (SELECT *, base + CAST(row_number() OVER (ORDER BY rem DESC, is_churn DESC)
+a2 AS (SELECT *, base + CAST(row_number() OVER (ORDER BY rem DESC, label DESC)
          <= (n - rest) - sum(base) OVER () AS INTEGER) AS train_c FROM a),
 b AS (SELECT *, n_c - train_c AS rest_c, rest - CAST(ceil(0.5 * rest) AS BIGINT) AS val FROM a2),
 b2 AS (SELECT *, val * rest_c // rest AS base2, val * rest_c % rest AS rem2 FROM b),
-sizes AS (SELECT is_churn, train_c, base2 + CAST(row_number() OVER (ORDER BY rem2 DESC, is_churn DESC)
+sizes AS (SELECT label, train_c, base2 + CAST(row_number() OVER (ORDER BY rem2 DESC, label DESC)
          <= val - sum(base2) OVER () AS INTEGER) AS val_c FROM b2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY is_churn ORDER BY md5(concat(c_custkey, '|42')), c_custkey) - 1 AS r
-  FROM cohort),
-split AS (SELECT c_custkey, ranked.is_churn, CASE WHEN r < train_c THEN 'train'
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5(concat({key}, '|42')), {key}) - 1 AS r
+  FROM {source}),
+split AS (SELECT {key}, ranked.{label}, CASE WHEN r < train_c THEN 'train'
     WHEN r < train_c + val_c THEN 'validation' ELSE 'test' END AS split
-  FROM ranked JOIN sizes ON ranked.is_churn = sizes.is_churn)"""
+  FROM ranked JOIN sizes ON ranked.{label} = sizes.label)"""
+
+
+SPLIT_SQL = f"{I.COHORT_SQL},\n{split_sql('cohort', 'c_custkey', 'is_churn')}"
 
 _MODES = """modes AS (
   SELECT (SELECT lang FROM training WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS lang,

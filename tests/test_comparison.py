@@ -113,11 +113,11 @@ def cluster_rows(clusters, one_class=False):
     return rows
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_cluster_replicates(spark, salts):
+@pytest.mark.parametrize("salts, hot_rows", [(32, 100_000), (8, 0)])
+def test_cluster_replicates(spark, salts, hot_rows):
     rows = cluster_rows(12)
     df = spark.createDataFrame(rows, "c string, y int, p double")
-    got = {r.replicate: r.average_precision for r in K.cluster_bootstrap_replicates(df, "c", 100, 42, salts).collect()}
+    got = {r.replicate: r.average_precision for r in K.cluster_bootstrap_replicates(df, "c", 100, 42, salts, hot_rows).collect()}
     names = sorted({r[0] for r in rows}, key=lambda n: order_key(n, 42))
     for replicate in range(1, 101):
         picked = [

@@ -81,7 +81,7 @@ def built(spark, raw, tmp_path_factory):
     folder, *_ = raw
     out = str(tmp_path_factory.mktemp("built"))
     cohort = R.load_cohort(R.read_text_csv(spark, f"{folder}/train.csv", ["msno", "is_churn"]), "msno", "is_churn")
-    totals = ingest_batch(spark, f"{folder}/logs_*.csv", f"{out}/logs", S.ACTIVITY_LOG, rows_per_part=200)
+    totals = C.ingest_activity(spark, f"{folder}/logs_*.csv", f"{out}/logs")
     reports = {
         "behaviour": C.behaviour_flow(cohort, R.read_parquet(spark, f"{out}/logs"), f"{out}/behaviour"),
         "transactions": C.transaction_flow(
@@ -101,7 +101,16 @@ def built(spark, raw, tmp_path_factory):
 def test_cohort_flows(spark, raw, built):
     _, ids, churn, transactions, members, logs = raw
     out, cohort, dataset, reports, totals = built
-    assert totals.rows == len(logs) and totals.parts >= len(logs) / 200
+    assert totals.rows == len(logs) and totals.parts >= len({x[1][:6] for x in logs})
+    unparsed = ingest_batch(spark, f"{raw[0]}/logs_*.csv", f"{out}/plain", S.ACTIVITY_LOG, rows_per_part=200)
+    assert unparsed.rows == len(logs) and unparsed.parts >= len(logs) / 200
+    plain = C.behaviour_features(cohort, C.parse_activity(R.read_parquet(spark, f"{out}/plain")))
+    doubles = [n for n, t in plain.dtypes if t == "double"]
+    exact = [df.withColumns({c: F.round(c, 6) for c in doubles}) for df in (plain, R.read_parquet(spark, f"{out}/behaviour"))]
+    assert exact[0].exceptAll(exact[1]).count() == 0 and plain.count() == PEOPLE
+    stored = C.parse_activity(C.activity_window(R.read_parquet(spark, f"{out}/logs")))
+    plan = C.behaviour_features(cohort, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_month" in plan
     assert len(dataset.columns) == 32 and dataset.count() == PEOPLE
     assert dict(dataset.dtypes)["total_num_unq_M1"] == "bigint"
     rows = {r["msno"]: r for r in dataset.collect()}
