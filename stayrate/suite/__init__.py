@@ -11,6 +11,7 @@ MODULES = (
     "panel_queries",
     "preparation_queries",
     "metric_queries",
+    "relation_queries",
     "model_queries",
     "storage_queries",
 )

@@ -131,7 +131,7 @@ QUERIES = {
 }
 
 
-def _curve(source: str, groups: str = "") -> str:
+def curve_sql(source: str, groups: str = "") -> str:
     """Counts per distinct score with running totals, best score first."""
     lead = f"{groups}, " if groups else ""
     part = f"PARTITION BY {groups} " if groups else ""
@@ -144,8 +144,8 @@ curve AS (
   FROM counted)"""
 
 
-_AP = "coalesce(sum(pos * (cp / (cp + cn)::DOUBLE)) / NULLIF(max(ap), 0), 0)"
-_AUC = "sum(neg * (cp - pos / 2.0::DOUBLE)) / NULLIF(max(ap)::DOUBLE * max(an), 0)"
+AP_SQL = "coalesce(sum(pos * (cp / (cp + cn)::DOUBLE)) / NULLIF(max(ap), 0), 0)"
+AUC_SQL = "sum(neg * (cp - pos / 2.0::DOUBLE)) / NULLIF(max(ap)::DOUBLE * max(an), 0)"
 _SINGLE = "single AS (SELECT y, p2 AS p, 1 AS w FROM classed)"
 _FIRST = "single AS (SELECT y, p, 1 AS w FROM classed)"
 _STACKED = """stacked AS (SELECT 'a' AS model, y, p, yhat, 1 AS w FROM classed
@@ -154,10 +154,10 @@ _POINTS = """points AS (
   SELECT p AS threshold, cp / (cp + cn)::DOUBLE AS precision, cp / ap::DOUBLE AS recall,
          coalesce(2 * (cp / (cp + cn)::DOUBLE) * (cp / ap::DOUBLE)
            / NULLIF(cp / (cp + cn)::DOUBLE + cp / ap::DOUBLE, 0), 0) AS f1 FROM curve)"""
-_CELLS = """cells AS (SELECT {group} count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn,
+CELLS_SQL = """cells AS (SELECT {group} count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn,
     count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp, count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn,
     count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp FROM {source} {tail})"""
-_RATES = {
+RATES_SQL = {
     "precision": "coalesce(tp::DOUBLE / NULLIF(tp + fp, 0), 0)",
     "recall": "coalesce(tp::DOUBLE / NULLIF(tp + fn, 0), 0)",
     "f1": "coalesce(2.0::DOUBLE * tp / NULLIF(2 * tp + fp + fn, 0), 0)",
@@ -168,13 +168,13 @@ _LOSS = f"-avg(CASE WHEN y = 1 THEN ln({_CLIP}) ELSE ln(1.0::DOUBLE - {_CLIP}) E
 _ALL = ["average_precision", "roc_auc", "precision", "recall", "f1", "balanced_accuracy", "log_loss"]
 _MEASURED = [
     _STACKED,
-    _curve("stacked", "model"),
-    f"ranking AS (SELECT model, {_AP} AS average_precision, {_AUC} AS roc_auc FROM curve GROUP BY model)",
+    curve_sql("stacked", "model"),
+    f"ranking AS (SELECT model, {AP_SQL} AS average_precision, {AUC_SQL} AS roc_auc FROM curve GROUP BY model)",
     f"""losses AS (SELECT model, {_LOSS} AS log_loss, avg((p - y) * (p - y)) AS brier, avg(y) AS prevalence,
   CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives FROM stacked GROUP BY model)""",
-    _CELLS.format(group="model,", source="stacked", tail="GROUP BY model"),
+    CELLS_SQL.format(group="model,", source="stacked", tail="GROUP BY model"),
     "measured AS (SELECT *, "
-    + ", ".join(f"{sql} AS {name}" for name, sql in _RATES.items())
+    + ", ".join(f"{sql} AS {name}" for name, sql in RATES_SQL.items())
     + " FROM ranking JOIN losses USING (model) JOIN cells USING (model))",
 ]
 _REPORT = """f AS (SELECT tn::DOUBLE AS tn, fp::DOUBLE AS fp, fn::DOUBLE AS fn, tp::DOUBLE AS tp FROM cells),
@@ -204,8 +204,8 @@ both_models AS (
   UNION ALL SELECT replicate, 'b', y, p2, yhat2, 1 FROM sampled
   UNION ALL SELECT 0, 'a', y, p, yhat, 1 FROM classed
   UNION ALL SELECT 0, 'b', y, p2, yhat2, 1 FROM classed),
-{_curve("both_models", "replicate, model")},
-ranking AS (SELECT replicate, model, {_AP} AS average_precision, {_AUC} AS roc_auc FROM curve GROUP BY ALL),
+{curve_sql("both_models", "replicate, model")},
+ranking AS (SELECT replicate, model, {AP_SQL} AS average_precision, {AUC_SQL} AS roc_auc FROM curve GROUP BY ALL),
 cells AS (SELECT replicate, model, 2.0::DOUBLE * sum(y * yhat) AS num, sum(y + yhat) AS den FROM both_models GROUP BY ALL),
 measured AS (SELECT *, coalesce(num / NULLIF(den, 0), 0) AS f1 FROM ranking JOIN cells USING (replicate, model)),
 long AS (UNPIVOT (SELECT replicate, model, average_precision, roc_auc, f1 FROM measured)
@@ -222,8 +222,8 @@ draws AS (
   FROM clusters, size, range(1, {REPLICATES + 1}) t(r)),
 weights AS (SELECT replicate, o_custkey, count(*) AS w FROM draws JOIN clusters USING (idx) GROUP BY ALL),
 sampled AS (SELECT replicate, y, p, w FROM classed JOIN weights USING (o_custkey)),
-{_curve("sampled", "replicate")},
-ranking AS (SELECT replicate, {_AP} AS v FROM curve GROUP BY replicate HAVING max(ap) > 0 AND max(an) > 0)"""
+{curve_sql("sampled", "replicate")},
+ranking AS (SELECT replicate, {AP_SQL} AS v FROM curve GROUP BY replicate HAVING max(ap) > 0 AND max(an) > 0)"""
 
 
 def _rounded(names: list[str]) -> str:
@@ -232,12 +232,12 @@ def _rounded(names: list[str]) -> str:
 
 ORACLES = {
     "confusion": I.with_ctes(
-        I.SCORED_SQL, _CELLS.format(group="", source="classed", tail=""), select="SELECT * FROM cells"
+        I.SCORED_SQL, CELLS_SQL.format(group="", source="classed", tail=""), select="SELECT * FROM cells"
     ),
     "class_metrics": I.with_ctes(
         I.SCORED_SQL,
-        _CELLS.format(group="", source="classed", tail=""),
-        select="SELECT *, " + ", ".join(f"round({sql}, 9) AS {name}" for name, sql in _RATES.items()) + " FROM cells",
+        CELLS_SQL.format(group="", source="classed", tail=""),
+        select="SELECT *, " + ", ".join(f"round({sql}, 9) AS {name}" for name, sql in RATES_SQL.items()) + " FROM cells",
     ),
     "all_metrics": I.with_ctes(
         I.SCORED_SQL,
@@ -247,17 +247,17 @@ ORACLES = {
         + " FROM measured",
     ),
     "roc_auc": I.with_ctes(
-        I.SCORED_SQL, _FIRST, _curve("single"), select=f"SELECT round({_AUC}, 9) AS roc_auc FROM curve"
+        I.SCORED_SQL, _FIRST, curve_sql("single"), select=f"SELECT round({AUC_SQL}, 9) AS roc_auc FROM curve"
     ),
     "avg_precision": I.with_ctes(
-        I.SCORED_SQL, _SINGLE, _curve("single"), select=f"SELECT round({_AP}, 9) AS average_precision FROM curve"
+        I.SCORED_SQL, _SINGLE, curve_sql("single"), select=f"SELECT round({AP_SQL}, 9) AS average_precision FROM curve"
     ),
     "log_loss": I.with_ctes(I.SCORED_SQL, select=f"SELECT round({_LOSS}, 9) AS log_loss FROM classed"),
     "brier": I.with_ctes(I.SCORED_SQL, select="SELECT round(avg((p - y) * (p - y)), 9) AS brier FROM classed"),
     "pr_curve": I.with_ctes(
         I.SCORED_SQL,
         _SINGLE,
-        _curve("single"),
+        curve_sql("single"),
         _POINTS,
         select=f"""SELECT threshold, {_rounded(['precision', 'recall', 'f1'])} FROM points
 UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
@@ -265,14 +265,14 @@ UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
     "roc_curve": I.with_ctes(
         I.SCORED_SQL,
         _SINGLE,
-        _curve("single"),
+        curve_sql("single"),
         select="""SELECT p AS threshold, round(cn / an::DOUBLE, 9) AS fpr, round(cp / ap::DOUBLE, 9) AS tpr FROM curve
 UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE""",
     ),
     "f1_threshold": I.with_ctes(
         I.SCORED_SQL,
         _SINGLE,
-        _curve("single"),
+        curve_sql("single"),
         _POINTS,
         "top AS (SELECT max(f1) AS m FROM points)",
         select=f"""SELECT threshold, {_rounded(['precision', 'recall', 'f1'])} FROM points, top
@@ -281,14 +281,14 @@ WHERE points.f1 >= m - (1e-8::DOUBLE + 1e-5::DOUBLE * m) ORDER BY points.precisi
     "f1_threshold_lowest": I.with_ctes(
         I.SCORED_SQL,
         _SINGLE,
-        _curve("single"),
+        curve_sql("single"),
         _POINTS,
         select=f"SELECT threshold, {_rounded(['precision', 'recall', 'f1'])} FROM points ORDER BY points.f1 DESC, threshold LIMIT 1",
     ),
     "class_report": I.with_ctes(
         I.SCORED_SQL,
         "second AS (SELECT y, yhat2 AS yhat FROM classed)",
-        _CELLS.format(group="", source="second", tail=""),
+        CELLS_SQL.format(group="", source="second", tail=""),
         _REPORT,
         select=f"SELECT label, {_rounded(['precision', 'recall', 'f1'])}, CAST(support AS BIGINT) AS support FROM report",
     ),
@@ -300,8 +300,8 @@ WHERE points.f1 >= m - (1e-8::DOUBLE + 1e-5::DOUBLE * m) ORDER BY points.precisi
     "ap_lift": I.with_ctes(
         I.SCORED_SQL,
         _SINGLE,
-        _curve("single"),
-        f"a AS (SELECT {_AP} AS ap1, max(ap) / (max(ap) + max(an))::DOUBLE AS prev FROM curve)",
+        curve_sql("single"),
+        f"a AS (SELECT {AP_SQL} AS ap1, max(ap) / (max(ap) + max(an))::DOUBLE AS prev FROM curve)",
         select="""SELECT round(prev, 9) AS prevalence, round(ap1, 9) AS average_precision,
   round(ap1 / greatest(prev, 1e-12), 9) AS lift FROM a""",
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -26,6 +27,17 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+SAME_TYPE = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def plain(value):
     if isinstance(value, Decimal):
         return float(value)
@@ -58,12 +70,18 @@ def compare(query, sql: str, spark, connection, sf_dir: str) -> tuple[list[str],
     df = query(spark, sf_dir)
     names, rows = ordered(df.columns, [tuple(r) for r in df.collect()])
     cursor = connection.execute(sql)
-    wanted_names, wanted = ordered([d[0] for d in cursor.description], cursor.fetchall())
+    description = cursor.description
+    wanted_names, wanted = ordered([d[0] for d in description], cursor.fetchall())
     if names != wanted_names:
         return [f"columns {names} != {wanted_names}"], len(rows)
     if len(rows) != len(wanted):
         return [f"rows {len(rows)} != {len(wanted)}"], len(rows)
-    problems = []
+    types = {d[0]: str(d[1]) for d in description}
+    problems = [
+        f"type of {name}: {kind_name} is not {types[name]}"
+        for name, kind_name in df.dtypes
+        if SAME_TYPE.get(kind_name) != types[name]
+    ]
     for got, want in zip(rows, wanted):
         for name, a, b in zip(names, got, want):
             if a != b or (a is not None and kind(a) != kind(b)):
@@ -77,7 +95,9 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+    conf.update(pair.split("=", 1) for pair in os.environ.get("CHECK_CONF", "").split(",") if pair)
+    spark = build_session("check", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
