@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayrate.errors import DataQualityError
 from stayrate.functions.cleaning import is_observed
 from stayrate.operators.quality import require, require_unique_key
+from stayrate.session import stage
 
 
 def left_one_to_one(left: DataFrame, right: DataFrame, key: str | Sequence[str], subject: str) -> DataFrame:
@@ -207,7 +208,8 @@ def align_scored(left: DataFrame, right: DataFrame, subject: str = "scored sets"
     """Two scored sets side by side: ``(id, y, p_a, yhat_a, p_b, yhat_b)``.
 
     Full outer join with a side check: both sets must hold the same ids, once
-    each, with the same actual labels.
+    each, with the same actual labels. The join is stored, so that the check
+    and whatever follows do not repeat it.
     """
     require_unique_key(left, "id", f"{subject} (first)")
     require_unique_key(right, "id", f"{subject} (second)")
@@ -223,7 +225,7 @@ def align_scored(left: DataFrame, right: DataFrame, subject: str = "scored sets"
         F.col("probability").alias("p_b"),
         F.col("prediction").alias("yhat_b"),
     )
-    joined = a.join(b, "id", "full")
+    joined = stage(a.join(b, "id", "full"), "aligned")
     rows = require(
         joined,
         {

@@ -9,6 +9,7 @@ one bucket are sorted together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -79,19 +80,18 @@ def running_totals(
     descending: bool = False,
     carry: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    staged: bool = False,
 ) -> DataFrame:
     """Per group, inclusive running sums of ``measures`` in ``value`` order.
 
     ``df`` holds one row per (group, value), so aggregate first. Adds
     ``cum_<m>`` and the group total ``all_<m>`` for every measure; ``carry``
-    columns pass through. The input is written once to the shared folder
-    (unless it is ``staged`` already), because it is read several times: for
-    its size, for the bucket bounds, for the bucket sums and for the result.
+    columns pass through. The input is written once to the shared folder,
+    because it is read several times: for its size, for the bucket bounds, for
+    the bucket sums and for the result.
     """
     groups = list(group_cols)
     kept = [*groups, value, *measures, *carry]
-    table = df.select(*kept) if staged else stage(df.select(*kept), "running-totals")
+    table = stage(df.select(*kept), "running-totals")
     order = F.col(value).desc() if descending else F.col(value).asc()
     bounds = _bucket_bounds(table, value, rows_per_bucket)
     if not bounds:
@@ -187,10 +187,11 @@ def exact_medians(
 ) -> dict[str, float | None]:
     """Exact interpolated median of every column; None for a column without values.
 
-    Two scans and no full sort: mergeable sketches first bracket the middle
-    ranks of all columns, then one pass counts the rows below each bracket
-    and keeps only the distinct values inside it. A bracket that misses its
-    rank (the sketch bound failed) is redone over the whole range.
+    Three scans and no full sort: mergeable sketches first bracket the middle
+    ranks of all columns, one aggregate row counts what lies below each
+    bracket, and only values inside a bracket are emitted and counted. A
+    bracket that misses its rank (the sketch bound failed) is redone over the
+    whole range.
     """
     columns = list(columns)
     if not columns:
@@ -212,33 +213,29 @@ def exact_medians(
     medians: dict[str, float | None] = {c: None for c in columns}
 
     def resolve(bounds: dict[str, tuple[float, float]]) -> dict[str, float | None]:
-        entries = [
-            F.when(F.col(c) < lo, F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("value")))
-            .when(F.col(c) <= hi, F.struct(F.lit(c).alias("column"), F.col(c).alias("value")))
-            for c, (lo, hi) in bounds.items()
-        ]
+        below = clean.agg(
+            *[F.count_if(F.col(c) < lo).alias(c) for c, (lo, _) in bounds.items()]
+        ).first().asDict()
+        within = {c: F.col(c).between(lo, hi) for c, (lo, hi) in bounds.items()}
+        entries = F.array(
+            *[
+                F.when(hit, F.struct(F.lit(c).alias("column"), F.col(c).alias("value")))
+                for c, hit in within.items()
+            ]
+        )
         counted = (
-            clean.select(F.explode(F.array(*entries)).alias("e"))
-            .where(F.col("e").isNotNull())
+            clean.where(reduce(lambda a, b: a | b, within.values()))
+            .select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
             .groupBy("e.column", "e.value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        counted = stage(counted, "medians")
-        below = {
-            r["column"]: r["n"] for r in counted.where(F.col("value").isNull()).collect()
-        }
         inside = running_totals(
-            counted.where(F.col("value").isNotNull()),
-            "value",
-            ["n"],
-            ["column"],
-            rows_per_bucket=rows_per_bucket,
-            staged=True,
+            counted, "value", ["n"], ["column"], rows_per_bucket=rows_per_bucket
         )
         lower = upper = F.lit(None).cast("bigint")
         for c in bounds:
-            lower = F.when(F.col("column") == c, F.lit((counts[c] - 1) // 2 - below.get(c, 0))).otherwise(lower)
-            upper = F.when(F.col("column") == c, F.lit(counts[c] // 2 - below.get(c, 0))).otherwise(upper)
+            lower = F.when(F.col("column") == c, F.lit((counts[c] - 1) // 2 - below[c])).otherwise(lower)
+            upper = F.when(F.col("column") == c, F.lit(counts[c] // 2 - below[c])).otherwise(upper)
         rows = (
             inside.withColumn("lower", lower)
             .withColumn("upper", upper)

@@ -16,7 +16,7 @@ def compare_predictions(
     first: DataFrame, second: DataFrame, output: str, replicates: int = 2000, seed: int = 42
 ) -> dict[str, DataFrame]:
     """Align, measure and bootstrap two sets from ``load_predictions``; store the reports."""
-    pair = stage(align_scored(first, second), "aligned")
+    pair = align_scored(first, second)
     metrics = evaluate(stack_models(pair), ["model"])
     differences = model_comparison(pair)
     intervals = stage(paired_bootstrap(pair, replicates, seed), "bootstrap")
