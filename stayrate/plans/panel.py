@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -77,6 +77,39 @@ EXCLUDED = [
 ]
 ID, TARGET = "subscriber_id", "target_churn_30d"
 
+# What each predictor means: calculation, source table, unit.
+FEATURE_NOTES = {
+    "acquisition_channel": ("category as recorded at sign-up", "account", "category"),
+    "acquisition_campaign": ("category as recorded at sign-up", "account", "category"),
+    "customer_segment": ("category as recorded at sign-up", "account", "category"),
+    "province": ("category as recorded at sign-up", "account", "category"),
+    "account_age_days": ("index date minus account creation", "account", "days"),
+    "subscriber_tenure_days": ("index date minus acquisition", "account", "days"),
+    "subscription_age_days": ("index date minus subscription start, negative before it", "subscription", "days"),
+    "view_sessions_90d": ("distinct sessions", "viewing", "count"),
+    "viewing_seconds_90d": ("sum of viewing duration", "viewing", "seconds"),
+    "mean_completion_90d": ("mean completion rate", "viewing", "proportion"),
+    "mean_pause_count_90d": ("mean pauses per session row", "viewing", "count"),
+    "abandonment_rate_90d": ("share of abandoned rows", "viewing", "proportion"),
+    "days_since_last_viewing": ("index date minus the last event in the window", "viewing", "days"),
+    "engagement_events_90d": ("event rows", "engagement", "count"),
+    "distinct_event_types_90d": ("distinct event types", "engagement", "count"),
+    "search_events_90d": ("search events", "engagement", "count"),
+    "content_click_rate_90d": ("share of known click indicators that are true", "engagement", "proportion"),
+    "scroll_count_90d": ("sum of scroll counts", "engagement", "count"),
+    "days_since_last_engagement": ("index date minus the last event in the window", "engagement", "days"),
+    "billing_events_90d": ("billing rows", "billing", "count"),
+    "amount_charged_90d": ("sum of charges", "billing", "currency"),
+    "failed_payment_events_90d": ("rows flagged as failed", "billing", "count"),
+    "refunds_90d": ("rows flagged as refunded", "billing", "count"),
+    "refund_amount_90d": ("sum of refunds", "billing", "currency"),
+    "mean_charge_90d": ("mean charge", "billing", "currency"),
+    "days_since_last_billing": ("index date minus the last event in the window", "billing", "days"),
+    "view_sessions_observed_90d": ("1 when the window has viewing rows", "viewing", "flag"),
+    "engagement_events_observed_90d": ("1 when the window has engagement rows", "engagement", "flag"),
+    "billing_events_observed_90d": ("1 when the window has billing rows", "billing", "flag"),
+}
+
 
 def clean_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Category columns normalised in every table."""
@@ -212,6 +245,19 @@ def build_panel(
     )
 
 
+def feature_dictionary(panel: DataFrame, predictors: Sequence[str]) -> DataFrame:
+    """One row per predictor: calculation, source, unit, time reference."""
+    rows = []
+    for position, name in enumerate(predictors):
+        calculation, source, unit = FEATURE_NOTES.get(name, (None, None, None))
+        reference = "window before the index date" if name.endswith("_90d") or "_last_" in name else "index date"
+        rows.append((position, name, calculation, source, unit, reference))
+    return panel.sparkSession.createDataFrame(
+        rows,
+        "position int, feature string, calculation string, source string, unit string, time_reference string",
+    )
+
+
 def panel_checks(panel: DataFrame) -> DataFrame:
     """Gate the grain; report negative tenures, durations and charges."""
     require_unique_key(panel, [ID, "index_date"], "panel grain")

@@ -66,9 +66,30 @@ def split_flow(
     write_parquet(assigned.select(id_col, "split"), f"{output}/split_assignments")
     summary = split_summary(assigned, "split", id_col, label)
     write_json(summary, f"{output}/split_summary")
+    parts = {r["split"]: r for r in summary.collect()}
+    rows = sum(r["rows"] for r in parts.values())
+    positives = sum(r["positives"] for r in parts.values())
     write_json_document(
         dataset.sparkSession,
-        {"seed": seed, "numeric": numeric, "categorical": named},
+        {
+            "seed": seed,
+            "numeric": numeric,
+            "categorical": named,
+            "rows": rows,
+            "labels": {
+                "0": {"rows": rows - positives, "proportion": round(1 - positives / rows, 6)},
+                "1": {"rows": positives, "proportion": round(positives / rows, 6)},
+            },
+            "splits": {
+                n: {
+                    "rows": r["rows"],
+                    "positives": r["positives"],
+                    "negatives": r["rows"] - r["positives"],
+                    "positive_rate": round(r["positives"] / r["rows"], 6),
+                }
+                for n, r in parts.items()
+            },
+        },
         f"{output}/preprocessing_summary",
     )
     return summary
@@ -249,6 +270,9 @@ def panel_experiment(
     result = _finish(winner, rows, vectors, keys, label, "lowest")
     test = result.predictions
 
+    write_csv(
+        panel_plan.feature_dictionary(panel, [*numeric, *categorical]), f"{output}/feature_dictionary"
+    )
     write_csv(split_summary(split, "split", id_col, label, when), f"{output}/split_summary")
     write_csv(label_counts_by_split(split, "split", label, list(ranges)), f"{output}/target_counts")
     write_csv(

@@ -189,6 +189,9 @@ def test_training_and_comparison(spark, built, tmp_path):
     out, _, dataset, reports, _ = built
     assert {r.split: r.rows for r in reports["split"].collect()} == {"train": 139, "validation": 30, "test": 31}
     split = training.attach_split(dataset, R.read_parquet(spark, f"{out}/split/split_assignments"), "msno")
+    document = read_json_document(spark, f"{out}/split/preprocessing_summary")
+    assert document["rows"] == PEOPLE and document["splits"]["train"]["rows"] == 139
+    assert len(document["numeric"]) == 26 and document["categorical"] == training.COHORT_CATEGORIES
     linear = training.train_logistic(split, "msno", "is_churn", output=f"{tmp_path}/lr")
     boosted = training.train_boosted(
         split, "msno", "is_churn", settings={"small": L.BoostingSettings(5, 2, 0.1)}, output=f"{tmp_path}/gbt"
@@ -232,13 +235,13 @@ def test_panel_experiment(spark, tmp_path):
     assert {c["model"] for c in result.candidates} == {"boosted small", "prior"}
     for name in (
         "split_summary", "target_counts", "overlap", "test_predictions", "test_metrics", "class_report",
-        "score_diagnostics", "pr_curve", "roc_curve", "cluster_bootstrap", "attribution",
+        "score_diagnostics", "feature_dictionary", "pr_curve", "roc_curve", "cluster_bootstrap", "attribution",
     ):
         assert spark.read.option("header", True).csv(f"{tmp_path}/run/{name}").columns, name
     written = spark.read.option("header", True).csv(f"{tmp_path}/run/test_predictions")
     assert written.count() == panel.where("index_date > timestamp_ntz'2024-04-30'").count()
     document = read_json_document(spark, f"{tmp_path}/run/experiment")
-    assert len(document["features"]) == 29
+    assert len(document["features"]) == 29 and set(document["features"]) == set(P.FEATURE_NOTES)
 
 
 def test_raw_audit(spark):
