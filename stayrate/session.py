@@ -48,9 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/stayrate/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/stayrate/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -88,5 +93,8 @@ def remove_path(spark: SparkSession, path: str) -> bool:
 
 
 def release_staged(spark: SparkSession) -> bool:
-    """Drop everything :func:`stage` wrote under this session's shared folder."""
-    return remove_path(spark, f"{shared_dir(spark)}/stayrate")
+    """Drop everything :func:`stage` wrote for this application.
+
+    Call it when no DataFrame built on a staged result is needed any more.
+    """
+    return remove_path(spark, _own_dir(spark))

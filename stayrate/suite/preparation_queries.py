@@ -121,7 +121,7 @@ QUERIES = {
     "impute_median": impute_median,
     "column_medians": order_medians,
     "missing_flags": missing_flags,
-    "scale_population": scale_population,
+    "scale_pop": scale_population,
     "impute_mode": impute_mode,
     "pool_rare": pool_rare,
     "feature_matrix": feature_matrix,
@@ -181,7 +181,7 @@ FROM split GROUP BY split""",
         I.TRAINING_SQL,
         select="SELECT doc_id, CAST(n_chars IS NULL AS INTEGER)::DOUBLE AS missing_n_chars FROM training",
     ),
-    "scale_population": I.with_ctes(
+    "scale_pop": I.with_ctes(
         I.TRAINING_SQL,
         """s AS (SELECT avg(toxic) AS m1, stddev_pop(toxic) AS s1, avg(source_length) AS m2,
   stddev_pop(source_length) AS s2 FROM training)""",
