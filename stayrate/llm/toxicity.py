@@ -325,12 +325,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
     """``docs`` with the score of each whole text (NULL as empty) in a further column."""
     place = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = Reader(model)
         for batch in batches:
-            scores = score_batch(shared.value, reader, list(text_bytes(batch.column(place))))
+            scores = score_batch(model, reader, list(text_bytes(batch.column(place))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
