@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import contamination, packing, pseudonyms, simhash, toxicity
+from stayrate.llm import automaton, contamination, packing, pseudonyms, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
     "op4_decontamination": op4_decontamination,
     "op6_toxicity": op6_toxicity,
