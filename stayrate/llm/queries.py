@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import automaton, contamination, packing, pseudonyms, simhash, toxicity
+from stayrate.llm import archive, automaton, contamination, packing, pseudonyms, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,8 +43,11 @@ QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_warc": archive.ROUND_TRIP_SQL,
+}
