@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import archive, automaton, contamination, packing, pseudonyms, repeats, simhash, toxicity
+from stayrate.llm import archive, automaton, contamination, graph_search, packing, pseudonyms, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
+    "op3_nearest": op3_nearest,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
