@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import archive, automaton, contamination, graph_search, packing, pseudonyms, repeats, simhash, toxicity
+from stayrate.llm import archive, automaton, contamination, graph_search, licenses, packing, pseudonyms, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
 }
 ORACLES = {
     "op5_warc": archive.ROUND_TRIP_SQL,
