@@ -43,7 +43,7 @@ def beam_search(queries: np.ndarray, entries: np.ndarray, vectors: np.ndarray, l
     ids = np.full((count, beam), -1, np.int64)
     near = np.full((count, beam), -np.inf, np.float32)
     width = min(beam, entries.shape[1])
-    first = np.einsum("qd,qed->qe", queries, vectors[entries])
+    first = np.where(entries < 0, -np.inf, np.einsum("qd,qed->qe", queries, vectors[entries]))
     order = np.argsort(-first, axis=1, kind="stable")[:, :width]
     ids[:, :width], near[:, :width] = entries[rows, order], first[rows, order]
     done = ids < 0
@@ -125,7 +125,7 @@ class Graph:
             ids, near = beam_search(queries, entries, self.vectors, self.levels[level], beam if here.any() else WIDE)
             if here.any():
                 self._connect(level, batch[here], ids[here], near[here])
-            entries = np.where(ids[:, :WIDE] >= 0, ids[:, :WIDE], ids[:, :1])
+            entries = ids[:, :WIDE]
 
     def _connect(self, level: int, nodes: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
         links = self.levels[level]
@@ -156,7 +156,7 @@ class Graph:
             entries = np.full((len(part), 1), self.entry, np.int64)
             for level in range(int(self.heights[self.entry]), -1, -1):
                 ids, _ = beam_search(part, entries, self.vectors, self.levels[level], max(beam, wanted) if level == 0 else WIDE)
-                entries = np.where(ids[:, :WIDE] >= 0, ids[:, :WIDE], ids[:, :1])
+                entries = ids[:, :WIDE]
             out.append(ids[:, :wanted])
         return np.concatenate(out) if out else np.zeros((0, wanted), np.int64)
 
@@ -168,6 +168,13 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of the rows, scaled by powers of two, which rounds nothing and keeps the
+    squares of very small or large components."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: components all finite and not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -260,8 +267,7 @@ def search_index(index: DataFrame, queries: DataFrame, wanted: int, beam: int =
         asked = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         found = graph.search(unit(asked), min(wanted, size), beam)
         at, place = np.nonzero(found >= 0)
-        a, b = asked[at], vectors[found[at, place]]
-        score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+        score = cosine(asked[at], vectors[found[at, place]])
         ids = pa.array([row["ids"][i] for i in found[at, place]], pa.list_(kind))
         return pa.table([table.column("id").take(pa.array(at)), ids, pa.array(score)], ["query_id", "ids", "score"])
 
