@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayrate.operators.joins import BROADCAST_ROWS, salted_join
 from stayrate.operators.metrics import evaluate, evaluate_scores
-from stayrate.operators.ordering import ROWS_PER_BUCKET, hash_rank
+from stayrate.operators.ordering import hash_rank
 from stayrate.operators.quality import require_both_classes
 from stayrate.session import spread, stage
 
@@ -36,7 +36,7 @@ def stack_models(pair: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return pair.select(*keep, "y", F.inline(models))
 
 
-def model_comparison(pair: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def model_comparison(pair: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """``(metric, model_a, model_b, difference)`` for every metric; difference is b - a."""
     measured = evaluate(stack_models(pair), ["model"], rows_per_bucket=rows_per_bucket)
     long = measured.unpivot(["model"], list(METRICS), "metric", "value")
@@ -58,7 +58,7 @@ def drawn_index(replicate: Column, stratum: Column, slot: Column, seed: int, siz
 
 
 def paired_bootstrap_replicates(
-    pair: DataFrame, replicates: int, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
+    pair: DataFrame, replicates: int, seed: int = 42, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Per replicate, b - a of each bootstrap metric.
 
@@ -111,7 +111,7 @@ def percentile_interval(values: DataFrame, metrics: Sequence[str], level: float
 
 
 def paired_bootstrap(
-    pair: DataFrame, replicates: int = 2000, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
+    pair: DataFrame, replicates: int = 2000, seed: int = 42, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Observed difference (b - a) and its 95 % percentile interval, per metric."""
     drawn = paired_bootstrap_replicates(pair, replicates, seed, rows_per_bucket)
@@ -128,7 +128,7 @@ def cluster_bootstrap_replicates(
     seed: int = 42,
     salts: int = 32,
     hot_rows: int = 100_000,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Average precision per replicate, resampling whole clusters.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.operators.metrics import evaluate
-from stayrate.operators.ordering import ROWS_PER_BUCKET, hash_key, hash_rank
+from stayrate.operators.ordering import hash_key, hash_rank
 from stayrate.operators.preprocess import FEATURES
 from stayrate.session import spread, stage
 
@@ -79,7 +79,7 @@ def permutation_importance(
     label: str,
     names: Sequence[str],
     seed: int = 42,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Drop in average precision when one feature is shuffled, per feature.
 

@@ -14,12 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.cleaning import at_threshold
-from stayrate.operators.ordering import ROWS_PER_BUCKET, exact_quantiles, running_totals
+from stayrate.operators.ordering import exact_quantiles, running_totals
 
 # Fixed value: spacing of doubles at 1, the clipping bound of the log loss.
 EPSILON = 2.220446049250313e-16
 
 
+def gated(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """``df`` that fails when it is read with a label other than 0 or 1, or a score that
+    is NULL or NaN: such a row has no place in any ranking, whatever the size."""
+    score = F.col(p).cast("double")
+    label_ok = F.coalesce((F.col(y) == 1) | (F.col(y) == 0), F.lit(False))
+    score_ok = score.isNotNull() & ~F.isnan(score)
+    return df.withColumns(
+        {
+            y: F.when(label_ok, F.col(y)).otherwise(F.raise_error(F.lit(f"{y}: labels must be 0 or 1"))),
+            p: F.when(score_ok, score).otherwise(F.raise_error(F.lit(f"{p}: scores must be numbers"))),
+        }
+    )
+
+
 def score_table(
     df: DataFrame,
     group_cols: Sequence[str] = (),
@@ -35,7 +49,7 @@ def score_table(
     def total(condition: Column) -> Column:
         return F.sum(F.when(condition, one).otherwise(0).cast("bigint"))
 
-    return df.groupBy(*group_cols, F.col(p).cast("double").alias("p")).agg(
+    return gated(df, y, p).groupBy(*group_cols, F.col(p).alias("p")).agg(
         total(F.col(y) == 1).alias("pos"),
         total(F.col(y) == 0).alias("neg"),
         total((F.col(y) == 1) & called).alias("hit"),
@@ -44,7 +58,7 @@ def score_table(
 
 
 def curve_table(
-    scores: DataFrame, group_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+    scores: DataFrame, group_cols: Sequence[str] = (), rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Score table with true and false positives at every threshold, best score first."""
     return running_totals(
@@ -87,7 +101,7 @@ def evaluate(
     p: str = "p",
     yhat: str | None = "yhat",
     weight: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Every metric of each group in one row.
 
@@ -102,7 +116,7 @@ def evaluate_scores(
     scores: DataFrame,
     group_cols: Sequence[str] = (),
     classed: bool = True,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """:func:`evaluate` from a table made by :func:`score_table`."""
     curve = curve_table(scores, group_cols, rows_per_bucket)
@@ -171,17 +185,17 @@ def class_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
 
 def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     clipped = F.least(F.greatest(F.col(p), F.lit(EPSILON)), F.lit(1.0 - EPSILON))
-    return df.agg(
+    return gated(df, y, p).agg(
         (-F.avg(F.when(F.col(y) == 1, F.ln(clipped)).otherwise(F.ln(F.lit(1.0) - clipped)))).alias("log_loss")
     )
 
 
 def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return df.agg(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2.0))).alias("brier"))
+    return gated(df, y, p).agg(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2.0))).alias("brier"))
 
 
 def pr_curve(
-    df: DataFrame, y: str = "y", p: str = "p", end_point: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, y: str = "y", p: str = "p", end_point: bool = True, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Precision, recall and F1 at every distinct threshold.
 
@@ -207,7 +221,7 @@ def pr_curve(
     return points.withColumn("f1", f1_from(F.col("precision"), F.col("recall")))
 
 
-def roc_curve(df: DataFrame, y: str = "y", p: str = "p", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", p: str = "p", rows_per_bucket: int | None = None) -> DataFrame:
     """False and true positive rate at every distinct threshold, and the origin.
 
     All points are kept, also those on a straight line. A rate whose class is
@@ -235,7 +249,7 @@ def best_f1_threshold(
     y: str = "y",
     p: str = "p",
     tie_break: str = "precision",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """One row: the threshold of maximum F1 with its precision, recall and F1.
 
@@ -324,7 +338,7 @@ def ap_lift(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def score_diagnostics(
-    df: DataFrame, y: str = "y", p: str = "p", rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, y: str = "y", p: str = "p", rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Per class: count, mean, exact median, sample deviation, smallest and largest score."""
     medians = exact_quantiles(df, p, {"median": 0.5}, [y], rows_per_bucket)

@@ -11,25 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.session import stage
 
 ROWS_PER_BUCKET = 250_000
-HASH_DIGITS = 3
+MAX_HASH_DIGITS = 8
 
 
-def _bucket_bounds(df: DataFrame, value: str, rows_per_bucket: int) -> list[float]:
-    """Values cutting the table into near-equal buckets; empty when one is enough."""
-    rows = df.count()
-    buckets = -(-rows // rows_per_bucket)
-    if buckets <= 1:
-        return []
-    probabilities = [k / buckets for k in range(1, buckets)]
-    cuts = df.approxQuantile(value, probabilities, min(0.01, 0.25 / buckets))
-    return sorted(set(cuts))
+def hash_digits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Leading hex digits that cut ``rows`` rows into buckets of about the wanted size."""
+    digits = 1
+    while digits < MAX_HASH_DIGITS and 16**digits * rows_per_bucket < rows:
+        digits += 1
+    return digits
 
 
 def _accumulate(
@@ -79,35 +75,31 @@ def running_totals(
     group_cols: Sequence[str] = (),
     descending: bool = False,
     carry: Sequence[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Per group, inclusive running sums of ``measures`` in ``value`` order.
 
     ``df`` holds one row per (group, value), so aggregate first. Adds
     ``cum_<m>`` and the group total ``all_<m>`` for every measure; ``carry``
-    columns pass through. The input is written once to the shared folder,
-    because it is read several times: for its size, for the bucket bounds, for
-    the bucket sums and for the result.
+    columns pass through. The rows are dealt by range of (group, value), and the
+    partitions are the buckets: one way at every size, a group gets as many
+    buckets as it fills. Spark sizes the ranges (``spark.sql.shuffle.partitions``,
+    small ones merged) unless ``rows_per_bucket`` asks for another number. The
+    dealt table is written once to the shared folder, because it is read for the
+    bucket sums and for the result and must be the same both times.
     """
     groups = list(group_cols)
     kept = [*groups, value, *measures, *carry]
-    table = stage(df.select(*kept), "running-totals")
+    rows = df.select(*kept)
+    if rows_per_bucket is None:
+        ranged = rows.repartitionByRange(*groups, value)
+    else:
+        ranged = rows.repartitionByRange(max(1, -(-rows.count() // rows_per_bucket)), *groups, value)
+    table = stage(ranged.withColumn("_bucket", F.spark_partition_id()), "running-totals")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    bounds = _bucket_bounds(table, value, rows_per_bucket)
-    if not bounds:
-        whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-        running = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return table.select(
-            *kept,
-            *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
-        )
-    bucketed = Bucketizer(
-        splits=[float("-inf"), *bounds, float("inf")], inputCol=value, outputCol="_bucket"
-    ).transform(table)
-    buckets = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    buckets = table.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    summed = _accumulate(bucketed, buckets, groups, bucket_order, [order], measures)
+    summed = _accumulate(table, buckets, groups, bucket_order, [order], measures)
     return summed.select(
         *kept, *[f"cum_{m}" for m in measures], *[f"all_{m}" for m in measures]
     )
@@ -126,14 +118,16 @@ def hash_rank(
     seed: int | str,
     group_cols: Sequence[str] = (),
     name: str = "rank",
-    digits: int = HASH_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Dense 0-based rank of each row in seeded random order, per group.
 
     The leading hash digits spread any group, however large, over
-    ``16 ** digits`` equal buckets; ties on the hash break by id.
+    ``16 ** digits`` equal buckets, as many as the rows need if not given; ties
+    on the hash break by id.
     """
     names = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    digits = digits or hash_digits(df.count())
     groups = list(group_cols)
     keyed = df.withColumns({"_h": hash_key(names, seed), "_one": F.lit(1).cast("bigint")}).withColumn(
         "_bucket", F.substring("_h", 1, digits)
@@ -149,7 +143,7 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     group_cols: Sequence[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one output column per name.
 
@@ -183,7 +177,7 @@ def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
     accuracy: int = 10_000,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> dict[str, float | None]:
     """Exact interpolated median of every column; None for a column without values.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.operators.joins import broadcast_if_small, members_only, union_all
-from stayrate.operators.ordering import ROWS_PER_BUCKET, exact_quantiles
+from stayrate.operators.ordering import exact_quantiles
 from stayrate.session import stage
 
 
@@ -140,18 +140,24 @@ def date_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence, missing: str = "missing") -> DataFrame:
+def crosstab(
+    df: DataFrame, row: str, column: str, values: Sequence, missing: str = "missing", other: str = "other"
+) -> DataFrame:
     """Counts of ``row`` by ``column`` with NULL kept as a category on both axes.
 
-    ``values`` names the column categories, so the pivot needs no extra scan.
+    ``values`` names the column categories, so no extra scan finds them; what they
+    do not name is counted in ``other``. The names of the NULL and the other column
+    may not be among them.
     """
-    labelled = df.select(
-        F.coalesce(F.col(row).cast("string"), F.lit(missing)).alias(row),
-        F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("_column"),
-    )
-    names = [str(v) for v in values] + [missing]
-    counted = labelled.groupBy(row).pivot("_column", names).agg(F.count(F.lit(1)))
-    return counted.na.fill(0, names)
+    names = [str(v) for v in values]
+    if {missing, other} & set(names):
+        raise ValueError(f"{missing} and {other} name the NULL and the unlisted values")
+    cell = F.col(column).cast("string")
+    cells = {v: cell == v for v in names}
+    cells[missing] = cell.isNull()
+    cells[other] = cell.isNotNull() & ~cell.isin(names)
+    counted = df.groupBy(F.col(row).cast("string").alias(row)).agg(*[F.count_if(c).alias(n) for n, c in cells.items()])
+    return counted.withColumn(row, F.coalesce(F.col(row), F.lit(missing)))
 
 
 def monthly_counts(sources: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -167,7 +173,7 @@ def monthly_counts(sources: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def box_summary(
-    df: DataFrame, value: str, group: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, value: str, group: str, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Per group: quartiles, median and the whisker ends within 1.5 IQR."""
     quartiles = stage(

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.errors import DataQualityError
-from stayrate.operators.ordering import HASH_DIGITS, hash_key
+from stayrate.operators.ordering import hash_digits, hash_key
 from stayrate.operators.quality import require_same_keys, require_unique_key
 from stayrate.session import stage
 
 SPLITS = ("train", "validation", "test")
-MAX_CLASSES = 100
 
 
 def _allocate(draws: int, counts: Mapping[object, int]) -> dict[object, int]:
@@ -45,25 +44,25 @@ def stratified_split(
     label: str,
     seed: int = 42,
     train_share: float = 0.70,
-    digits: int = HASH_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """``(id, label, split)`` with exact class sizes, in seeded hash order.
 
     The hash order of a class is cut by counting rows per leading hash digits.
     Only the one bucket each cut falls into is ranked row by row; all other
-    rows are placed by their bucket, without a shuffle. Reads ``df``'s two
-    columns three times, so pass a stored table.
+    rows are placed by their bucket; the cuts are a small table, broadcast only
+    if it turns out small. Labels must be 0 or 1. Reads ``df``'s two columns
+    four times, so pass a stored table.
     """
+    bad = df.select(label).where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).count()
+    if bad:
+        raise DataQualityError("stratified split", {"bad_labels": bad})
+    digits = digits or hash_digits(df.count())
     keyed = df.select(id_col, label, hash_key(id_col, seed).alias("_h")).withColumn(
         "_bucket", F.substring("_h", 1, digits)
     )
     counts = stage(keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "split-counts")
-    totals = {
-        r[label]: r["n"]
-        for r in counts.groupBy(label).agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
-    }
-    if len(totals) > MAX_CLASSES or None in totals:
-        raise DataQualityError("stratified split", {"bad_labels": len(totals)})
+    totals = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("_n").alias("n")).collect()}
     sizes = split_sizes(totals, train_share)
 
     def per_class(pick):
@@ -85,10 +84,7 @@ def stratified_split(
     crossed = ((F.col("_cut1") > F.col("_before")) & (F.col("_cut1") < after)) | (
         (F.col("_cut2") > F.col("_before")) & (F.col("_cut2") < after)
     )
-    # At most MAX_CLASSES * 16**digits rows, whatever the size of the table.
-    placed = keyed.join(
-        F.broadcast(cuts.withColumn("_crossed", crossed).drop("_n")), [label, "_bucket"]
-    )
+    placed = keyed.join(cuts.withColumn("_crossed", crossed).drop("_n"), [label, "_bucket"])
     ranked = Window.partitionBy(label, "_bucket").orderBy("_h", id_col)
     settled = placed.where(~F.col("_crossed")).withColumn("_at", F.col("_before"))
     border = placed.where("_crossed").withColumn(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from stayrate.sources.readers import read_csv
 from stayrate.sources.sinks import write_parquet
@@ -53,16 +56,39 @@ def ingest_batch(
     return _totals(spark, target)
 
 
+class BatchRows(StreamingQueryListener):
+    """Rows of every batch of one named query, however many there are."""
+
+    def __init__(self, name: str):
+        self.name, self.run, self.rows = name, None, {}
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name:
+            self.rows[event.progress.batchId] = event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.runId == self.run:
+            self.ended.set()
+
+
 def stream_source(
-    spark: SparkSession, source: str, schema: T.StructType, files_per_trigger: int = 1
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int = 1 << 30,
 ) -> DataFrame:
-    """CSV folder as a stream of file batches."""
-    return (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .csv(source)
-    )
+    """CSV folder as a stream of batches of about ``bytes_per_trigger``, or of a number of files."""
+    limit = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", bytes_per_trigger)
+    return spark.readStream.schema(schema).option("header", True).option(*limit).csv(source)
 
 
 def ingest_stream(
@@ -72,28 +98,40 @@ def ingest_stream(
     checkpoint: str,
     schema: T.StructType,
     rows_per_part: int = ROWS_PER_PART,
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
     derived: Mapping[str, Column] | None = None,
+    partition_by: tuple[str, ...] = (),
+    bytes_per_trigger: int = 1 << 30,
 ) -> tuple[IngestTotals, list[int]]:
     """Take in what arrived since the last run, then stop.
 
     The checkpoint remembers the files already taken, and the file sink's log
     makes each batch count once even when it is retried. Returns the totals
-    and the rows of each batch of this run.
+    and the rows of each batch of this run, all of them.
     """
-    stream = stream_source(spark, source, schema, files_per_trigger)
+    stream = stream_source(spark, source, schema, files_per_trigger, bytes_per_trigger)
     if derived:
         stream = stream.withColumns(dict(derived))
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", rows_per_part)
-        .option("compression", "snappy")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    batches = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    name = f"ingest_{uuid.uuid4().hex}"
+    seen = BatchRows(name)
+    spark.streams.addListener(seen)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .queryName(name)
+            .partitionBy(*partition_by)
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .option("maxRecordsPerFile", rows_per_part)
+            .option("compression", "snappy")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        # Events arrive in order: with the end, every batch was told.
+        seen.ended.wait(60)
+    finally:
+        spark.streams.removeListener(seen)
+    batches = [n for _, n in sorted(seen.rows.items()) if n]
     return _totals(spark, target), batches

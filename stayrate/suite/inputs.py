@@ -20,7 +20,8 @@ PERIODS = (
 )
 WINDOW_START, WINDOW_END = date(2001, 1, 1), date(2001, 8, 1)
 EARLIEST = date(2000, 1, 1)
-CALENDAR = IndexCalendar(date(2000, 4, 30), date(2001, 5, 31))
+# Every month-end with a full lookback before it and a full horizon after it.
+CALENDAR = IndexCalendar(date(1995, 4, 30), date(2001, 6, 30))
 EVENT_CALENDAR = IndexCalendar(date(2024, 1, 31), date(2024, 3, 31))
 
 TRANSACTION_NAMES = TransactionColumns(
@@ -253,7 +254,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Panel over customers: orders are outcomes and engagement, line items are billing.
 PANEL_DATES_SQL = """idx AS (
   SELECT CAST(last_day(m) AS TIMESTAMP) AS index_date
-  FROM (SELECT unnest(generate_series(DATE '2000-04-01', DATE '2001-05-01', INTERVAL 1 MONTH)) AS m))"""
+  FROM (SELECT unnest(generate_series(DATE '1995-04-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS m))"""
 
 PANEL_BASE_SQL = PANEL_DATES_SQL + """,
 population AS (

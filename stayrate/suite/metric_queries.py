@@ -12,7 +12,8 @@ from stayrate.session import stage
 from stayrate.suite import inputs as I
 
 RATIOS = ["precision", "recall", "f1", "balanced_accuracy"]
-REPLICATES = 100
+PAIRED_REPLICATES = 2000
+CLUSTER_REPLICATES = 100
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +100,13 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = stage(I.scored_pair(I.doc_scored(spark, sf_dir)), "pair")
-    df = K.paired_bootstrap(pair, REPLICATES, 42)
+    df = K.paired_bootstrap(pair, PAIRED_REPLICATES, 42)
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling customers, each with all their scored orders."""
-    df = K.cluster_bootstrap(I.scored(spark, sf_dir), "o_custkey", REPLICATES, 42)
+    df = K.cluster_bootstrap(I.scored(spark, sf_dir), "o_custkey", CLUSTER_REPLICATES, 42)
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_value"], 9)
 
 
@@ -197,7 +198,7 @@ indexed AS (
          count(*) OVER (PARTITION BY y) AS n_c FROM classed),
 draws AS (
   SELECT r AS replicate, y, {_DRAW.format(text="concat(r, '|', y, '|', idx, '|42')", size="n_c")} AS idx
-  FROM indexed, range(1, {REPLICATES + 1}) t(r)),
+  FROM indexed, range(1, {PAIRED_REPLICATES + 1}) t(r)),
 sampled AS (SELECT d.replicate, i.* FROM draws d JOIN indexed i ON d.y = i.y AND d.idx = i.idx),
 both_models AS (
   SELECT replicate, 'a' AS model, y, p, yhat, 1 AS w FROM sampled
@@ -219,7 +220,7 @@ clusters AS (
 size AS (SELECT count(*) AS n FROM clusters),
 draws AS (
   SELECT r AS replicate, {_DRAW.format(text="concat(r, '|c|', idx, '|42')", size="n")} AS idx
-  FROM clusters, size, range(1, {REPLICATES + 1}) t(r)),
+  FROM clusters, size, range(1, {CLUSTER_REPLICATES + 1}) t(r)),
 weights AS (SELECT replicate, o_custkey, count(*) AS w FROM draws JOIN clusters USING (idx) GROUP BY ALL),
 sampled AS (SELECT replicate, y, p, w FROM classed JOIN weights USING (o_custkey)),
 {curve_sql("sampled", "replicate")},

@@ -82,17 +82,17 @@ def dummy_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two boosted candidates, a linear one and the prior on validation rows."""
+    """The search over two boosted and three linear candidates and the prior."""
     _, parts = _prepared(spark, sf_dir, True)
     train, validation = parts["train"], parts["validation"]
     fits = {
-        "boosted shallow": L.fit_boosted(train, LABEL, SHALLOW),
-        "boosted deeper": L.fit_boosted(train, LABEL, BOOSTING),
-        "C=1": L.fit_logistic(train, LABEL, 1.0),
+        "boosted shallow": lambda: L.fit_boosted(train, LABEL, SHALLOW),
+        "boosted deeper": lambda: L.fit_boosted(train, LABEL, BOOSTING),
     }
-    candidates = [L.Candidate(n, m, L.score(m, validation, [], LABEL)) for n, m in fits.items()]
-    prior = L.score_prior(L.fit_prior(train, LABEL), validation, [], LABEL)
-    return L.candidate_table([*candidates, L.Candidate("prior", None, prior)])
+    for strength in (0.1, 1.0, 10.0):
+        fits[f"C={strength:g}"] = lambda c=strength: L.fit_logistic(train, LABEL, c)
+    _, rows = L.search(fits, validation, LABEL, L.fit_prior(train, LABEL))
+    return spark.createDataFrame(rows)
 
 
 def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ ID = "c_custkey"
 RANGES = {
     "train": (None, date(2000, 12, 31)),
     "validation": (date(2001, 1, 1), date(2001, 2, 28)),
-    "test": (date(2001, 3, 1), date(2001, 5, 31)),
+    "test": (date(2001, 3, 1), date(2001, 6, 30)),
 }
 
 
@@ -175,7 +175,7 @@ labelled AS (
 split AS (
   SELECT *, CASE WHEN index_date <= TIMESTAMP '2000-12-31' THEN 'train'
     WHEN index_date BETWEEN TIMESTAMP '2001-01-01' AND TIMESTAMP '2001-02-28' THEN 'validation'
-    WHEN index_date BETWEEN TIMESTAMP '2001-03-01' AND TIMESTAMP '2001-05-31' THEN 'test' END AS split
+    WHEN index_date BETWEEN TIMESTAMP '2001-03-01' AND TIMESTAMP '2001-06-30' THEN 'test' END AS split
   FROM labelled)"""
 _BY_DATE = """SELECT index_date, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives,
   round(avg(target), 9) AS prevalence FROM labelled GROUP BY index_date"""

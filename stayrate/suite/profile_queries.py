@@ -149,6 +149,13 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.crosstab(facts, "is_auto_renew", "is_cancel", [0, 1])
 
 
+def crosstab_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order statuses by priority, of which only two are named."""
+    orders = I.table(spark, sf_dir, "orders")
+    priority = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority"))
+    return P.crosstab(orders.withColumn("priority", priority), "o_orderstatus", "priority", ["1-URGENT", "5-LOW"])
+
+
 def monthly_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.monthly_counts(
         {
@@ -221,6 +228,7 @@ QUERIES = {
     "top_values": top_values,
     "value_distribution": value_distribution,
     "crosstab": crosstab,
+    "crosstab_open": crosstab_open,
     "monthly_coverage": monthly_coverage,
     "box_summary": box_summary,
     "group_quantiles": group_quantiles,
@@ -360,9 +368,16 @@ ORDER BY records DESC, c_nationkey LIMIT 20""",
         I.TRANSACTIONS_SQL,
         select="""SELECT coalesce(CAST(is_auto_renew AS VARCHAR), 'missing') AS is_auto_renew,
   count(*) FILTER (WHERE is_cancel = 0) AS "0", count(*) FILTER (WHERE is_cancel = 1) AS "1",
-  count(*) FILTER (WHERE is_cancel IS NULL) AS missing
+  count(*) FILTER (WHERE is_cancel IS NULL) AS missing,
+  count(*) FILTER (WHERE is_cancel NOT IN (0, 1)) AS other
 FROM transactions JOIN customer USING (c_custkey) GROUP BY 1""",
     ),
+    "crosstab_open": """SELECT o_orderstatus,
+  count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS "1-URGENT",
+  count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS "5-LOW",
+  count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS missing,
+  count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW', '3-MEDIUM')) AS other
+FROM orders GROUP BY o_orderstatus""",
     "monthly_coverage": """
 SELECT 'orders' AS source, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS records FROM orders GROUP BY ALL
 UNION ALL SELECT 'lineitem', CAST(date_trunc('month', l_shipdate) AS DATE), count(*) FROM lineitem GROUP BY ALL

@@ -51,13 +51,21 @@ def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same parts taken in one file at a time by a stream that then stops."""
+    """The same parts taken in one file at a time by a stream that then stops, by month."""
     source, events = _log_files(spark, sf_dir)
     target, checkpoint = work_path(spark, "log-stream"), work_path(spark, "log-checkpoint")
+    day = parse_yyyymmdd("date")
     ingest_stream(
-        spark, source, target, checkpoint, events.schema, derived={"log_date": parse_yyyymmdd("date")}
+        spark,
+        source,
+        target,
+        checkpoint,
+        events.schema,
+        files_per_trigger=1,
+        derived={"log_date": day, "month": F.date_format(day, "yyyy-MM")},
+        partition_by=("month",),
     )
-    return read_parquet(spark, target)
+    return read_parquet(spark, target).withColumn("month", F.col("month").cast("string"))
 
 
 def prediction_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +119,7 @@ _LOG = """SELECT event_id, strftime(ts, '%Y%m%d') AS date, user_id, event_type,
 
 ORACLES = {
     "log_ingest": _LOG.format(month=", strftime(ts, '%Y-%m') AS month"),
-    "log_ingest_stream": _LOG.format(month=""),
+    "log_ingest_stream": _LOG.format(month=", strftime(ts, '%Y-%m') AS month"),
     "prediction_round_trip": I.with_ctes(
         I.SCORED_SQL, select="SELECT id, y AS actual, p AS probability, yhat AS prediction FROM classed"
     ),

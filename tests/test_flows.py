@@ -291,11 +291,31 @@ def test_stream_takes_each_file_once(spark, raw, tmp_path):
     source.mkdir()
     for part in (0, 1):
         (source / f"{part}.csv").write_text((folder / f"logs_{part}.csv").read_text())
-    totals, batches = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG)
+    totals, batches = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG, files_per_trigger=1)
     expected = len(logs[0::3]) + len(logs[1::3])
     assert totals.rows == expected and sum(batches) == expected and len(batches) == 2
-    again, nothing = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG)
+    again, nothing = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG, files_per_trigger=1)
     assert again == totals and nothing == []
     (source / "2.csv").write_text((folder / "logs_2.csv").read_text())
-    final, added = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG)
+    final, added = ingest_stream(spark, str(source), target, checkpoint, S.ACTIVITY_LOG, files_per_trigger=1)
     assert final.rows == len(logs) and added == [len(logs[2::3])]
+
+
+def test_stream_counts_batches_beyond_the_kept_progress(spark, raw, tmp_path):
+    folder, *_, logs = raw
+    source = tmp_path / "many"
+    source.mkdir()
+    lines = (folder / "logs_0.csv").read_text().splitlines()
+    for i, line in enumerate(lines[1:8]):
+        (source / f"{i}.csv").write_text(lines[0] + "\n" + line + "\n")
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        totals, batches = ingest_stream(
+            spark, str(source), str(tmp_path / "o"), str(tmp_path / "c"), S.ACTIVITY_LOG, files_per_trigger=1
+        )
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert totals.rows == 7 and batches == [1] * 7
+    by_bytes, one = ingest_stream(spark, str(source), str(tmp_path / "o2"), str(tmp_path / "c2"), S.ACTIVITY_LOG)
+    assert by_bytes.rows == 7 and one == [7]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stayrate.operators import metrics as M
 
@@ -144,3 +145,27 @@ def test_diagnostics(spark):
     got = {r.y: r for r in M.score_diagnostics(scored(spark, SIX)).collect()}
     assert got[1].median == pytest.approx(0.7) and got[0]["count"] == 3
     assert got[0].std == pytest.approx(np.std([0.8, 0.7, 0.1], ddof=1))
+
+
+@pytest.mark.parametrize("per_bucket", [2, None])
+@pytest.mark.parametrize("bad", [(1, float("nan")), (0, None), (None, 0.95), (2, 0.5)])
+def test_a_row_without_score_or_label_fails_at_every_size(spark, per_bucket, bad):
+    """The same refusal with one bucket and with several, wherever the row would rank."""
+    df = spark.createDataFrame([*SIX, bad], "y int, p double").withColumn("yhat", F.lit(1))
+    for apply in (
+        lambda: M.evaluate(df, rows_per_bucket=per_bucket),
+        lambda: M.pr_curve(df, rows_per_bucket=per_bucket),
+        lambda: M.roc_curve(df, rows_per_bucket=per_bucket),
+        lambda: M.log_loss(df),
+        lambda: M.brier(df),
+    ):
+        with pytest.raises(Exception, match="labels must be 0 or 1|scores must be numbers"):
+            apply().collect()
+
+
+@pytest.mark.parametrize("per_bucket", [1, 2, 3, None])
+def test_infinite_scores_rank_first_and_last(spark, per_bucket):
+    rows = [(1, float("inf")), (0, 0.3), (1, 0.3), (0, float("-inf"))]
+    df = spark.createDataFrame(rows, "y int, p double")
+    points = {r.threshold: (r.fpr, r.tpr) for r in M.roc_curve(df, rows_per_bucket=per_bucket).where("tpr > 0").collect()}
+    assert points == {float("inf"): (0.0, 0.5), 0.3: (0.5, 1.0), float("-inf"): (1.0, 1.0)}
