@@ -40,7 +40,8 @@ from stayrate.operators.windows import (
     transaction_features,
     transaction_totals,
 )
-from stayrate.session import stage
+from stayrate.session import stage, staging
+from stayrate.sources.readers import read_parquet
 from stayrate.sources.schemas import ACTIVITY_LOG
 from stayrate.sources.sinks import write_parquet
 from stayrate.streaming.ingest import IngestTotals, ingest_batch
@@ -153,17 +154,18 @@ def behaviour_flow(
     logs = parse_activity(raw_logs, names.id)
     report = date_coverage(logs, ["log_date"], "log_date", FIRST_DAY, LAST_DAY)
     window = parse_activity(activity_window(raw_logs), names.id)
-    features = stage(behaviour_features(cohort, window, names, MONTHS, cohort_rows), "behaviour")
-    days = [f"active_days_{p.suffix}" for p in MONTHS]
-    averages = [f"avg_daily_secs_{p.suffix}" for p in MONTHS]
-    gate_features(
-        features,
-        cohort_rows,
-        names,
-        "behaviour features",
-        {"negative_days": any_negative(days), "negative_averages": any_negative(averages)},
-    )
-    write_parquet(features, output)
+    with staging(cohort.sparkSession):
+        features = stage(behaviour_features(cohort, window, names, MONTHS, cohort_rows), "behaviour")
+        days = [f"active_days_{p.suffix}" for p in MONTHS]
+        averages = [f"avg_daily_secs_{p.suffix}" for p in MONTHS]
+        gate_features(
+            features,
+            cohort_rows,
+            names,
+            "behaviour features",
+            {"negative_days": any_negative(days), "negative_averages": any_negative(averages)},
+        )
+        write_parquet(features, output)
     return report
 
 
@@ -194,22 +196,23 @@ def transaction_flow(
         LAST_DAY,
         EARLIEST_EXPIRY,
     )
-    features = stage(transaction_features(cohort, totals, names.id), "transactions")
-    rates = ["auto_renew_rate", "cancellation_rate"]
-    windowed = ["avg_amount_paid", "avg_payment_plan_days", *rates, "transaction_recency_days"]
-    gate_features(
-        features,
-        cohort_rows,
-        names,
-        "transaction features",
-        {
-            "negative_counts": any_negative(["transaction_count", "valid_expiry_count"]),
-            "invalid_rates": any_outside(rates, 0, 1),
-            "negative_recency": F.col("transaction_recency_days") < 0,
-            "inconsistent_empty": (F.col("transaction_count") == 0) & any_present(windowed),
-        },
-    )
-    write_parquet(features, output)
+    with staging(cohort.sparkSession):
+        features = stage(transaction_features(cohort, totals, names.id), "transactions")
+        rates = ["auto_renew_rate", "cancellation_rate"]
+        windowed = ["avg_amount_paid", "avg_payment_plan_days", *rates, "transaction_recency_days"]
+        gate_features(
+            features,
+            cohort_rows,
+            names,
+            "transaction features",
+            {
+                "negative_counts": any_negative(["transaction_count", "valid_expiry_count"]),
+                "invalid_rates": any_outside(rates, 0, 1),
+                "negative_recency": F.col("transaction_recency_days") < 0,
+                "inconsistent_empty": (F.col("transaction_count") == 0) & any_present(windowed),
+            },
+        )
+        write_parquet(features, output)
     return {
         "dates": date_coverage(
             parsed, ["transaction_date", "membership_expire_date"], "transaction_date", FIRST_DAY, LAST_DAY
@@ -245,18 +248,19 @@ def member_flow(
     cohort_rows = cohort_gate(cohort, names.id, names.label)
     members = clean_members(raw, names.id)
     require_unique_key(members, names.id, "members")
-    features = stage(member_features(cohort, members, names.id), "members")
-    gate_features(
-        features,
-        cohort_rows,
-        names,
-        "member features",
-        {
-            "invalid_age": ~F.col("age").between(*AGE_RANGE),
-            "invalid_month": ~F.col("registration_month").between(1, 12),
-        },
-    )
-    write_parquet(features, output)
+    with staging(cohort.sparkSession):
+        features = stage(member_features(cohort, members, names.id), "members")
+        gate_features(
+            features,
+            cohort_rows,
+            names,
+            "member features",
+            {
+                "invalid_age": ~F.col("age").between(*AGE_RANGE),
+                "invalid_month": ~F.col("registration_month").between(1, 12),
+            },
+        )
+        write_parquet(features, output)
     return {
         "gender": distribution(members, ["gender"]),
         "city": top_values(members, "city"),
@@ -290,10 +294,11 @@ def model_dataset_flow(
     differing = label_disagreements(list(tables.values()), names.id, names.label).first()[0]
     if differing:
         raise DataQualityError("labels differ between sources", {"disagreements": differing})
-    dataset = stage(join_feature_groups(list(tables.values()), names), "model-dataset")
-    counts = ["transaction_count", "valid_expiry_count", *[f"active_days_{p.suffix}" for p in MONTHS]]
-    gate_features(
-        dataset, sizes["behaviour"], names, "model dataset", {"invalid_counts": any_negative(counts)}
-    )
-    write_parquet(dataset, output)
-    return share_of_total(dataset, [names.label], "customers")
+    with staging(behaviour.sparkSession):
+        dataset = stage(join_feature_groups(list(tables.values()), names), "model-dataset")
+        counts = ["transaction_count", "valid_expiry_count", *[f"active_days_{p.suffix}" for p in MONTHS]]
+        gate_features(
+            dataset, sizes["behaviour"], names, "model dataset", {"invalid_counts": any_negative(counts)}
+        )
+        write_parquet(dataset, output)
+    return share_of_total(read_parquet(behaviour.sparkSession, output), [names.label], "customers")

@@ -23,6 +23,7 @@ from stayrate.operators.quality import (
     require_absent,
     require_chronological,
     require_columns,
+    require_numeric,
     require_unique_key,
 )
 from stayrate.operators.splits import (
@@ -34,7 +35,7 @@ from stayrate.operators.splits import (
     stratified_split,
 )
 from stayrate.plans import panel as panel_plan
-from stayrate.session import stage
+from stayrate.session import report, stage, staging
 from stayrate.sources.sinks import save_model, write_csv, write_json, write_json_document, write_parquet
 
 # Category columns of the cohort dataset.
@@ -61,11 +62,13 @@ def split_flow(
     require_unique_key(dataset, id_col, "model dataset")
     require(dataset, {"bad_labels": bad_label(label)}, "model dataset", allow_empty=False)
     numeric, named = select_predictors(dataset, [id_col, label, "split"], categorical)
-    assigned = stage(stratified_split(dataset, id_col, label, seed), "split")
-    check_split(assigned, dataset, id_col)
-    write_parquet(assigned.select(id_col, "split"), f"{output}/split_assignments")
-    summary = split_summary(assigned, "split", id_col, label)
-    write_json(summary, f"{output}/split_summary")
+    require_numeric(dataset, numeric, "model dataset")
+    with staging(dataset.sparkSession):
+        assigned = stage(stratified_split(dataset, id_col, label, seed), "split")
+        check_split(assigned, dataset, id_col)
+        write_parquet(assigned.select(id_col, "split"), f"{output}/split_assignments")
+        summary = report(split_summary(assigned, "split", id_col, label))
+        write_json(summary, f"{output}/split_summary")
     parts = {r["split"]: r for r in summary.collect()}
     rows = sum(r["rows"] for r in parts.values())
     positives = sum(r["positives"] for r in parts.values())

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged paths", default=None)
+
 
 def build_session(app_name: str = "stayrate", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the library is tested under.
@@ -66,10 +71,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, label)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is removed at the end, also after a failure.
+
+    For flows that store their results: what they return must not be built on a
+    staged table.
+    """
+    scope: list[str] = []
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in scope:
+            remove_path(spark, path)
+
+
+def report(df: DataFrame) -> DataFrame:
+    """A report of a few rows, kept as rows: it no longer reads what it was made from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Over all cores, before a step that multiplies the rows.
 

@@ -14,6 +14,7 @@ MODULES = (
     "relation_queries",
     "model_queries",
     "storage_queries",
+    "flow_queries",
 )
 
 

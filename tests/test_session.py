@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stayrate.operators.joins import broadcast_if_small, hot_keys, salted_join
 from stayrate.operators.preprocess import prepare_predictors
-from stayrate.session import release_staged, shared_dir, stage, work_path
+from stayrate.session import release_staged, report, shared_dir, stage, staging, work_path
 
 
 def test_staged_results_live_under_the_shared_folder(spark):
@@ -46,3 +46,17 @@ def test_prepared_predictors(spark):
     df = spark.createDataFrame([(float("inf"), 3, None), (1.5, None, "x")], "a double, b int, c string")
     got = prepare_predictors(df, ["a", "b"], ["c"]).orderBy(F.col("a").desc_nulls_last()).collect()
     assert [tuple(r) for r in got] == [(1.5, None, "x"), (None, 3.0, "__MISSING__")]
+
+
+def test_nothing_staged_is_left_after_a_flow(spark):
+    with staging(spark):
+        path = stage(spark.range(5), "inside").inputFiles()[0]
+        rows = report(stage(spark.range(3), "more"))
+    assert rows.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|path"):
+        spark.read.parquet(path).count()
+    with pytest.raises(RuntimeError), staging(spark):
+        failed = stage(spark.range(5), "failed").inputFiles()[0]
+        raise RuntimeError
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|path"):
+        spark.read.parquet(failed).count()
