@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.operators.joins import BROADCAST_ROWS, salted_join
+from stayrate.operators.joins import salted_join
 from stayrate.operators.metrics import evaluate, evaluate_scores
 from stayrate.operators.ordering import hash_rank
 from stayrate.operators.quality import require_both_classes
@@ -57,21 +58,64 @@ def drawn_index(replicate: Column, stratum: Column, slot: Column, seed: int, siz
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") % size
 
 
+def poisson_steps(bits: int = 52) -> list[int]:
+    """Where the weight grows by one on a scale of ``2 ** bits``: the distribution
+    function of a Poisson variable of mean 1, as far as the scale can tell."""
+    steps, total, term, k = [], 0.0, math.exp(-1), 0
+    while not steps or steps[-1] < 2**bits - 1:
+        total += term
+        k += 1
+        term /= k
+        steps.append(min(int(total * 2**bits), 2**bits - 1))
+    return steps
+
+
+def drawn_weight(replicate: Column, row: Column, seed: int) -> Column:
+    """Seeded Poisson(1) weight of one row in one replicate."""
+    text = F.concat_ws("|", replicate.cast("string"), row.cast("string"), F.lit(str(seed)))
+    number = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    weight = F.lit(len(poisson_steps()))
+    for k, step in reversed(list(enumerate(poisson_steps()))):
+        weight = F.when(number < step, k).otherwise(weight)
+    return weight
+
+
+def weighted_replicates(pair: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, model, y, p, yhat, w): every row with a weight in every replicate.
+
+    No draw is exchanged: weights are made where the row is and collapse to one row
+    per (replicate, model, score) before the first exchange.
+    """
+    rows = spread(pair, "id").select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    weighted = rows.withColumn("w", drawn_weight(F.col("replicate"), F.col("id"), seed)).where("w > 0")
+    return stack_models(weighted, ["replicate", "w"])
+
+
 def paired_bootstrap_replicates(
-    pair: DataFrame, replicates: int, seed: int = 42, rows_per_bucket: int | None = None
+    pair: DataFrame,
+    replicates: int,
+    seed: int = 42,
+    rows_per_bucket: int | None = None,
+    method: str = "draws",
 ) -> DataFrame:
     """Per replicate, b - a of each bootstrap metric.
 
-    Each class is resampled to its own size. Rows get dense indexes in hash
+    ``weights`` gives every row an independent Poisson(1) weight, which is how often
+    a draw would take it in a large table; class sizes then vary from replicate to
+    replicate. ``draws``: each class is resampled to its own size. Rows get dense indexes in hash
     order; every row stands for one slot per replicate, whose draw points at
     an index. Draws and rows then meet in an equi-join on (class, index),
     whose keys are uniform, and collapse at once to one row per (replicate,
-    model, score). Up to half a million rows are broadcast to the draws, which
-    then need no shuffle; beyond that both sides are hashed.
+    model, score). Catalyst broadcasts the stored rows to the draws if they are
+    small, else both sides are hashed.
     """
+    if method not in ("draws", "weights"):
+        raise ValueError(f"unknown method: {method}")
     if replicates < MIN_REPLICATES:
         raise ValueError(f"use at least {MIN_REPLICATES} replicates")
     sizes = require_both_classes(pair, "y", "paired bootstrap")
+    if method == "weights":
+        return _differences(weighted_replicates(pair, replicates, seed), "w", rows_per_bucket)
     indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
     size = F.when(F.col("y") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
     draws = spread(indexed.select("y", "idx"), "y", "idx").select(
@@ -81,12 +125,12 @@ def paired_bootstrap_replicates(
         "replicate",
         drawn_index(F.col("replicate"), F.col("y"), F.col("idx"), seed, size).alias("idx"),
     )
-    rows = sum(sizes.values())
-    lookup = F.broadcast(indexed) if rows <= BROADCAST_ROWS else indexed.hint("shuffle_hash")
-    sampled = draws.join(lookup, ["y", "idx"])
-    measured = evaluate(
-        stack_models(sampled, ["replicate"]), ["replicate", "model"], rows_per_bucket=rows_per_bucket
-    )
+    sampled = draws.join(indexed, ["y", "idx"])
+    return _differences(stack_models(sampled, ["replicate"]), None, rows_per_bucket)
+
+
+def _differences(stacked: DataFrame, weight: str | None, rows_per_bucket: int | None) -> DataFrame:
+    measured = evaluate(stacked, ["replicate", "model"], weight=weight, rows_per_bucket=rows_per_bucket)
     return measured.groupBy("replicate").agg(
         *[
             F.sum(F.when(F.col("model") == "b", F.col(m)).otherwise(-F.col(m))).alias(m)
@@ -111,10 +155,14 @@ def percentile_interval(values: DataFrame, metrics: Sequence[str], level: float
 
 
 def paired_bootstrap(
-    pair: DataFrame, replicates: int = 2000, seed: int = 42, rows_per_bucket: int | None = None
+    pair: DataFrame,
+    replicates: int = 2000,
+    seed: int = 42,
+    rows_per_bucket: int | None = None,
+    method: str = "draws",
 ) -> DataFrame:
     """Observed difference (b - a) and its 95 % percentile interval, per metric."""
-    drawn = paired_bootstrap_replicates(pair, replicates, seed, rows_per_bucket)
+    drawn = paired_bootstrap_replicates(pair, replicates, seed, rows_per_bucket, method)
     observed = model_comparison(pair, rows_per_bucket).select(
         "metric", F.col("difference").alias("observed_difference")
     )
@@ -160,7 +208,8 @@ def cluster_bootstrap_replicates(
         .agg(F.collect_list(F.struct("replicate", "w")).alias("weights"))
     )
     drawn = clusters.join(weights, "idx").select(cluster, "weights")
-    joined = salted_join(spread(rows, cluster, "p"), drawn, cluster, salts, min_rows=hot_rows)
+    # Skew is counted on the stored rows; only hot clusters are moved for it.
+    joined = salted_join(rows, drawn, cluster, salts, min_rows=hot_rows)
     sampled = joined.select(
         "p", "pos", "neg", F.inline("weights")
     )

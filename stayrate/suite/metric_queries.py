@@ -104,6 +104,13 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
 
 
+def paired_bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form without draws, over all orders."""
+    pair = stage(I.scored_pair(I.scored(spark, sf_dir)), "pair")
+    df = K.paired_bootstrap(pair, PAIRED_REPLICATES, 42, method="weights")
+    return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
+
+
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling customers, each with all their scored orders."""
     df = K.cluster_bootstrap(I.scored(spark, sf_dir), "o_custkey", CLUSTER_REPLICATES, 42)
@@ -128,6 +135,7 @@ QUERIES = {
     "score_diagnostics": score_diagnostics,
     "model_comparison": model_comparison,
     "paired_bootstrap": paired_bootstrap,
+    "paired_bootstrap_weights": paired_bootstrap_weights,
     "cluster_bootstrap": cluster_bootstrap,
 }
 
@@ -192,6 +200,13 @@ report AS (
 
 # 13 leading hex digits of the md5 as a number, modulo the size.
 _DRAW = "CAST(concat('0x', substr(md5({text}), 1, 13)) AS BIGINT) % {size}"
+_DIFFERENCES = f"""{curve_sql("both_models", "replicate, model")},
+ranking AS (SELECT replicate, model, {AP_SQL} AS average_precision, {AUC_SQL} AS roc_auc FROM curve GROUP BY ALL),
+cells AS (SELECT replicate, model, 2.0::DOUBLE * sum(w * y * yhat) AS num, sum(w * (y + yhat)) AS den FROM both_models GROUP BY ALL),
+measured AS (SELECT *, coalesce(num / NULLIF(den, 0), 0) AS f1 FROM ranking JOIN cells USING (replicate, model)),
+long AS (UNPIVOT (SELECT replicate, model, average_precision, roc_auc, f1 FROM measured)
+  ON average_precision, roc_auc, f1 INTO NAME metric VALUE v),
+diffs AS (SELECT replicate, metric, sum(CASE WHEN model = 'b' THEN v ELSE -v END) AS d FROM long GROUP BY ALL)"""
 _PAIRED = f"""{I.DOC_SCORED_SQL},
 indexed AS (
   SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat(id, '|42')), id) - 1 AS idx,
@@ -205,13 +220,19 @@ both_models AS (
   UNION ALL SELECT replicate, 'b', y, p2, yhat2, 1 FROM sampled
   UNION ALL SELECT 0, 'a', y, p, yhat, 1 FROM classed
   UNION ALL SELECT 0, 'b', y, p2, yhat2, 1 FROM classed),
-{curve_sql("both_models", "replicate, model")},
-ranking AS (SELECT replicate, model, {AP_SQL} AS average_precision, {AUC_SQL} AS roc_auc FROM curve GROUP BY ALL),
-cells AS (SELECT replicate, model, 2.0::DOUBLE * sum(y * yhat) AS num, sum(y + yhat) AS den FROM both_models GROUP BY ALL),
-measured AS (SELECT *, coalesce(num / NULLIF(den, 0), 0) AS f1 FROM ranking JOIN cells USING (replicate, model)),
-long AS (UNPIVOT (SELECT replicate, model, average_precision, roc_auc, f1 FROM measured)
-  ON average_precision, roc_auc, f1 INTO NAME metric VALUE v),
-diffs AS (SELECT replicate, metric, sum(CASE WHEN model = 'b' THEN v ELSE -v END) AS d FROM long GROUP BY ALL)"""
+{_DIFFERENCES}"""
+
+_NUMBER = "CAST(concat('0x', substr(md5(concat(r, '|', id, '|42')), 1, 13)) AS BIGINT)"
+_WEIGHT = "CASE " + " ".join(f"WHEN k < {step} THEN {w}" for w, step in enumerate(K.poisson_steps()))
+_WEIGHTED = f"""{I.SCORED_SQL},
+numbers AS (SELECT r AS replicate, y, p, p2, yhat, yhat2, {_NUMBER} AS k FROM classed, range(1, {PAIRED_REPLICATES + 1}) t(r)),
+taken AS (SELECT *, {_WEIGHT} ELSE {len(K.poisson_steps())} END AS w FROM numbers),
+both_models AS (
+  SELECT replicate, 'a' AS model, y, p, yhat, w FROM taken WHERE w > 0
+  UNION ALL SELECT replicate, 'b', y, p2, yhat2, w FROM taken WHERE w > 0
+  UNION ALL SELECT 0, 'a', y, p, yhat, 1 FROM classed
+  UNION ALL SELECT 0, 'b', y, p2, yhat2, 1 FROM classed),
+{_DIFFERENCES}"""
 
 _CLUSTER = f"""{I.SCORED_SQL},
 clusters AS (
@@ -326,6 +347,14 @@ WHERE points.f1 >= m - (1e-8::DOUBLE + 1e-5::DOUBLE * m) ORDER BY points.precisi
   round(quantile_cont(d, 0.025) FILTER (WHERE replicate > 0), 9) AS ci_lower,
   round(quantile_cont(d, 0.975) FILTER (WHERE replicate > 0), 9) AS ci_upper,
   round(avg(d) FILTER (WHERE replicate > 0), 9) AS mean_difference,
+  round(max(d) FILTER (WHERE replicate = 0), 9) AS observed_difference FROM diffs GROUP BY metric""",
+    ),
+    "paired_bootstrap_weights": I.with_ctes(
+        _WEIGHTED,
+        select="""SELECT metric, count(*) FILTER (WHERE replicate > 0) AS replicates,
+  round(quantile_cont(d, 0.025) FILTER (WHERE replicate > 0), 9) AS ci_lower,
+  round(quantile_cont(d, 0.975) FILTER (WHERE replicate > 0), 9) AS ci_upper,
+  round(avg(d) FILTER (WHERE replicate > 0), 9) AS mean_difference,
   round(max(d) FILTER (WHERE replicate = 0), 9) AS observed_difference FROM diffs GROUP BY metric""",
     ),
     "cluster_bootstrap": I.with_ctes(
