@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayrate.llm.words import mix, text_bytes, word_hashes
+from stayrate.llm.words import mix, packed_keys, read_keys, text_bytes, word_hashes
 
 ADDED = 0.1
 START, END, SALT = np.uint64(0xA5A5), np.uint64(0x5A5A), np.uint64(0x9E3779B97F4A7C15)
@@ -35,18 +35,6 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of their places: the upper bytes are
-    nearly all zero and vanish when the exchange is compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def read_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def small_numbers(values: np.ndarray) -> bytes:
     """Counts in a byte each, larger ones in a list behind."""
     low = np.minimum(values, 255).astype(np.uint8)

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayrate.llm.words import hashed, mix, pieces, plain_words, text_bytes
+from stayrate.llm.words import hashed, mix, packed_keys, pieces, plain_words, read_keys, text_bytes
 
-CUT = 3
+CUT = 2
 MIN_WORDS = 10
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 128 << 20
@@ -173,14 +173,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         block = table.column("block")[0].as_py()
         own = ranks[units.row[first]]
         rows = [
-            (bucket, block, k.tobytes(), r.tobytes())
+            (bucket, block, packed_keys(k), r.tobytes())
             for bucket, (k, r) in enumerate(zip(np.split(unique, cuts), np.split(own, cuts)))
             if len(k)
         ]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, ASKED.types)], ASKED)
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        keys = [read_keys(x.as_py()) for x in table.column("keys")]
         sizes = np.array([len(k) for k in keys])
         digests = np.concatenate(keys)
         ranks = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ranks")])
