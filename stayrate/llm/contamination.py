@@ -180,3 +180,21 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """``docs`` without the rows that hold the wanted share of any item's shingles."""
     found = with_found(docs, item_classes(items, item_id, item_text), text_col, containment=containment)
     return found.where(F.size("__found") == 0).drop("__found")
+
+
+_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x != '')"
+)
+_GRAMS = "unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))"
+PAIRS_SQL = f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+classes AS (SELECT min(item_id) AS item_id, count(*) AS n_items, w FROM item_words WHERE len(w) > 0 GROUP BY w),
+item_grams AS (SELECT DISTINCT item_id, {_GRAMS} AS g FROM classes),
+sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id),
+doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+doc_grams AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM doc_words WHERE len(w) > 0),
+found AS (SELECT doc_id, item_id, count(*) AS matched FROM doc_grams JOIN item_grams USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, f.item_id, n_items, matched, n AS n_shingles, matched / n::DOUBLE AS containment
+FROM found f JOIN sizes s ON f.item_id = s.item_id JOIN classes c ON f.item_id = c.item_id
+WHERE matched >= ceil(0.8 * n - 1e-9)"""

@@ -64,5 +64,6 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 ORACLES = {
+    "op4_decontamination": contamination.PAIRS_SQL,
     "op5_warc": archive.ROUND_TRIP_SQL,
 }
