@@ -28,7 +28,7 @@ from stayrate.llm.words import hashed, mix, packed_keys, pieces, plain_words, re
 CUT = 2
 MIN_WORDS = 10
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
