@@ -105,8 +105,8 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form without draws, over all orders."""
-    pair = stage(I.scored_pair(I.scored(spark, sf_dir)), "pair")
+    """The form without draws, over the same rows."""
+    pair = stage(I.scored_pair(I.doc_scored(spark, sf_dir)), "pair")
     df = K.paired_bootstrap(pair, PAIRED_REPLICATES, 42, method="weights")
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
 
@@ -224,7 +224,7 @@ both_models AS (
 
 _NUMBER = "CAST(concat('0x', substr(md5(concat(r, '|', id, '|42')), 1, 13)) AS BIGINT)"
 _WEIGHT = "CASE " + " ".join(f"WHEN k < {step} THEN {w}" for w, step in enumerate(K.poisson_steps()))
-_WEIGHTED = f"""{I.SCORED_SQL},
+_WEIGHTED = f"""{I.DOC_SCORED_SQL},
 numbers AS (SELECT r AS replicate, y, p, p2, yhat, yhat2, {_NUMBER} AS k FROM classed, range(1, {PAIRED_REPLICATES + 1}) t(r)),
 taken AS (SELECT *, {_WEIGHT} ELSE {len(K.poisson_steps())} END AS w FROM numbers),
 both_models AS (
