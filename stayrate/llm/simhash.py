@@ -133,9 +133,10 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def classes(marks: DataFrame, id_col: str, radius: int = 4) -> DataFrame:
+def classes(marks: DataFrame, id_col: str, radius: int = 4, links: DataFrame | None = None) -> DataFrame:
     """Class of each distinct fingerprint: (fp, component_id, keep_fp).
 
+    ``links`` (a, b) connect fingerprints; if not given, all within ``radius`` bits are.
     ``component_id`` is the smallest id reachable (NULL only if no member has one)
     and ``keep_fp`` the fingerprint under which that row is found.
     """
@@ -143,7 +144,7 @@ def classes(marks: DataFrame, id_col: str, radius: int = 4) -> DataFrame:
         marks.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))).alias("best")),
         "fingerprints",
     )
-    roots = components(near_links(each.select("fp"), radius))
+    roots = components(near_links(each.select("fp"), radius) if links is None else links)
     rooted = each.join(roots, each["fp"] == roots["node"], "left").select(
         "fp", "best", F.coalesce("root", "fp").alias("root")
     )
