@@ -27,6 +27,8 @@ from stayrate.session import stage
 MEMO_WORDS = 200_000
 GROUP_WORDS = 1 << 14
 PARTS = 4
+# Width of a score bin of the calibration, in log odds.
+BIN = 0.01
 
 
 @dataclass(frozen=True)
@@ -241,29 +243,57 @@ def train(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Mo
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Threshold of the largest F1, in the middle of the gap in which it can lie."""
-    order = np.argsort(-scores, kind="stable")
-    ranked, hits = scores[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    f1[:-1][ranked[:-1] == ranked[1:]] = -1
+def best_threshold(low: np.ndarray, high: np.ndarray, rows: np.ndarray, ones: np.ndarray) -> float:
+    """Threshold of the largest F1, in the middle of the gap in which it can lie.
+
+    Scores are given in groups that do not overlap: smallest and largest score, number
+    of rows, number of ones.
+    """
+    order = np.argsort(-low, kind="stable")
+    low, high = low[order], high[order]
+    f1 = 2 * np.cumsum(ones[order]) / (np.cumsum(rows[order]) + ones.sum())
     at = int(np.flatnonzero(f1 == f1.max())[-1])
-    return float((ranked[at] + (ranked[at + 1] if at + 1 < len(ranked) else 0)) / 2)
+    return float((low[at] + (high[at + 1] if at + 1 < len(low) else 0)) / 2)
 
 
-def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
-    """A threshold for each language with at least ``least`` rows of each class."""
-    names, found = np.array(langs, dtype=object), {"": 0.5}
-    if 0 < labels.sum() < len(labels):
-        found[""] = best_threshold(scores, labels)
-    for lang in sorted({x for x in langs if x}):
+def thresholds(groups: list[tuple], least: int = 20) -> dict[str, float]:
+    """A threshold for each language with at least ``least`` rows of each class.
+
+    ``groups`` are (lang, smallest score, largest score, rows, ones); one for each
+    language and score or score bin.
+    """
+    found = {"": 0.5}
+    if not groups:
+        return found
+    names = np.array([g[0] for g in groups], dtype=object)
+    low, high, rows, ones = (np.array([g[i] for g in groups]) for i in range(1, 5))
+
+    def best(own: np.ndarray) -> float:
+        bins, at = np.unique(np.floor(_logit(low[own]) / BIN), return_inverse=True)
+        lows, highs = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
+        np.minimum.at(lows, at, low[own])
+        np.maximum.at(highs, at, high[own])
+        return best_threshold(lows, highs, np.bincount(at, rows[own]), np.bincount(at, ones[own]))
+
+    if 0 < ones.sum() < rows.sum():
+        found[""] = best(np.ones(len(names), bool))
+    for lang in sorted({x for x in names if x}):
         own = names == lang
-        ones = labels[own].sum()
-        if least <= ones <= own.sum() - least:
-            found[lang] = best_threshold(scores[own], labels[own])
+        if least <= ones[own].sum() <= rows[own].sum() - least:
+            found[lang] = best(own)
     return found
 
 
+def _logit(scores: np.ndarray) -> np.ndarray:
+    inside = np.clip(scores, 1e-13, 1 - 1e-13)
+    return np.log(inside / (1 - inside))
+
+
+def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
+    """:func:`thresholds` from single rows."""
+    return thresholds([(x, s, s, 1, int(y)) for x, s, y in zip(langs, scores, labels)], least)
+
+
 def id_hash(column: Column) -> Column:
     """crc32 of the id as text, a NULL id as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
@@ -272,8 +302,10 @@ def id_hash(column: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic", folds: int = 5, held_out: int = 0, settings: Settings | None = None) -> Model:
     """Train on a bounded sample of the labelled rows outside the held-out fold.
 
-    Of the sample, one row in ``calibration_share`` is kept from training and sets the
-    thresholds. Labels that are NULL are left out; an id labelled twice counts with its
+    Of the sample, one row in ``calibration_share`` is kept from training, and a text
+    that overflows the word budget is passed over. All labelled rows outside the held-out
+    fold that were not trained on set the thresholds, or all of them if these lack a
+    class. Labels that are NULL are left out; an id labelled twice counts with its
     larger label. Without rows of both classes the score is the share of ones, smoothed.
     """
     settings = settings or Settings()
@@ -296,32 +328,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     read = stage(
         sample.select("__text", "__lang", "__y", "__order").mapInArrow(run, "lang string, y int, pri long, words binary"), "sample"
     )
-    texts, ys, langs, kept_out, words = [], [], [], [], 0
+    texts, ys, orders, words = [], [], [], 0
     for row in read.orderBy("pri", F.xxhash64("words")).toLocalIterator():
         rows = np.frombuffer(row["words"], np.int32).reshape(-1, PARTS)
-        if words and words + len(rows) > settings.sample_words:
-            break
+        if words + len(rows) > settings.sample_words:
+            continue
         words += len(rows)
         texts.append(rows)
         ys.append(row["y"])
-        langs.append(row["lang"])
-        kept_out.append(row["pri"] % settings.calibration_share == 0)
-    y, out = np.array(ys, np.int64), np.array(kept_out, bool)
+        orders.append(row["pri"])
+    y, orders = np.array(ys, np.int64), np.array(orders, np.int64)
+    out = orders % settings.calibration_share == 0
     if len(set(y[~out])) < 2 or len(set(y[out])) < 2:
         out[:] = False
-    chosen = np.flatnonzero(~out)
-    model = train([texts[i] for i in chosen], y[chosen], settings)
-    check = np.flatnonzero(out) if out.any() else np.arange(len(y))
+    model = train([texts[i] for i in np.flatnonzero(~out)], y[~out], settings)
     if model.trained:
-        pad = np.zeros((max(settings.widths) - 1, settings.size), np.float32)
-        pooled = [
-            np.concatenate([r.max(axis=0) for r in model.responses(np.concatenate([model.table[texts[i]].sum(axis=1) if len(texts[i]) else pad[:1], pad]))])
-            for i in check
-        ]
-        model.thresholds = calibrate(model, model.score_pooled(np.stack(pooled)), y[check], [langs[i] for i in check])
+        model.thresholds = thresholds(calibration_groups(docs, single, model, orders[~out].tolist(), id_col, text_col, lang))
     return model
 
 
+def calibration_groups(docs: DataFrame, single: DataFrame, model: Model, fitted: list[int], id_col: str, text_col: str, lang: Column) -> list[tuple]:
+    """Score bins by language, for :func:`thresholds`, of the labelled rows not fitted."""
+    small = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), lang.alias("__lang"))
+    scores = with_scores(small, model, "__text").select("__doc", "__lang", "__score")
+    known = docs.sparkSession.createDataFrame([(x,) for x in set(fitted)], "__order long").withColumn("__fitted", F.lit(True))
+    labelled = scores.join(single.join(F.broadcast(known), "__order", "left"), F.col("__doc") == F.col("__id"))
+    inside = F.least(F.greatest("__score", F.lit(1e-13)), F.lit(1 - 1e-13))
+    rows = (
+        labelled.groupBy(F.col("__fitted").isNotNull().alias("fitted"), "__lang", F.floor(F.log(inside / (1 - inside)) / BIN).alias("bin"))
+        .agg(F.min("__score"), F.max("__score"), F.count("*"), F.sum("__y"))
+        .collect()
+    )
+    fresh = [tuple(r)[1:2] + tuple(r)[3:] for r in rows if not r["fitted"]]
+    if 0 < sum(g[4] for g in fresh) < sum(g[3] for g in fresh):
+        return fresh
+    return [tuple(r)[1:2] + tuple(r)[3:] for r in rows]
+
+
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
     """``docs`` with the score of each whole text (NULL as empty) in a further column."""
     place = docs.columns.index(text_col)

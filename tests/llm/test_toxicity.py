@@ -107,3 +107,35 @@ def test_one_class_or_no_labels(spark):
     ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, toxic int")
     assert all(r["score"] > 0.5 for r in toxicity.classify(df, ones, settings=SMALL).collect())
     assert toxicity.classify(df.where("false"), ones, settings=SMALL).collect() == []
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """The sample is balanced by its cap, the table is not: rows outside the sample count."""
+    docs, labels = corpus(2400)
+    keep = [i for i, t in labels if t == 0 or i % 3 == 0]
+    df = spark.createDataFrame([docs[i] for i in keep], "doc_id long, text string, lang string, source string")
+    truth = spark.createDataFrame([labels[i] for i in keep], "doc_id long, toxic int")
+    settings = toxicity.Settings(buckets=1 << 12, class_rows=40, epochs=3, sample_words=200_000)
+    model = toxicity.fit(df, truth, settings=settings)
+    # 40 rows of a class, a fifth of them kept out: no language had 20 of each before
+    assert {"en", "de"} & set(model.thresholds)
+    scores = {r["doc_id"]: r["__score"] for r in toxicity.with_scores(df, model).collect()}
+    rows = [(docs[i][2], scores[i], labels[i][1]) for i in keep if zlib.crc32(str(i).encode()) % 5]
+
+    def f1(limit, own):
+        hits = sum(t for _, s, t in own if s >= limit)
+        return 2 * hits / (sum(s >= limit for _, s, _ in own) + sum(t for *_, t in own))
+
+    best = max(f1(s, rows) for _, s, _ in rows)
+    assert f1(model.thresholds[""], rows) >= best - 0.05
+
+
+def test_a_text_over_the_word_budget_does_not_end_the_sample(spark):
+    docs, labels = corpus(400)
+    long_text = "w1 " * 5000
+    df = spark.createDataFrame([(i, long_text if i % 40 == 0 else t, x) for i, t, x, _ in docs], "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    settings = toxicity.Settings(buckets=1 << 12, class_rows=300, epochs=3, sample_words=4999)
+    got = toxicity.fit(df, truth, settings=settings)
+    wanted = toxicity.fit(df.where("doc_id % 40 <> 0"), truth, settings=settings)
+    assert got.trained and np.allclose(got.table, wanted.table)
