@@ -22,7 +22,7 @@ FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 144, 383  # 1900-2050 has 144 * 383 da
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key": r"\bA[KS]IA[A-Z0-9]{16}\b",
-    "token": r"(?<=(?:token|secret|key|password)\s{0,3}[=:]\s{0,3}[\"']?)[0-9a-f]{16,128}\b",
+    "token": r"(?<=(?i:token|secret|key|password)\s{0,3}[=:]\s{0,3}[\"']?)[0-9a-fA-F]{16,128}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![./-]?\w)",
@@ -31,6 +31,13 @@ PATTERNS = {
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?!-?\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w)",
 }
+ASSIGNED = r"(?i:token|secret|key|password)\s{0,3}[=:]\s{0,3}[\"']?$"
+# Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW", 31: "MT",
+}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -205,7 +212,9 @@ def _key(value: Column, key: str) -> Column:
 
 
 def _token(value: Column, key: str) -> Column:
-    return permute_text(value, 16, "token", key)
+    """Upper-case tokens stay upper-case; mixed case becomes lower."""
+    moved = permute_text(F.lower(value), 16, "token", key)
+    return F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(moved)).otherwise(moved)
 
 
 KINDS = {
@@ -250,6 +259,44 @@ def pseudonym(value: Column, key: str) -> Column:
     return result
 
 
+def _extent(value: Column) -> Column:
+    """Whether a part of a found value is an IBAN of its country's length, a phone or a card."""
+    plain, digits = F.regexp_replace(value, " ", ""), _digits(value)
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+    body = F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))
+    fits = F.coalesce(F.try_element_at(lengths, F.substring(plain, 1, 2)) == F.length(plain), F.length(plain).between(15, 34))
+    iban = F.when(value.rlike(f"^(?:{PATTERNS['iban']})$") & fits, _mod97(body) == 1).otherwise(False)
+    phone = value.rlike(f"^(?:{PATTERNS['phone']})$") & F.length(digits).between(8, 15)
+    card = F.when(value.rlike(f"^(?:{PATTERNS['card']})$") & F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0)
+    return iban | phone | card.otherwise(False)
+
+
+def pieces_of(value: Column) -> Column:
+    """A found value cut into pieces: itself if it is valid or holds no valid value between
+    separators, else from left to right the longest valid ones and what is between."""
+    char = lambda i: F.substring(value, i, F.lit(1))
+    mark = lambda i: char(i).rlike("[ .()-]")
+    places = F.sequence(F.lit(1), F.length(value))
+    starts = F.filter(places, lambda i: ~mark(i) & ((i == 1) | mark(i - 1)))
+    ends = F.reverse(F.filter(places, lambda i: ~mark(i) & ((i == F.length(value)) | mark(i + 1))))
+
+    def step(state: Column, i: Column) -> Column:
+        def take(fitting: Column) -> Column:
+            end = F.get(fitting, F.lit(0))
+            pair = F.array(F.substring(value, state["last"] + 1, i - 1 - state["last"]), F.substring(value, i, end - i + 1))
+            return F.when(end.isNull(), state).otherwise(F.struct(end.alias("last"), F.concat(state["out"], pair).alias("out")))
+
+        fitting = F.filter(ends, lambda e: F.when(e >= i + 7, _extent(F.substring(value, i, e - i + 1))).otherwise(False))
+        return F.when(i <= state["last"], state).otherwise(_bound(fitting, take))
+
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<string>").alias("out"))
+    inner = F.aggregate(
+        starts, start, step, lambda s: F.concat(s["out"], F.array(F.substring(value, s["last"] + 1, F.length(value))))
+    )
+    mixed = kind_of(value).isin("iban", "card", "phone") & value.rlike("[ .-]")
+    return F.when(mixed & ~_extent(value), inner).otherwise(F.array(value))
+
+
 def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "pseudonym-key", found: str | None = None) -> DataFrame:
     """``docs`` with the personal values of ``text_col`` replaced, a text at a time.
 
@@ -259,17 +306,29 @@ def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "pseudon
     """
     text = F.col(text_col)
     values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    moved = F.transform(
-        "__values", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"), pseudonym(v, key).alias("pseudonym"))
-    )
     gaps = F.split(text, ANY, -1)
-    shown = F.transform("__moved", lambda m: F.coalesce(m["pseudonym"], m["value"]))
-    rebuilt = F.concat(F.array_join(F.zip_with(gaps, shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""))
-    out = docs.withColumn("__values", values).withColumn("__moved", F.when(F.size("__values") > 0, moved))
+
+    def moved_one(value: Column, before: Column) -> Column:
+        hidden = before.rlike(ASSIGNED) & value.rlike("^(?=.*[A-F])[0-9a-fA-F]{16,128}$")
+        kind = F.when(hidden, "token").otherwise(kind_of(value))
+        new = F.when(hidden, _token(value, key)).otherwise(pseudonym(value, key))
+        return F.struct(kind.alias("kind"), value.alias("value"), new.alias("pseudonym"))
+
+    def moved_pieces(value: Column, i: Column) -> Column:
+        before = F.substring(F.get("__gaps", i), F.lit(-20), F.lit(20))
+        return F.transform(F.when(before.rlike(ASSIGNED), F.array(value)).otherwise(pieces_of(value)), lambda v: moved_one(v, before))
+
+    moved = F.transform("__values", moved_pieces)
+    shown = F.transform(
+        "__moved", lambda m: F.array_join(F.transform(m, lambda x: F.coalesce(x["pseudonym"], x["value"])), "")
+    )
+    rebuilt = F.concat(F.array_join(F.zip_with("__gaps", shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""))
+    out = docs.withColumn("__values", values).withColumn("__gaps", F.when(F.size("__values") > 0, gaps))
+    out = out.withColumn("__moved", F.when(F.size("__values") > 0, moved))
     names = [F.when(F.col("__moved").isNotNull(), rebuilt).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     if found is not None:
         none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-        names.append(F.coalesce(F.filter("__moved", lambda m: m["pseudonym"].isNotNull()), none).alias(found))
+        names.append(F.coalesce(F.filter(F.flatten("__moved"), lambda m: m["pseudonym"].isNotNull()), none).alias(found))
     return out.select(*names)
 
 

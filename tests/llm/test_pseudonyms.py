@@ -186,3 +186,23 @@ def test_edges_of_the_table(spark):
     long_text = "word " * 200_000 + "42.144.35.254"
     got = pseudonyms.pseudonymise(spark.createDataFrame([(1, long_text)], "doc_id long, text string"), key=KEY).first()
     assert got["text"] == "word " * 200_000 + slow("ip", "42.144.35.254")
+
+
+def test_valid_values_inside_a_longer_match(spark):
+    card, plain, iban, short = "4111 1111 1111 1111", "4111111111111111", "AT61 1904 3002 3457 3201", "AT611904300234573201"
+    upper = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"
+    cases = [
+        (f"{card} 12/27", f"{slow('card', card)} 12/27"),
+        (f"{plain} 123", f"{slow('card', plain)} 123"),
+        (f"12 {card}.", f"12 {slow('card', card)}."),
+        (f"{iban} I was", f"{slow('iban', iban)} I was"),
+        (f"{short} 2024", f"{slow('iban', short)} 2024"),
+        (f"AB12 {card}", f"AB12 {slow('card', card)}"),
+        (f"TOKEN={upper}", f"TOKEN={slow('token', upper.lower()).upper()}"),
+        (f"Secret: {upper.lower()}", f"Secret: {slow('token', upper.lower())}"),
+        ("4041894974608796 12", "4041894974608796 12"),
+    ]
+    df = spark.createDataFrame([(i, given) for i, (given, _) in enumerate(cases)], "doc_id long, text string")
+    got = pseudonyms.pseudonymise(df, key=KEY).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [wanted for _, wanted in cases]
+    assert [r["n_replaced"] for r in got] == [1] * 8 + [0]
