@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import archive, automaton, contamination, graph_search, licenses, packing, pseudonyms, repeats, simhash, toxicity
+from stayrate.llm import archive, automaton, contamination, graph_search, licenses, packing, pseudonyms, repeats, sentence_pieces, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
@@ -62,6 +67,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 ORACLES = {
     "op4_decontamination": contamination.PAIRS_SQL,
