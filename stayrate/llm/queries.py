@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import archive, automaton, collocations, contamination, graph_search, licenses, packing, pseudonyms, repeats, sentence_pieces, simhash, toxicity
+from stayrate.llm import archive, automaton, collocations, contamination, graph_search, licenses, merkle, packing, pseudonyms, repeats, sentence_pieces, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_pseudonyms": op2_pseudonyms,
@@ -73,9 +77,11 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_collocations": op12_collocations,
+    "op13_merkle": op13_merkle,
 }
 ORACLES = {
     "op4_decontamination": contamination.PAIRS_SQL,
     "op5_warc": archive.ROUND_TRIP_SQL,
     "op12_collocations": collocations.COLLOCATIONS_SQL,
+    "op13_merkle": merkle.MANIFEST_SQL,
 }
