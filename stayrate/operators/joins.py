@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.errors import DataQualityError
 from stayrate.functions.cleaning import is_observed
-from stayrate.operators.quality import require, require_unique_key
-from stayrate.session import stage
+from stayrate.operators.quality import Watch, one_per_key, require_unique_key
+from stayrate.session import stage_checked
 
 
 def left_one_to_one(left: DataFrame, right: DataFrame, key: str | Sequence[str], subject: str) -> DataFrame:
@@ -208,11 +207,9 @@ def align_scored(left: DataFrame, right: DataFrame, subject: str = "scored sets"
     """Two scored sets side by side: ``(id, y, p_a, yhat_a, p_b, yhat_b)``.
 
     Full outer join with a side check: both sets must hold the same ids, once
-    each, with the same actual labels. The join is stored, so that the check
-    and whatever follows do not repeat it.
+    each, with the same actual labels. Each side is combined by id before the join, which
+    needs it dealt by id anyway, and all rules are counted by the job that stores the join.
     """
-    require_unique_key(left, "id", f"{subject} (first)")
-    require_unique_key(right, "id", f"{subject} (second)")
     a = left.select(
         "id",
         F.col("actual").alias("y"),
@@ -225,16 +222,15 @@ def align_scored(left: DataFrame, right: DataFrame, subject: str = "scored sets"
         F.col("probability").alias("p_b"),
         F.col("prediction").alias("yhat_b"),
     )
-    joined = stage(a.join(b, "id", "full"), "aligned")
-    rows = require(
-        joined,
-        {
-            "only_first": F.col("_y_b").isNull(),
-            "only_second": F.col("y").isNull(),
-            "labels_differ": F.col("y") != F.col("_y_b"),
-        },
-        subject,
-    )
-    if rows == 0:
-        raise DataQualityError(subject, {"empty": 1})
-    return joined.drop("_y_b")
+    joined = one_per_key(a, ["id"], times="_n_a").join(one_per_key(b, ["id"], times="_n_b"), "id", "full")
+    rules = {
+        "missing_keys": F.col("id").isNull(),
+        "repeated_first": F.col("_n_a") > 1,
+        "repeated_second": F.col("_n_b") > 1,
+        "only_first": F.col("_n_b").isNull(),
+        "only_second": F.col("_n_a").isNull(),
+        "labels_missing": F.col("y").isNull() | F.col("_y_b").isNull(),
+        "labels_differ": F.col("y") != F.col("_y_b"),
+    }
+    watch = Watch(subject, rules, allow_empty=False)
+    return stage_checked(watch.over(joined).select("id", "y", "p_a", "yhat_a", "p_b", "yhat_b"), "aligned", watch.check)

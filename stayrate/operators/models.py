@@ -102,7 +102,7 @@ def fit_logistic(
     counts = require_both_classes(train, label, "logistic regression")
     weights = balanced_weights(counts) if balanced else {0: 1.0, 1: 1.0}
     total = sum(weights[c] * n for c, n in counts.items())
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol=FEATURES,
         labelCol=label,
         weightCol=WEIGHT,
@@ -112,6 +112,9 @@ def fit_logistic(
         maxIter=max_iter,
         tol=tolerance,
     ).fit(weighted(train, label, weights))
+    # The summary holds the session and the training rows; it would travel with every score.
+    model._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def fit_boosted(

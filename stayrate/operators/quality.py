@@ -2,14 +2,17 @@
 
 A gate is one aggregate row of violation counters. ``audit`` returns the
 row as a DataFrame; ``require`` runs it and raises when a counter is not zero.
+``Watch`` takes the same counters in the job that writes the rows, so checking costs no
+pass of its own; keys are checked on the aggregate that makes one row of each key.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,59 @@ def require(
     return rows
 
 
+class Watch:
+    """Violation counters observed while another job reads the rows.
+
+    ``over`` puts the counters on top of a DataFrame, as the last step before it is
+    written: then each row is counted by the task that writes it, once. ``check`` raises
+    when a counter is not zero or the rows (those that are ``counted``) are not as many as
+    they should be.
+    """
+
+    def __init__(
+        self, subject: str, violations: Mapping[str, Column], allow_empty: bool = True, counted: Column | None = None
+    ):
+        self.subject = subject
+        self._allow_empty = allow_empty
+        self._rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        self._seen = Observation(f"{subject} {uuid.uuid4().hex}")
+        self._counters = [F.count_if(condition).alias(name) for name, condition in violations.items()]
+
+    def over(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen, self._rows.alias("rows"), *self._counters)
+
+    def check(self, rows: int | None = None) -> int:
+        """Row count of the finished job."""
+        found = dict(self._seen.get)
+        seen = found.pop("rows")
+        failing = {name: count for name, count in found.items() if count}
+        if not self._allow_empty and seen == 0:
+            failing["empty"] = 1
+        if rows is not None and rows != seen:
+            failing |= {"rows": seen, "expected_rows": rows}
+        if failing:
+            raise DataQualityError(self.subject, failing)
+        return seen
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], counted: Mapping[str, Column] | None = None, times: str = "_times") -> DataFrame:
+    """One row per key: any value of each other column, ``times``, and for each condition
+    of ``counted`` how many of the key's rows meet it.
+
+    For tables that should have the key once: the rows are combined by key for what
+    follows anyway, and ``times`` and the counters tell whether they should have been.
+    """
+    others = [F.first(c).alias(c) for c in df.columns if c not in set(keys)]
+    conditions = [F.count_if(condition).alias(name) for name, condition in (counted or {}).items()]
+    return df.groupBy(*keys).agg(*others, F.count(F.lit(1)).alias(times), *conditions)
+
+
+def key_violations(keys: Sequence[str], times: str = "_times") -> dict[str, Column]:
+    """Rules for rows of :func:`one_per_key`: no key part missing, no key repeated."""
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return {"missing_keys": missing, "repeated_keys": ~missing & (F.col(times) > 1)}
+
+
 def key_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows, distinct keys, rows with a missing key part, repeated-key rows.
 

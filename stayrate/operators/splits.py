@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stayrate.errors import DataQualityError
 from stayrate.operators.ordering import hash_digits, hash_key
-from stayrate.operators.quality import require_same_keys, require_unique_key
+from stayrate.operators.quality import audit, one_per_key
 from stayrate.session import stage
 
 SPLITS = ("train", "validation", "test")
@@ -100,11 +100,23 @@ def stratified_split(
 
 def check_split(assignments: DataFrame, cohort: DataFrame, id_col: str) -> None:
     """Each cohort member is assigned once and no one else is."""
-    require_unique_key(assignments, id_col, "split assignments")
-    require_same_keys(assignments, cohort, id_col, "split coverage")
-    found = {r["split"] for r in assignments.select("split").distinct().collect()}
-    if found != set(SPLITS):
-        raise DataQualityError(f"splits found: {sorted(found)}", {"splits": len(found)})
+    keyed = one_per_key(assignments.select(id_col, "split"), [id_col], times="_assigned")
+    wanted = cohort.select(id_col).distinct().withColumn("_wanted", F.lit(1))
+    assigned = F.col("_assigned").isNotNull()
+    known = F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
+    counts = {
+        "missing_keys": assigned & F.col(id_col).isNull(),
+        "repeated_keys": F.col("_assigned") > 1,
+        "unassigned": ~assigned & F.col(id_col).isNotNull(),
+        "outsiders": assigned & F.col("_wanted").isNull() & F.col(id_col).isNotNull(),
+        "unknown_splits": assigned & ~known,
+    }
+    row = audit(keyed.join(wanted, id_col, "full"), {**counts, **{f"in_{s}": F.col("split") == s for s in SPLITS}})
+    found = row.first().asDict()
+    failing = {name: found[name] for name in counts if found[name]}
+    failing |= {f"empty_{s}": 1 for s in SPLITS if not found[f"in_{s}"]}
+    if failing:
+        raise DataQualityError("split assignments", failing)
 
 
 def chronological_split(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,16 @@ from stayrate.functions.cleaning import (
     tolerant_int,
     tolerant_long,
 )
-from stayrate.operators.joins import drop_outsiders, inner_all, label_disagreements
+from stayrate.operators.joins import drop_outsiders
 from stayrate.operators.profile import distribution, share_of_total, top_values
 from stayrate.operators.quality import (
+    Watch,
     any_negative,
     any_outside,
     any_present,
     bad_label,
-    cohort_gate,
-    require,
-    require_unique_key,
+    key_violations,
+    one_per_key,
 )
 from stayrate.operators.windows import (
     Period,
@@ -40,10 +41,10 @@ from stayrate.operators.windows import (
     transaction_features,
     transaction_totals,
 )
-from stayrate.session import stage, staging
+from stayrate.session import stage_bucketed, staging
 from stayrate.sources.readers import read_parquet
 from stayrate.sources.schemas import ACTIVITY_LOG
-from stayrate.sources.sinks import write_parquet
+from stayrate.sources.sinks import publish
 from stayrate.streaming.ingest import IngestTotals, ingest_batch
 
 
@@ -112,14 +113,33 @@ def parse_activity(logs: DataFrame, id_col: str = "msno") -> DataFrame:
     )
 
 
-def gate_features(
-    features: DataFrame, cohort_rows: int, names: CohortNames, subject: str, violations: dict
+def checked_cohort(cohort: DataFrame, names: CohortNames) -> tuple[DataFrame, int]:
+    """The cohort, stored once by id with its gate observed in that write, and its size."""
+    keyed = one_per_key(cohort, [names.id], {"_bad": bad_label(names.label)})
+    watch = Watch("cohort", {**key_violations([names.id]), "bad_labels": F.col("_bad") > 0}, allow_empty=False)
+    stored = stage_bucketed(watch.over(keyed).select(*cohort.columns), "cohort", names.id)
+    return stored, watch.check()
+
+
+def publish_features(
+    features: DataFrame,
+    cohort_rows: int,
+    names: CohortNames,
+    subject: str,
+    violations: dict,
+    output: str,
+    table: str | None,
+    columns: Sequence[str] | None = None,
 ) -> None:
-    """One row per cohort member and no rule violated."""
-    rows = require_unique_key(features, names.id, subject)
-    if rows != cohort_rows:
-        raise DataQualityError(subject, {"rows": rows, "cohort_rows": cohort_rows})
-    require(features, {"bad_labels": bad_label(names.label), **violations}, subject)
+    """Store feature rows if there is one per cohort member and no rule is violated.
+
+    ``features`` has one row per id because both sides of its join have; rules may use
+    columns besides the stored ``columns``.
+    """
+    rules = {"missing_ids": F.col(names.id).isNull(), "bad_labels": bad_label(names.label), **violations}
+    watch = Watch(subject, rules)
+    watched = watch.over(features)
+    publish(watched if columns is None else watched.select(*columns), watch, output, cohort_rows, table, names.id)
 
 
 def behaviour_features(
@@ -147,25 +167,28 @@ def behaviour_features(
 
 
 def behaviour_flow(
-    cohort: DataFrame, raw_logs: DataFrame, output: str, names: CohortNames = CohortNames()
+    cohort: DataFrame, raw_logs: DataFrame, output: str, names: CohortNames = CohortNames(), table: str | None = None
 ) -> DataFrame:
-    """Gate, build, gate and store the behaviour features; returns the date report."""
-    cohort_rows = cohort_gate(cohort, names.id, names.label)
+    """Gate, build, and store the behaviour features that pass; returns the date report.
+
+    With ``table`` they are stored by id under that name, here and in the other flows.
+    """
     logs = parse_activity(raw_logs, names.id)
     report = date_coverage(logs, ["log_date"], "log_date", FIRST_DAY, LAST_DAY)
     window = parse_activity(activity_window(raw_logs), names.id)
     with staging(cohort.sparkSession):
-        features = stage(behaviour_features(cohort, window, names, MONTHS, cohort_rows), "behaviour")
+        stored, cohort_rows = checked_cohort(cohort, names)
         days = [f"active_days_{p.suffix}" for p in MONTHS]
         averages = [f"avg_daily_secs_{p.suffix}" for p in MONTHS]
-        gate_features(
-            features,
+        publish_features(
+            behaviour_features(stored, window, names, MONTHS, cohort_rows),
             cohort_rows,
             names,
             "behaviour features",
             {"negative_days": any_negative(days), "negative_averages": any_negative(averages)},
+            output,
+            table,
         )
-        write_parquet(features, output)
     return report
 
 
@@ -183,25 +206,24 @@ def parse_transactions(raw: DataFrame, id_col: str = "msno") -> DataFrame:
 
 
 def transaction_flow(
-    cohort: DataFrame, raw: DataFrame, output: str, names: CohortNames = CohortNames()
+    cohort: DataFrame, raw: DataFrame, output: str, names: CohortNames = CohortNames(), table: str | None = None
 ) -> dict[str, DataFrame]:
-    """Gate, build, gate and store the transaction features; returns source reports."""
-    cohort_rows = cohort_gate(cohort, names.id, names.label)
+    """Gate, build, and store the transaction features that pass; returns source reports."""
     parsed = parse_transactions(raw, names.id)
     inside = parsed.where(F.col("transaction_date").between(F.lit(FIRST_DAY), F.lit(LAST_DAY)))
-    totals = transaction_totals(
-        drop_outsiders(parsed, cohort, names.id, cohort_rows),
-        TRANSACTIONS,
-        FIRST_DAY,
-        LAST_DAY,
-        EARLIEST_EXPIRY,
-    )
     with staging(cohort.sparkSession):
-        features = stage(transaction_features(cohort, totals, names.id), "transactions")
+        stored, cohort_rows = checked_cohort(cohort, names)
+        totals = transaction_totals(
+            drop_outsiders(parsed, stored, names.id, cohort_rows),
+            TRANSACTIONS,
+            FIRST_DAY,
+            LAST_DAY,
+            EARLIEST_EXPIRY,
+        )
         rates = ["auto_renew_rate", "cancellation_rate"]
         windowed = ["avg_amount_paid", "avg_payment_plan_days", *rates, "transaction_recency_days"]
-        gate_features(
-            features,
+        publish_features(
+            transaction_features(stored, totals, names.id),
             cohort_rows,
             names,
             "transaction features",
@@ -211,8 +233,9 @@ def transaction_flow(
                 "negative_recency": F.col("transaction_recency_days") < 0,
                 "inconsistent_empty": (F.col("transaction_count") == 0) & any_present(windowed),
             },
+            output,
+            table,
         )
-        write_parquet(features, output)
     return {
         "dates": date_coverage(
             parsed, ["transaction_date", "membership_expire_date"], "transaction_date", FIRST_DAY, LAST_DAY
@@ -242,25 +265,31 @@ def member_features(cohort: DataFrame, members: DataFrame, id_col: str) -> DataF
 
 
 def member_flow(
-    cohort: DataFrame, raw: DataFrame, output: str, names: CohortNames = CohortNames()
+    cohort: DataFrame, raw: DataFrame, output: str, names: CohortNames = CohortNames(), table: str | None = None
 ) -> dict[str, DataFrame]:
-    """Gate, clean, join, gate and store the member features; returns profiles."""
-    cohort_rows = cohort_gate(cohort, names.id, names.label)
-    members = clean_members(raw, names.id)
-    require_unique_key(members, names.id, "members")
+    """Gate, clean, join, and store the member features that pass; returns profiles.
+
+    All members must be there once, also those outside the cohort: the members are
+    combined by id, and the join keeps the outsiders until they are counted.
+    """
     with staging(cohort.sparkSession):
-        features = stage(member_features(cohort, members, names.id), "members")
-        gate_features(
-            features,
-            cohort_rows,
-            names,
-            "member features",
-            {
-                "invalid_age": ~F.col("age").between(*AGE_RANGE),
-                "invalid_month": ~F.col("registration_month").between(1, 12),
-            },
-        )
-        write_parquet(features, output)
+        stored, cohort_rows = checked_cohort(cohort, names)
+        members = clean_members(raw, names.id)
+        keyed = one_per_key(members, [names.id], times="_member")
+        joined = stored.withColumn("_inside", F.lit(True)).join(keyed, names.id, "full")
+        inside = F.coalesce(F.col("_inside"), F.lit(False))
+        rules = {
+            "cohort_ids_missing": inside & F.col(names.id).isNull(),
+            "member_ids_missing": ~inside & F.col(names.id).isNull(),
+            "repeated_members": F.col("_member") > 1,
+            "bad_labels": inside & bad_label(names.label),
+            "invalid_age": inside & ~F.col("age").between(*AGE_RANGE),
+            "invalid_month": inside & ~F.col("registration_month").between(1, 12),
+        }
+        watch = Watch("member features", rules, counted=inside)
+        kept = [*stored.columns, *[c for c in members.columns if c != names.id]]
+        # Outsiders are counted by the watch and dropped by the task that writes the rest.
+        publish(watch.over(joined).where(inside).select(*kept), watch, output, cohort_rows, table, names.id)
     return {
         "gender": distribution(members, ["gender"]),
         "city": top_values(members, "city"),
@@ -273,10 +302,26 @@ def member_flow(
     }
 
 
-def join_feature_groups(tables: Sequence[DataFrame], names: CohortNames) -> DataFrame:
-    """Inner join of the feature groups on the id, label taken from the first."""
-    rest = [t.drop(names.label) for t in tables[1:]]
-    return inner_all([tables[0], *rest], names.id)
+def watched_groups(tables: Sequence[DataFrame], names: CohortNames) -> DataFrame:
+    """The first feature group with those of the others beside it, one row per id, and for
+    each group i ``_n{i}`` (rows of the id, NULL for none) and ``_l{i}`` (label).
+
+    A feature that several groups have is the first's. Groups stored by id with equal
+    buckets are joined as they lie: a left join leaves the rows dealt as they were.
+    """
+    joined = None
+    for i, group in enumerate(tables):
+        own = [c for c in group.columns if joined is None or c == names.id or c not in joined.columns]
+        keyed = one_per_key(group.select(*own).withColumnRenamed(names.label, f"_l{i}"), [names.id], times=f"_n{i}")
+        joined = keyed if joined is None else joined.join(keyed, names.id, "left")
+    return joined
+
+
+def group_sizes(tables: Sequence[DataFrame]) -> list[int]:
+    """Rows of each table, in one job that reads no column."""
+    marks = [t.select(F.lit(i).alias("i")) for i, t in enumerate(tables)]
+    row = reduce(DataFrame.unionAll, marks).agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(tables))])
+    return list(row.first())
 
 
 def model_dataset_flow(
@@ -285,20 +330,33 @@ def model_dataset_flow(
     members: DataFrame,
     output: str,
     names: CohortNames = CohortNames(),
+    table: str | None = None,
 ) -> DataFrame:
-    """Gate the three sources, join, gate and store; returns the label shares."""
-    tables = {"behaviour": behaviour, "transactions": transactions, "members": members}
-    sizes = {n: require_unique_key(t, names.id, n) for n, t in tables.items()}
-    if len(set(sizes.values())) != 1:
-        raise DataQualityError("feature tables differ in size", sizes)
-    differing = label_disagreements(list(tables.values()), names.id, names.label).first()[0]
-    if differing:
-        raise DataQualityError("labels differ between sources", {"disagreements": differing})
-    with staging(behaviour.sparkSession):
-        dataset = stage(join_feature_groups(list(tables.values()), names), "model-dataset")
-        counts = ["transaction_count", "valid_expiry_count", *[f"active_days_{p.suffix}" for p in MONTHS]]
-        gate_features(
-            dataset, sizes["behaviour"], names, "model dataset", {"invalid_counts": any_negative(counts)}
-        )
-        write_parquet(dataset, output)
+    """Join the three sources and store the result if it passes; returns the label shares.
+
+    The sources must be of one size; all else is counted by the job that writes: ids
+    missing or repeated, ids of the first that another lacks (with equal sizes there are
+    then none the other way), labels that differ, counts below zero.
+    """
+    groups = [behaviour, transactions, members]
+    sizes = group_sizes(groups)
+    if len(set(sizes)) != 1:
+        raise DataQualityError("feature tables differ in size", dict(zip(("behaviour", "transactions", "members"), sizes)))
+    joined = watched_groups(groups, names)
+    held = [F.col(f"_n{i}").isNotNull() for i in range(len(groups))]
+    everywhere = reduce(lambda a, b: a & b, held)
+    counts = ["transaction_count", "valid_expiry_count", *[f"active_days_{p.suffix}" for p in MONTHS]]
+    differ = reduce(lambda a, b: a | b, [~F.col(f"_l{i}").eqNullSafe(F.col("_l0")) for i in range(1, len(groups))])
+    rules = {
+        "missing_ids": F.col(names.id).isNull(),
+        "repeated_ids": reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_n{i}") > 1, F.lit(False)) for i in range(len(groups))]),
+        "absent from a source": ~everywhere,
+        "labels differ": everywhere & differ,
+        "bad_labels": everywhere & bad_label("_l0"),
+        "invalid_counts": any_negative(counts),
+    }
+    watch = Watch("model dataset", rules, allow_empty=False)
+    kept = list(dict.fromkeys(c for g in groups for c in g.columns))
+    dataset = watch.over(joined).withColumnRenamed("_l0", names.label).select(*kept)
+    publish(dataset, watch, output, sizes[0], table, names.id)
     return share_of_total(read_parquet(behaviour.sparkSession, output), [names.label], "customers")

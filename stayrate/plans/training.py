@@ -19,12 +19,13 @@ from stayrate.operators.joins import key_overlap
 from stayrate.operators.preprocess import FEATURES, Preprocessor, fit_preprocessor
 from stayrate.operators.quality import (
     bad_label,
+    key_violations,
+    one_per_key,
     require,
     require_absent,
     require_chronological,
     require_columns,
     require_numeric,
-    require_unique_key,
 )
 from stayrate.operators.splits import (
     SPLITS,
@@ -59,8 +60,9 @@ def split_flow(
 ) -> DataFrame:
     """Gate, split by class, check, and store assignments with their summary."""
     require_columns(dataset, [id_col, label, *categorical], "model dataset")
-    require_unique_key(dataset, id_col, "model dataset")
-    require(dataset, {"bad_labels": bad_label(label)}, "model dataset", allow_empty=False)
+    keyed = one_per_key(dataset.select(id_col, label), [id_col], {"_bad": bad_label(label)})
+    rules = {**key_violations([id_col]), "bad_labels": F.col("_bad") > 0}
+    require(keyed, rules, "model dataset", allow_empty=False)
     numeric, named = select_predictors(dataset, [id_col, label, "split"], categorical)
     require_numeric(dataset, numeric, "model dataset")
     with staging(dataset.sparkSession):

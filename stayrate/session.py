@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SCOPE: ContextVar[list[str] | None] = ContextVar("staged paths", default=None)
 
@@ -78,6 +79,61 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_checked(df: DataFrame, label: str, check: Callable[[], object]) -> DataFrame:
+    """:func:`stage`, and what was written is removed again if ``check`` raises."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    df.write.mode("overwrite").parquet(path)
+    try:
+        check()
+    except BaseException:
+        remove_path(spark, path)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a table stored for joins: as many as an exchange has partitions, so the
+    task that holds a partition writes whole buckets."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def create_bucketed(spark: SparkSession, table: str, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """Catalogue entry for a bucketed Parquet folder, replacing one of that name."""
+    quoted = f"`{key}`"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet "
+        f"CLUSTERED BY ({quoted}) SORTED BY ({quoted}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` bucketed and sorted by ``key``, with a catalogue entry.
+
+    Tables with the same number of buckets are joined on the key without an exchange.
+    """
+    spark = df.sparkSession
+    created = create_bucketed(spark, table, path, df.schema, key, buckets or bucket_count(spark))
+    df.write.insertInto(table, overwrite=True)
+    return created
+
+
+def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """:func:`stage`, bucketed by a key the following joins use."""
+    spark = df.sparkSession
+    path, table = work_path(spark, label), f"staged_{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope += [path, f"table:{table}"]
+    return write_bucketed(df, table, path, key)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Whatever is staged inside is removed at the end, also after a failure.
@@ -92,7 +148,10 @@ def staging(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPE.reset(token)
         for path in scope:
-            remove_path(spark, path)
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                remove_path(spark, path)
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -122,6 +181,18 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return bool(file_system.delete(hadoop_path, True))
 
 
+def replace_path(spark: SparkSession, path: str, target: str) -> None:
+    """Put ``path`` in the place of ``target`` through the file system that owns both.
+
+    A rename on HDFS and alike; an object store copies.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    file_system = files.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.delete(files.Path(target), True)
+    if not file_system.rename(files.Path(path), files.Path(target)):
+        raise OSError(f"cannot rename {path} to {target}")
+
+
 def release_staged(spark: SparkSession) -> bool:
     """Drop everything :func:`stage` wrote for this application.
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from stayrate.operators.quality import Watch
+from stayrate.session import bucket_count, create_bucketed, remove_path, replace_path, write_bucketed
+
 
 def write_parquet(
     df: DataFrame,
@@ -24,6 +28,40 @@ def write_parquet(
     writer.parquet(path)
 
 
+def publish(
+    df: DataFrame,
+    watch: Watch,
+    path: str,
+    rows: int | None = None,
+    table: str | None = None,
+    key: str | None = None,
+) -> int:
+    """Write ``df``, built on ``watch.over``, and let it appear at ``path`` if the watch passes.
+
+    The rows go to a folder beside ``path`` and are counted by the tasks that write them; a
+    violated rule removes the folder and leaves what was at ``path`` before. With ``table``
+    and ``key`` the folder is bucketed and sorted by the key and gets a catalogue entry, so
+    tables published alike are joined without an exchange. Returns the number of rows.
+    """
+    spark = df.sparkSession
+    pending, entry = f"{path.rstrip('/')}.pending-{uuid.uuid4().hex}", f"pending_{uuid.uuid4().hex}"
+    try:
+        if table is None:
+            write_parquet(df, pending)
+        else:
+            write_bucketed(df, entry, pending, key)
+            spark.sql(f"DROP TABLE {entry}")
+        found = watch.check(rows)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+        remove_path(spark, pending)
+        raise
+    replace_path(spark, pending, path)
+    if table is not None:
+        create_bucketed(spark, table, path, df.schema, key, bucket_count(spark))
+    return found
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV folder with headers; part files are written in parallel."""
     df.write.mode("overwrite").option("header", True).csv(path)

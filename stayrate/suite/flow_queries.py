@@ -60,10 +60,16 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Fresh path and catalogue name of a flow's output."""
+    path = work_path(spark, f"flow-{name}")
+    return path, f"{name}_{path[-12:]}"
+
+
 def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "flow-behaviour")
-    C.behaviour_flow(_cohort(spark, sf_dir), _logs(spark, sf_dir), path)
-    return read_parquet(spark, path)
+    path, table = _stored(spark, "behaviour")
+    C.behaviour_flow(_cohort(spark, sf_dir), _logs(spark, sf_dir), path, table=table)
+    return spark.table(table)
 
 
 def behaviour_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +84,9 @@ def behaviour_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "flow-transactions")
-    C.transaction_flow(_cohort(spark, sf_dir), _transactions(spark, sf_dir), path)
-    return read_parquet(spark, path)
+    path, table = _stored(spark, "transactions")
+    C.transaction_flow(_cohort(spark, sf_dir), _transactions(spark, sf_dir), path, table=table)
+    return spark.table(table)
 
 
 def transaction_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +95,16 @@ def transaction_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "flow-members")
-    C.member_flow(_cohort(spark, sf_dir), _members(spark, sf_dir), path)
-    return read_parquet(spark, path)
+    path, table = _stored(spark, "members")
+    C.member_flow(_cohort(spark, sf_dir), _members(spark, sf_dir), path, table=table)
+    return spark.table(table)
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "flow-dataset")
+    path, table = _stored(spark, "dataset")
     tables = [build(spark, sf_dir) for build in (_behaviour, _paid, _profiles)]
-    C.model_dataset_flow(*tables, path)
-    return read_parquet(spark, path)
+    C.model_dataset_flow(*tables, path, table=table)
+    return spark.table(table)
 
 
 def dataset_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from conftest import rows_of
 from test_panel import CALENDAR, make_tables
+from test_quality import executions
 
 from stayrate.errors import DataQualityError
 from stayrate.operators import models as L
@@ -153,6 +155,52 @@ def test_flow_refuses_bad_cohort(spark, built, tmp_path):
         C.model_dataset_flow(dataset, dataset.limit(3), dataset, str(tmp_path))
 
 
+def test_groups_stored_by_id_join_without_an_exchange(spark, raw, built, tmp_path):
+    """Each flow is two jobs: its cohort by id, and the write that also checks."""
+    folder, *_ = raw
+    _, cohort, dataset, *_ = built
+    logs = R.read_parquet(spark, f"{built[0]}/logs")
+    transactions = R.read_text_csv(spark, f"{folder}/transactions.csv", S.TRANSACTION_COLUMNS)
+    members = R.read_text_csv(spark, f"{folder}/members.csv", S.MEMBER_COLUMNS)
+    for name, flow, source in (
+        ("b", C.behaviour_flow, logs), ("t", C.transaction_flow, transactions), ("m", C.member_flow, members)
+    ):
+        _, jobs = executions(spark, lambda: flow(cohort, source, f"{tmp_path}/{name}", table=f"groups_{name}"))
+        assert jobs == 2
+    groups = [spark.table(f"groups_{n}") for n in "btm"]
+    joined = C.watched_groups(groups, C.CohortNames())
+    # Without runtime statistics, and with small tables kept from being broadcast.
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plain = C.watched_groups([R.read_parquet(spark, f"{tmp_path}/{n}") for n in "btm"], C.CohortNames())
+        assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    shares, jobs = executions(spark, lambda: C.model_dataset_flow(*groups, f"{tmp_path}/d", table="groups_d"))
+    assert jobs == 2 and sum(r.customers for r in shares.collect()) == PEOPLE
+    assert rows_of(spark.table("groups_d"), "msno") == rows_of(dataset, "msno")
+    for n in "btmd":
+        spark.sql(f"DROP TABLE groups_{n}")
+
+
+def test_a_failed_flow_leaves_nothing(spark, built, tmp_path):
+    _, cohort, dataset, *_ = built
+    groups = [dataset.select("msno", "is_churn", *columns) for columns in (
+        [c for c in dataset.columns if "_M" in c], ["transaction_count", "valid_expiry_count"], ["city"]
+    )]
+    twice = groups[2].unionByName(groups[2].limit(1))
+    negative = groups[1].withColumn("transaction_count", F.lit(-1))
+    for bad in ([*groups[:2], twice], [groups[0], negative, groups[2]], [groups[0], groups[1].limit(9), groups[2]]):
+        with pytest.raises(DataQualityError):
+            C.model_dataset_flow(*bad, f"{tmp_path}/out", table="never")
+        assert list(tmp_path.iterdir()) == [] and not spark.catalog.tableExists("never")
+
+
 def test_profiles(spark, raw, built):
     folder, ids, churn, transactions, *_ = raw
     _, cohort, *_ = built

@@ -11,6 +11,7 @@ from stayrate.errors import DataQualityError, MissingInputError
 from stayrate.operators import quality as Q
 from stayrate.operators.joins import align_scored, left_one_to_one
 from stayrate.sources.readers import load_predictions, require_inputs
+from stayrate.sources.sinks import publish
 
 
 def cohort(spark, rows):
@@ -139,3 +140,55 @@ def test_missing_inputs_are_all_named(spark, tmp_path):
 
 def test_violations_pass_when_none(spark):
     assert Q.require(cohort(spark, [("a", 0)]), {"bad": F.col("y") > 5}, "table") == 1
+
+
+def executions(spark, run):
+    """Number of queries with jobs that ``run`` starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    result = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    listed = store.executionsList(int(before), int(store.executionsCount() - before))
+    return result, sum(1 for i in range(listed.size()) if not listed.apply(i).jobs().isEmpty())
+
+
+def test_watch_counts_in_the_job_that_writes(spark, tmp_path):
+    df = spark.range(1000).withColumn("y", (F.col("id") % 2).cast("int"))
+    watch = Q.Watch("rows", {"negative": F.col("id") < 0, "bad": Q.bad_label("y")})
+    rows, jobs = executions(spark, lambda: publish(watch.over(df), watch, f"{tmp_path}/out", 1000))
+    assert (rows, jobs) == (1000, 1) and spark.read.parquet(f"{tmp_path}/out").count() == 1000
+
+
+@pytest.mark.parametrize("table", [None, "published_rows"])
+def test_a_violated_rule_leaves_no_output(spark, tmp_path, table):
+    df = spark.range(100)
+    for rules, rows in (({"large": F.col("id") > 98}, None), ({"large": F.col("id") > 200}, 99)):
+        watch = Q.Watch("rows", rules)
+        with pytest.raises(DataQualityError):
+            publish(watch.over(df), watch, f"{tmp_path}/out", rows, table, "id")
+        assert list(tmp_path.iterdir()) == [] and (table is None or not spark.catalog.tableExists(table))
+    good = Q.Watch("rows", {"large": F.col("id") > 200})
+    publish(good.over(df), good, f"{tmp_path}/out", 100, table, "id")
+    bad = Q.Watch("rows", {"large": F.col("id") > 5})
+    with pytest.raises(DataQualityError):
+        publish(bad.over(df.limit(10)), bad, f"{tmp_path}/out", None, table, "id")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    if table:
+        assert spark.table(table).count() == 100
+        spark.sql(f"DROP TABLE {table}")
+
+
+def test_watch_of_nothing(spark, tmp_path):
+    watch = Q.Watch("rows", {}, allow_empty=False)
+    with pytest.raises(DataQualityError):
+        publish(watch.over(spark.range(0)), watch, f"{tmp_path}/out")
+    watch = Q.Watch("rows", {})
+    assert publish(watch.over(spark.range(0)), watch, f"{tmp_path}/out") == 0
+
+
+def test_one_per_key_tells_what_is_wrong(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), (None, 1), (None, 1)], "id string, y int")
+    keyed = Q.one_per_key(df, ["id"], {"bad": Q.bad_label("y")})
+    found = Q.audit(keyed, {**Q.key_violations(["id"]), "bad": F.col("bad") > 0}).first()
+    assert tuple(found) == (3, 1, 1, 1)
