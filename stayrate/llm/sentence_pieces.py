@@ -8,14 +8,16 @@ piece before it; else its next shorter prefix is tried. A place where no piece f
 marked in a bitfield, the last piece is taken back and its shorter prefixes follow, so
 each place fails once. Characters without a piece never merge and become their bytes.
 
-No piece of such a model holds a blank behind another character, so texts fall into
-blanks and the word behind them, and what was found for a word is kept for its next
-occurrence. A model with such a piece is read text by text instead.
+No merge crosses a boundary that no piece holds. No piece of such a model holds a blank
+behind another character, nor a letter beside a mark, so texts fall into blanks and the
+word or marks behind them, and what was found for one is kept for its next occurrence. A
+model with a blank inside a piece is read text by text instead.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +30,10 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 REPLACEMENT = "�"
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 19
 KEPT_CHARS = 64
 KEPT_PAIRS = 1 << 18
+NEVER = float("-inf")
 OUT_BYTES = 4 << 20
 # The piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -82,73 +85,87 @@ class Encoder:
         self.bytes = dict(zip(range(256), (i for i, kind in enumerate(model.kinds) if kind == BYTE)))
         self.backwards = ahocorasick.Automaton()
         for piece in self.id:
-            self.backwards.add_word(piece[::-1], len(piece))
+            self.backwards.add_word(piece[::-1], piece)
         self.backwards.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p in self.id}
         inside = re.compile(f"[^{BLANK}]{BLANK}")
         self.by_word = not any(inside.search(p) for p in self.score)
-        self.words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # Characters no piece joins with others: a run of them is a word of its own.
+        apart = {chr(c) for c in range(128) if not chr(c).isalpha()}
+        while mixed := {a if a in apart else b for p in self.score for a, b in zip(p, p[1:]) if a != BLANK and (a in apart) != (b in apart)}:
+            apart -= mixed
+        marks = re.escape("".join(sorted(apart)))
+        other = f"|{BLANK}*[{marks}]+" if marks else ""
+        self.words = re.compile(f"{BLANK}*[^{BLANK}{marks}]+{other}|{BLANK}+")
         self.kept: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The best pair first, the left one of equals, until no pair is a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [self.score.get(a + b) for a, b in zip(parts, parts[1:])]
-            best = max((s for s in found if s is not None), default=None)
-            if best is None:
+        parts, score = list(text), self.score
+        worth = [score.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while worth:
+            best = max(worth)
+            if best == NEVER:
                 break
-            at = found.index(best)
+            at = worth.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del worth[at]
+            if at:
+                worth[at - 1] = score.get(parts[at - 1] + parts[at], NEVER)
+            if at < len(worth):
+                worth[at] = score.get(parts[at] + parts[at + 1], NEVER)
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, pair: tuple[str, str]) -> bool:
         """Whether both are what merging gives for their characters."""
-        if left not in self.id or right not in self.id:
-            return True
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        left, right = pair
+        known = left not in self.id or right not in self.id or self.merged(left + right) == [left, right]
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        self.pairs[pair] = known
         return known
 
     def split(self, text: str) -> list[str]:
         """Pieces of the text; a character without a piece stands for itself."""
-        size = len(text)
-        longest = [1] * size
-        for stop, length in self.backwards.iter(text[::-1]):
-            start = size - 1 - stop
-            longest[start] = max(longest[start], length)
+        size, pairs, shorter = len(text), self.pairs, self.shorter
+        # Matches come longest first for each end, which is where the piece starts.
+        longest = dict(reversed(list(self.backwards.iter(text[::-1]))))
         failed = bytearray(size // 8 + 1)
+        backtracked = False
         taken: list[str] = []
-        at = 0
-        piece: str | None = text[: longest[0]] if size else None
+        last, at = "", 0
+        piece: str | None = longest.get(size - 1) or text[:1]
         while at < size:
             while piece is not None:
                 stop = at + len(piece)
-                if not failed[stop >> 3] >> (stop & 7) & 1 and (not taken or self.fits(taken[-1], piece)):
-                    break
-                piece = self.shorter.get(piece)
+                if not (backtracked and failed[stop >> 3] >> (stop & 7) & 1):
+                    if not at:
+                        break
+                    pair = (last, piece)
+                    known = pairs.get(pair)
+                    if known or (known is None and self.fits(pair)):
+                        break
+                piece = shorter.get(piece)
             if piece is None:
                 failed[at >> 3] |= 1 << (at & 7)
+                backtracked = True
                 piece = taken.pop()
+                last = taken[-1] if taken else ""
                 at -= len(piece)
             else:
                 taken.append(piece)
-                at = stop
-                piece = text[at : at + longest[at]] if at < size else None
+                last, at = piece, stop
+                piece = longest.get(size - 1 - at) or text[at : at + 1]
         return taken
 
     def ids_of(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(word):
-            if piece in self.id:
-                ids.append(self.id[piece])
-            else:
-                ids += [self.bytes[b] for b in piece.encode()]
-        found = np.array(ids, np.int32).tobytes()
+        pieces, id = self.split(word), self.id
+        try:
+            ids = [id[p] for p in pieces]
+        except KeyError:
+            ids = [i for p in pieces for i in ([id[p]] if p in id else map(self.bytes.__getitem__, p.encode()))]
+        found = array("i", ids).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
