@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.operators.joins import salted_join
-from stayrate.operators.metrics import evaluate, evaluate_scores
-from stayrate.operators.ordering import hash_rank
+from stayrate.operators.metrics import evaluate, gated, ratio_or_zero
+from stayrate.operators.ordering import hash_rank, running_totals
 from stayrate.operators.quality import require_both_classes
 from stayrate.session import spread, stage
 
@@ -26,6 +26,8 @@ METRICS = (
 BOOTSTRAP_METRICS = ("average_precision", "roc_auc", "f1")
 MIN_REPLICATES = 100
 MIN_CLUSTERS = 10
+# Replicates whose weights travel side by side in one row.
+WIDTH = 16
 
 
 def stack_models(pair: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -80,15 +82,111 @@ def drawn_weight(replicate: Column, row: Column, seed: int) -> Column:
     return weight
 
 
+def _slots() -> list[str]:
+    return [f"w{j}" for j in range(WIDTH)]
+
+
 def weighted_replicates(pair: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(replicate, model, y, p, yhat, w): every row with a weight in every replicate.
+    """``pair`` once per block of replicates, with the row's weight in each: block, w0, w1, ...
+
+    Replicate ``block * WIDTH + j + 1`` has the weights ``wj``. No draw is exchanged.
+    """
+    blocks = -(-replicates // WIDTH)
+    first = F.col("block") * WIDTH + 1
+    rows = spread(pair, "id").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    weights = F.transform(F.sequence(first, first + WIDTH - 1), lambda r: drawn_weight(r, F.col("id"), seed))
+    # One array first, so that a weight is drawn once however often it is used.
+    drawn = rows.withColumn("w", weights)
+    return drawn.select("*", *[F.get("w", F.lit(j)).alias(name) for j, name in enumerate(_slots())]).drop("w")
+
+
+def drawn_replicates(pair: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
+    """The same form from draws: each class is resampled to its own size.
 
-    No draw is exchanged: weights are made where the row is and collapse to one row
-    per (replicate, model, score) before the first exchange.
+    Rows get dense indexes in hash order; every row stands for one slot per replicate, whose
+    draw points at an index. Draws are counted by (class, index), whose keys are uniform,
+    side by side for a block of replicates, and meet their rows under the same partitioning.
     """
-    rows = spread(pair, "id").select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    weighted = rows.withColumn("w", drawn_weight(F.col("replicate"), F.col("id"), seed)).where("w > 0")
-    return stack_models(weighted, ["replicate", "w"])
+    indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
+    size = F.when(F.col("y") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
+    draws = spread(indexed.select("y", "idx"), "y", "idx").select(
+        "y", "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    ).select(
+        "y",
+        F.floor((F.col("replicate") - 1) / WIDTH).cast("int").alias("block"),
+        ((F.col("replicate") - 1) % WIDTH).cast("int").alias("slot"),
+        drawn_index(F.col("replicate"), F.col("y"), F.col("idx"), seed, size).alias("idx"),
+    )
+    counted = spread(draws, "y", "idx").groupBy("y", "idx", "block").agg(
+        *[F.count_if(F.col("slot") == j).alias(name) for j, name in enumerate(_slots())]
+    )
+    return counted.join(indexed, ["y", "idx"]).drop("idx")
+
+
+def replicate_rankings(scores: DataFrame, keys: Sequence[str], replicates: int, rows_per_bucket: int | None = None) -> DataFrame:
+    """Per (replicate, key): positives, negatives, average precision, ROC-AUC.
+
+    ``scores`` has one row per (block, key, p) with the weight of positives and negatives in
+    each replicate of the block: pos0, neg0, pos1, ... The scores are ordered once for a
+    block, and the replicates are added up side by side.
+    """
+    groups = ["block", *keys]
+    measures = [f"{m}{j}" for j in range(WIDTH) for m in ("pos", "neg")]
+    curve = running_totals(scores, "p", measures, groups, descending=True, rows_per_bucket=rows_per_bucket)
+    sums = []
+    for j in range(WIDTH):
+        pos, neg = F.col(f"pos{j}").cast("double"), F.col(f"neg{j}").cast("double")
+        above, below = F.col(f"cum_pos{j}"), F.col(f"cum_neg{j}")
+        precision = above / F.nullif((above + below).cast("double"), F.lit(0.0))
+        sums += [
+            F.max(f"all_pos{j}").alias(f"positives{j}"),
+            F.max(f"all_neg{j}").alias(f"negatives{j}"),
+            F.sum(pos * precision).alias(f"steps{j}"),
+            F.sum(neg * (above - pos / 2)).alias(f"pairs{j}"),
+        ]
+    summed = curve.groupBy(*groups).agg(*sums)
+    slots = F.array(
+        *[
+            F.struct(
+                (F.col("block") * WIDTH + 1 + j).cast("int").alias("replicate"),
+                *[F.col(f"{c}{j}").alias(c) for c in ("positives", "negatives", "steps", "pairs")],
+            )
+            for j in range(WIDTH)
+        ]
+    )
+    positives, negatives = F.col("positives").cast("double"), F.col("negatives").cast("double")
+    return (
+        summed.select(*keys, F.inline(slots))
+        .where(F.col("replicate") <= replicates)
+        .select(
+            "replicate",
+            *keys,
+            "positives",
+            "negatives",
+            F.coalesce(F.col("steps") / F.nullif(positives, F.lit(0.0)), F.lit(0.0)).alias("average_precision"),
+            (F.col("pairs") / F.nullif(positives * negatives, F.lit(0.0))).alias("roc_auc"),
+        )
+    )
+
+
+def _replicate_hits(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (replicate, key): F1 of the given classes."""
+    hit, called = (F.col("y") == 1) & (F.col("yhat") == 1), F.col("yhat") == 1
+    sums = []
+    for j, name in enumerate(_slots()):
+        for label, condition in (("tp", hit), ("called", called), ("actual", F.col("y") == 1)):
+            sums.append(F.sum(F.when(condition, F.col(name)).otherwise(0)).alias(f"{label}{j}"))
+    summed = stacked.groupBy("block", *keys).agg(*sums)
+    slots = F.array(
+        *[
+            F.struct(
+                (F.col("block") * WIDTH + 1 + j).cast("int").alias("replicate"),
+                ratio_or_zero(F.lit(2.0) * F.col(f"tp{j}"), F.col(f"called{j}") + F.col(f"actual{j}")).alias("f1"),
+            )
+            for j in range(WIDTH)
+        ]
+    )
+    return summed.select(*keys, F.inline(slots))
 
 
 def paired_bootstrap_replicates(
@@ -102,12 +200,9 @@ def paired_bootstrap_replicates(
 
     ``weights`` gives every row an independent Poisson(1) weight, which is how often
     a draw would take it in a large table; class sizes then vary from replicate to
-    replicate. ``draws``: each class is resampled to its own size. Rows get dense indexes in hash
-    order; every row stands for one slot per replicate, whose draw points at
-    an index. Draws and rows then meet in an equi-join on (class, index),
-    whose keys are uniform, and collapse at once to one row per (replicate,
-    model, score). Catalyst broadcasts the stored rows to the draws if they are
-    small, else both sides are hashed.
+    replicate. ``draws``: each class is resampled to its own size. Either way a row carries
+    its weights in a block of replicates side by side: it is read once per block, not once
+    per replicate, and collapses to one row per (block, model, score) before it is ordered.
     """
     if method not in ("draws", "weights"):
         raise ValueError(f"unknown method: {method}")
@@ -115,22 +210,19 @@ def paired_bootstrap_replicates(
         raise ValueError(f"use at least {MIN_REPLICATES} replicates")
     sizes = require_both_classes(pair, "y", "paired bootstrap")
     if method == "weights":
-        return _differences(weighted_replicates(pair, replicates, seed), "w", rows_per_bucket)
-    indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
-    size = F.when(F.col("y") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
-    draws = spread(indexed.select("y", "idx"), "y", "idx").select(
-        "y", "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).select(
-        "y",
-        "replicate",
-        drawn_index(F.col("replicate"), F.col("y"), F.col("idx"), seed, size).alias("idx"),
-    )
-    sampled = draws.join(indexed, ["y", "idx"])
-    return _differences(stack_models(sampled, ["replicate"]), None, rows_per_bucket)
-
-
-def _differences(stacked: DataFrame, weight: str | None, rows_per_bucket: int | None) -> DataFrame:
-    measured = evaluate(stacked, ["replicate", "model"], weight=weight, rows_per_bucket=rows_per_bucket)
+        rows = weighted_replicates(pair, replicates, seed)
+    else:
+        rows = drawn_replicates(pair, sizes, replicates, seed)
+    stacked = gated(stack_models(rows, ["block", *_slots()]))
+    sums = [
+        F.sum(F.when(F.col("y") == label, F.col(name)).otherwise(0)).alias(f"{kind}{j}")
+        for j, name in enumerate(_slots())
+        for kind, label in (("pos", 1), ("neg", 0))
+    ]
+    # Hits are counted with the scores, so that rows are weighted in one pass.
+    combined = stage(stacked.groupBy("block", "model", "p", "y", "yhat").agg(*[F.sum(n).alias(n) for n in _slots()]), "replicate-scores")
+    rankings = replicate_rankings(combined.groupBy("block", "model", "p").agg(*sums), ["model"], replicates, rows_per_bucket)
+    measured = rankings.join(_replicate_hits(combined, ["model"]), ["replicate", "model"])
     return measured.groupBy("replicate").agg(
         *[
             F.sum(F.when(F.col("model") == "b", F.col(m)).otherwise(-F.col(m))).alias(m)
@@ -182,8 +274,8 @@ def cluster_bootstrap_replicates(
 
     A cluster's rows are first reduced to counts per score; a cluster still
     holding much of the table is then spread over ``salts`` tasks. The draws
-    of a cluster travel as one array of at most ``replicates`` weights.
-    One-class replicates are left out.
+    of a cluster travel as blocks of ``WIDTH`` weights side by side, so a row is read once
+    per block. One-class replicates are left out.
     """
     rows = stage(
         scored.groupBy(cluster, F.col("p").cast("double").alias("p")).agg(
@@ -198,29 +290,22 @@ def cluster_bootstrap_replicates(
     draws = spread(clusters.select("idx"), "idx").select(
         "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     ).select(
-        "replicate",
+        F.floor((F.col("replicate") - 1) / WIDTH).cast("int").alias("block"),
+        ((F.col("replicate") - 1) % WIDTH).cast("int").alias("slot"),
         drawn_index(F.col("replicate"), F.lit("c"), F.col("idx"), seed, F.lit(size)).alias("idx"),
     )
-    weights = (
-        draws.groupBy("idx", "replicate")
-        .agg(F.count(F.lit(1)).alias("w"))
-        .groupBy("idx")
-        .agg(F.collect_list(F.struct("replicate", "w")).alias("weights"))
+    counted = spread(draws, "idx").groupBy("idx", "block").agg(
+        *[F.count_if(F.col("slot") == j).alias(name) for j, name in enumerate(_slots())]
     )
-    drawn = clusters.join(weights, "idx").select(cluster, "weights")
+    blocks = counted.groupBy("idx").agg(F.collect_list(F.struct("block", *_slots())).alias("weights"))
+    drawn = clusters.join(blocks, "idx").select(cluster, "weights")
     # Skew is counted on the stored rows; only hot clusters are moved for it.
     joined = salted_join(rows, drawn, cluster, salts, min_rows=hot_rows)
-    sampled = joined.select(
-        "p", "pos", "neg", F.inline("weights")
-    )
-    none = F.lit(0).cast("bigint")
-    scores = sampled.groupBy("replicate", "p").agg(
-        F.sum(F.col("pos") * F.col("w")).alias("pos"),
-        F.sum(F.col("neg") * F.col("w")).alias("neg"),
-        F.max(none).alias("hit"),
-        F.max(none).alias("miss"),
+    sampled = joined.select("p", "pos", "neg", F.inline("weights"))
+    scores = sampled.groupBy("block", "p").agg(
+        *[F.sum(F.col(kind) * F.col(name)).alias(f"{kind}{j}") for j, name in enumerate(_slots()) for kind in ("pos", "neg")]
     )
-    measured = evaluate_scores(scores, ["replicate"], False, rows_per_bucket)
+    measured = replicate_rankings(scores, [], replicates, rows_per_bucket)
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return measured.where(both).select("replicate", "average_precision")
 

@@ -200,29 +200,6 @@ def scored_pair(df: DataFrame) -> DataFrame:
     )
 
 
-# Labelled documents as the scored set of the resampling checks.
-DOC_SCORED_SQL = """classed AS (
-  SELECT l.doc_id AS id, d.source, l.quality AS y, n_chars % 1000 / 1000.0::DOUBLE AS p,
-         n_chars % 773 / 773.0::DOUBLE AS p2,
-         CAST(n_chars % 1000 / 1000.0::DOUBLE >= 0.5 AS INTEGER) AS yhat,
-         CAST(n_chars % 773 / 773.0::DOUBLE >= 0.5 AS INTEGER) AS yhat2
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
-
-
-def doc_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    joined = table(spark, sf_dir, "labels").join(documents, "doc_id")
-    return joined.select(
-        F.col("doc_id").alias("id"),
-        "source",
-        F.col("quality").alias("y"),
-        (F.col("n_chars") % 1000 / F.lit(1000.0)).alias("p"),
-        (F.col("n_chars") % 773 / F.lit(773.0)).alias("p2"),
-    ).withColumns(
-        {"yhat": (F.col("p") >= 0.5).cast("int"), "yhat2": (F.col("p2") >= 0.5).cast("int")}
-    )
-
-
 # Training table: gaps, rare and missing categories in labelled documents.
 TRAINING_SQL = """training AS (
   SELECT l.doc_id, l.quality,

@@ -99,14 +99,14 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = stage(I.scored_pair(I.doc_scored(spark, sf_dir)), "pair")
+    pair = stage(I.scored_pair(I.scored(spark, sf_dir)), "pair")
     df = K.paired_bootstrap(pair, PAIRED_REPLICATES, 42)
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
 
 
 def paired_bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form without draws, over the same rows."""
-    pair = stage(I.scored_pair(I.doc_scored(spark, sf_dir)), "pair")
+    """The form without draws, over the same orders."""
+    pair = stage(I.scored_pair(I.scored(spark, sf_dir)), "pair")
     df = K.paired_bootstrap(pair, PAIRED_REPLICATES, 42, method="weights")
     return I.rounded(df, ["ci_lower", "ci_upper", "mean_difference", "observed_difference"], 9)
 
@@ -207,7 +207,7 @@ measured AS (SELECT *, coalesce(num / NULLIF(den, 0), 0) AS f1 FROM ranking JOIN
 long AS (UNPIVOT (SELECT replicate, model, average_precision, roc_auc, f1 FROM measured)
   ON average_precision, roc_auc, f1 INTO NAME metric VALUE v),
 diffs AS (SELECT replicate, metric, sum(CASE WHEN model = 'b' THEN v ELSE -v END) AS d FROM long GROUP BY ALL)"""
-_PAIRED = f"""{I.DOC_SCORED_SQL},
+_PAIRED = f"""{I.SCORED_SQL},
 indexed AS (
   SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat(id, '|42')), id) - 1 AS idx,
          count(*) OVER (PARTITION BY y) AS n_c FROM classed),
@@ -224,7 +224,7 @@ both_models AS (
 
 _NUMBER = "CAST(concat('0x', substr(md5(concat(r, '|', id, '|42')), 1, 13)) AS BIGINT)"
 _WEIGHT = "CASE " + " ".join(f"WHEN k < {step} THEN {w}" for w, step in enumerate(K.poisson_steps()))
-_WEIGHTED = f"""{I.DOC_SCORED_SQL},
+_WEIGHTED = f"""{I.SCORED_SQL},
 numbers AS (SELECT r AS replicate, y, p, p2, yhat, yhat2, {_NUMBER} AS k FROM classed, range(1, {PAIRED_REPLICATES + 1}) t(r)),
 taken AS (SELECT *, {_WEIGHT} ELSE {len(K.poisson_steps())} END AS w FROM numbers),
 both_models AS (
