@@ -2,16 +2,19 @@
 
 Statistics are learned from the training rows and written into
 ``SQLTransformer`` statements as literals, so the fitted pipeline consists of
-built-in stages only, runs in generated code and is saved natively.
+built-in stages only, runs in generated code and is saved natively. Categories are not
+literals: a stored dictionary gives each value its slot, and the statement joins it, so
+neither the driver nor the plan grows with the number of categories.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +24,34 @@ from stayrate.functions.cleaning import (
     category_text,
     finite_or_null,
 )
-from stayrate.operators.ordering import exact_medians
+from stayrate.operators.ordering import exact_medians, running_totals
+from stayrate.session import work_path
 
 FEATURES = "features"
 
-# A fitted encoder lists its values, so a column with more of them is refused.
-MAX_CATEGORIES = 100_000
-
 
 @dataclass(frozen=True)
 class Preprocessor:
-    """Fitted pipeline and the names of its vector's slots."""
+    """Fitted pipeline, the names of its numeric slots, and the categories' slots.
+
+    ``labels`` has ``column``, ``label`` and ``slot`` (within the column); the encoded
+    columns follow the numeric ones in the order of ``categorical``.
+    """
 
     model: PipelineModel
-    feature_names: list[str]
+    numeric_names: list[str]
+    categorical: list[str]
+    labels: DataFrame | None
+
+    @cached_property
+    def feature_names(self) -> list[str]:
+        """Name of every slot of the vector; as long as the vector, so ask where that fits."""
+        if self.labels is None:
+            return list(self.numeric_names)
+        named = {c: [] for c in self.categorical}
+        for r in self.labels.orderBy("column", "slot").collect():
+            named[r["column"]].append(f"{r['column']}={r['label']}")
+        return [*self.numeric_names, *(n for c in self.categorical for n in named[c])]
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
@@ -99,26 +116,68 @@ def learn_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in columns}
 
 
-def rare_categories(df: DataFrame, columns: Sequence[str], min_frequency: int) -> dict[str, list[str]]:
-    """Values seen fewer than ``min_frequency`` times, per column."""
-    rare = category_counts(df, columns).where(F.col("n") < min_frequency)
-    listed = rare.where(F.col("value").isNotNull()).limit(MAX_CATEGORIES + 1).collect()
-    if len(listed) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} rare values: not categories")
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in listed:
-        found[r["column"]].append(r["value"])
-    return found
+def rare_categories(df: DataFrame, columns: Sequence[str], min_frequency: int) -> DataFrame:
+    """Values seen fewer than ``min_frequency`` times: (column, value), however many."""
+    counted = category_counts(df, columns).where(F.col("value").isNotNull())
+    return counted.where(F.col("n") < min_frequency).select("column", "value")
 
 
-def pool_rare(df: DataFrame, rare: dict[str, list[str]]) -> DataFrame:
-    return df.withColumns(
-        {
-            c: F.when(F.col(c).isin(values), F.lit(INFREQUENT_CATEGORY)).otherwise(F.col(c))
-            for c, values in rare.items()
-            if values
-        }
+def pool_rare(df: DataFrame, rare: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with each rare value of ``columns`` replaced by the common rest category.
+
+    ``rare`` (column, value) is joined; Catalyst broadcasts it if it is small.
+    """
+    out = df
+    for i, c in enumerate(columns):
+        own = rare.where(F.col("column") == c).select(F.col("value").alias(f"_rare{i}"))
+        out = out.join(own, F.col(c).cast("string") == F.col(f"_rare{i}"), "left")
+        value = F.when(F.col(f"_rare{i}").isNotNull(), F.lit(INFREQUENT_CATEGORY)).otherwise(F.col(c))
+        out = out.withColumn(c, value).drop(f"_rare{i}")
+    return out
+
+
+@dataclass(frozen=True)
+class Categories:
+    """Stored dictionary of category slots: ``path`` has (column, value, slot), one row per
+    value, rare values with the slot of the rest category; ``labels`` are the slots' names
+    and ``sizes`` the number of slots of each column."""
+
+    path: str
+    labels: DataFrame
+    sizes: dict[str, int]
+
+
+def learn_categories(df: DataFrame, columns: Sequence[str], min_frequency: int | None = None) -> Categories:
+    """Slots of the values of ``columns`` in text order, rare ones pooled.
+
+    Values are counted once; their dense ranks come from range partitions, so a column may
+    have any number of them, and only its size reaches the driver.
+    """
+    spark = df.sparkSession
+    counted = category_counts(df, columns).where(F.col("value").isNotNull())
+    path = work_path(spark, "category-counts")
+    counted.write.parquet(path)
+    counted = spark.read.parquet(path)
+    is_rare = F.col("n") < (min_frequency or 0)
+    label = F.when(is_rare, F.lit(INFREQUENT_CATEGORY)).otherwise(F.col("value"))
+    distinct = counted.groupBy("column", label.alias("label")).agg(F.lit(1).cast("bigint").alias("one"))
+    ranked = running_totals(distinct, "label", ["one"], ["column"]).select(
+        "column", "label", (F.col("cum_one") - 1).alias("slot"), F.col("all_one").alias("size")
     )
+    label_path = work_path(spark, "category-labels")
+    ranked.write.parquet(label_path)
+    labels = spark.read.parquet(label_path)
+    rest = F.max(F.when(F.col("label") == INFREQUENT_CATEGORY, F.col("slot")))
+    known = {r["column"]: (r["size"], r["rest"]) for r in labels.groupBy("column").agg(F.max("size").alias("size"), rest.alias("rest")).collect()}
+    entries = labels.select("column", F.col("label").alias("value"), "slot")
+    pooled = {c: slot for c, (_, slot) in known.items() if slot is not None}
+    if min_frequency and pooled:
+        slot_of = reduce(lambda e, c: e.when(F.col("column") == c, F.lit(pooled[c])), pooled, F.when(F.lit(False), F.lit(0)))
+        rare = counted.where(is_rare & (F.col("value") != INFREQUENT_CATEGORY))
+        entries = entries.unionByName(rare.select("column", "value", slot_of.cast("bigint").alias("slot")))
+    path = work_path(spark, "categories")
+    entries.write.parquet(path)
+    return Categories(path, labels.select("column", "label", "slot"), {c: known[c][0] if c in known else 0 for c in columns})
 
 
 def _quoted(name: str) -> str:
@@ -138,6 +197,18 @@ def _statement(projections: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(projections)} FROM __THIS__")
 
 
+def _lookup(learned: Categories, columns: Sequence[str]) -> SQLTransformer:
+    """Each category's slot as ``idx_<column>``, one past the last for an unseen value."""
+    slots, joins = [], []
+    for i, c in enumerate(columns):
+        slots.append(f"CAST(coalesce(d{i}.slot, {learned.sizes[c]}) AS DOUBLE) AS {_quoted('idx_' + c)}")
+        joins.append(
+            f"LEFT JOIN (SELECT value, slot FROM parquet.`{learned.path}` WHERE `column` = {_text(c)}) d{i} "
+            f"ON t.{_quoted('cat_' + c)} = d{i}.value"
+        )
+    return SQLTransformer(statement=f"SELECT t.*, {', '.join(slots)} FROM __THIS__ t {' '.join(joins)}")
+
+
 def fit_preprocessor(
     train: DataFrame,
     numeric: Sequence[str],
@@ -155,7 +226,8 @@ def fit_preprocessor(
     dropped when ``keep_empty`` is off), optional missing flags for columns
     with gaps in ``train``, optional division by the population deviation.
     Categories: a ``__MISSING__`` category or the most frequent value, values
-    below ``min_frequency`` pooled, one-hot with unseen values all zero.
+    below ``min_frequency`` pooled, one-hot with unseen values all zero. A column without
+    training rows has no slot.
     """
     if category_fill not in ("constant", "most_frequent"):
         raise ValueError(f"unknown category_fill: {category_fill}")
@@ -185,15 +257,8 @@ def fit_preprocessor(
     filled: dict[str, Column] = {
         c: F.coalesce(F.col(c).cast("string"), F.lit(fills[c])) for c in categorical
     }
-    rare: dict[str, list[str]] = {c: [] for c in categorical}
-    if min_frequency and categorical:
-        rare = rare_categories(train.select(*[e.alias(c) for c, e in filled.items()]), categorical, min_frequency)
     for c in categorical:
-        value = f"coalesce(cast({_quoted(c)} AS STRING), {_text(fills[c])})"
-        if rare[c]:
-            pooled = ", ".join(_text(v) for v in sorted(rare[c]))
-            value = f"CASE WHEN {value} IN ({pooled}) THEN {_text(INFREQUENT_CATEGORY)} ELSE {value} END"
-        projections.append(f"{value} AS {_quoted('cat_' + c)}")
+        projections.append(f"coalesce(cast({_quoted(c)} AS STRING), {_text(fills[c])}) AS {_quoted('cat_' + c)}")
 
     stages = [_statement(projections)]
     current = stages[0].transform(train)
@@ -208,26 +273,24 @@ def fit_preprocessor(
         stages.append(scaling)
         current = scaling.transform(current)
         inputs = ["scaled_" + c for c in inputs]
+    labels = None
     if categorical:
-        indexer = StringIndexer(
-            inputCols=[f"cat_{c}" for c in categorical],
-            outputCols=[f"idx_{c}" for c in categorical],
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ).fit(current)
-        current = indexer.transform(current)
-        # "keep" adds one slot for unseen values; dropLast drops exactly that slot.
+        learned = learn_categories(train.select(*[e.alias(c) for c, e in filled.items()]), categorical, min_frequency)
+        labels, encoded = learned.labels, [c for c in categorical if learned.sizes[c]]
+        looking = _lookup(learned, encoded)
+        stages.append(looking)
+        current = looking.transform(current)
+        # The slot behind the last stands for unseen values; "keep" with dropLast drops it.
         encoder = OneHotEncoder(
-            inputCols=[f"idx_{c}" for c in categorical],
-            outputCols=[f"hot_{c}" for c in categorical],
+            inputCols=[f"idx_{c}" for c in encoded],
+            outputCols=[f"hot_{c}" for c in encoded],
+            handleInvalid="keep",
             dropLast=True,
         ).fit(current)
-        stages += [indexer, encoder]
-        inputs += [f"hot_{c}" for c in categorical]
-        for c, labels in zip(categorical, indexer.labelsArray):
-            names += [f"{c}={label}" for label in labels]
+        stages.append(encoder)
+        inputs += [f"hot_{c}" for c in encoded]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    return Preprocessor(PipelineModel(stages), names)
+    return Preprocessor(PipelineModel(stages), names, list(categorical), labels)
 
 
 def prepare_predictors(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 
 from stayrate.operators.quality import Watch
 from stayrate.session import bucket_count, create_bucketed, remove_path, replace_path, write_bucketed
 
+# A stored table that a statement reads.
+_DICTIONARY = re.compile(r"parquet\.`([^`]+)`")
+
 
 def write_parquet(
     df: DataFrame,
@@ -85,9 +90,24 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
 def save_model(
     model: PipelineModel, path: str, threshold: float, columns: Sequence[str], **extra
 ) -> None:
-    """Fitted pipeline with its threshold and feature list beside it."""
+    """Fitted pipeline with its threshold and feature list beside it.
+
+    Dictionaries that a stage joins are copied into the folder, so that the saved model
+    needs nothing else.
+    """
     spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/pipeline")
+    stages = []
+    for i, stage in enumerate(model.stages):
+        if isinstance(stage, SQLTransformer):
+            used = dict.fromkeys(_DICTIONARY.findall(stage.getStatement()))
+            statement = stage.getStatement()
+            for j, old in enumerate(used):
+                own = f"{path}/dictionary-{i}-{j}"
+                write_parquet(spark.read.parquet(old), own)
+                statement = statement.replace(f"parquet.`{old}`", f"parquet.`{own}`")
+            stage = SQLTransformer(statement=statement)
+        stages.append(stage)
+    PipelineModel(stages).write().overwrite().save(f"{path}/pipeline")
     document = {"threshold": threshold, "columns": list(columns), **extra}
     write_json_document(spark, document, f"{path}/settings")
 

@@ -76,7 +76,7 @@ def impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources seen less often than the threshold pooled into one."""
     df = I.training(spark, sf_dir).select("doc_id", *CATEGORICAL)
-    return P.pool_rare(df, P.rare_categories(df, CATEGORICAL, 20))
+    return P.pool_rare(df, P.rare_categories(df, CATEGORICAL, 20), CATEGORICAL)
 
 
 def _long_matrix(prep: P.Preprocessor, df: DataFrame, keep: str) -> DataFrame:

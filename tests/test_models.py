@@ -74,6 +74,25 @@ def test_quoted_categories(spark):
     assert matrix(prep, df)[1].tolist() == [[0, 1], [0, 1], [1, 0], [0, 1]]
 
 
+def test_more_values_than_fit_in_a_plan(spark):
+    """120,000 kept values and as many rare ones: slots by rank, none listed anywhere."""
+    df = spark.range(360_000).select("id", F.when(F.col("id") < 240_000, F.concat(F.lit("k"), F.col("id") % 120_000)).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("k"))
+    prep = P.fit_preprocessor(df, [], ["k"], min_frequency=2)
+    assert all(len(s.getStatement()) < 1000 for s in prep.model.stages if hasattr(s, "getStatement"))
+    names = prep.feature_names
+    assert len(names) == 120_001 and names[0] == "k=__infrequent__" and names[1:] == sorted(names[1:])
+    place = {n: i for i, n in enumerate(names)}
+    few = spark.createDataFrame([(1, "k7"), (2, "r300000"), (3, "new"), (4, "k119999")], "id long, k string")
+    rows = {r["id"]: r["features"] for r in prep.transform(few).select("id", "features").collect()}
+    assert all(v.size == 120_001 for v in rows.values())
+    found = {i: [int(x) for x in v.indices] for i, v in rows.items()}
+    assert found == {1: [place["k=k7"]], 2: [0], 3: [], 4: [place["k=k119999"]]}
+    rare = P.rare_categories(df, ["k"], 2)
+    assert rare.count() == 120_000
+    pooled = P.pool_rare(df, rare, ["k"])
+    assert pooled.where("k = '__infrequent__'").count() == 120_000 and pooled.count() == 360_000
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
@@ -207,6 +226,8 @@ def test_saved_pipeline_scores_the_same(spark, tmp_path):
     model = L.fit_logistic(prep.transform(df), "y")
     save_model(PipelineModel([*prep.model.stages, model]), str(tmp_path / "m"), 0.4, prep.feature_names)
     loaded, settings = load_model(str(tmp_path / "m"))
+    read = [s.getStatement() for s in loaded.stages if hasattr(s, "getStatement") and "parquet." in s.getStatement()]
+    assert len(read) == 1 and f"parquet.`{tmp_path}/m/" in read[0]  # its dictionary lies with it
     assert settings == {"threshold": 0.4, "columns": prep.feature_names}
     before = L.score(model, prep.transform(df), ["id"], "y").orderBy("id").collect()
     after = L.score(loaded, df, ["id"], "y").orderBy("id").collect()
