@@ -104,26 +104,23 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def removed_words(units: Units, codes: np.ndarray, unique: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Words that lie in a repeated unit and not in a kept occurrence of one.
+    """Words of every unit that is not the earliest of its digest.
 
-    ``codes`` tells of each of the ``unique`` digests whether it is single, earliest here
-    or found earlier in another block; ``places`` is the unique digest of each unit.
+    Only the earliest occurrence itself is spared where a later one of the same digest
+    overlaps it. ``codes`` tells of each of the ``unique`` digests whether it is single,
+    earliest here or found earlier in another block; ``places`` is the unique digest of
+    each unit.
     """
     first = np.full(len(unique), len(places), np.int64)
     np.minimum.at(first, places, np.arange(len(places)))
-    count = np.bincount(places, minlength=len(unique))
-    code = codes[places]
-    is_first = first[places] == np.arange(len(places))
-    later = (code == LATER) | ~is_first
-    kept = (code != LATER) & is_first & ((code == EARLIEST) | (count[places] > 1))
-    size = int(units.lengths.sum())
-    cover = []
-    for chosen in (later, kept):
-        change = np.zeros(size + 1, np.int64)
-        np.add.at(change, units.low[chosen], 1)
-        np.add.at(change, units.high[chosen] + 1, -1)
-        cover.append(np.cumsum(change[:-1]) > 0)
-    return cover[0] & ~cover[1]
+    here, own = codes[places] != LATER, first[places]
+    later = ~here | (own != np.arange(len(places)))
+    low = np.where(here, np.maximum(units.low, units.high[own] + 1), units.low)
+    chosen = later & (low <= units.high)
+    change = np.zeros(int(units.lengths.sum()) + 1, np.int64)
+    np.add.at(change, low[chosen], 1)
+    np.add.at(change, units.high[chosen] + 1, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def cut_out(text: bytes, removed: np.ndarray) -> tuple[str, list[dict]]:
