@@ -6,7 +6,9 @@ items are partitioned by their number of shingles, and an item keeps its ``m`` s
 shingles under a random order (a bottom-m MinHash sketch), where ``m`` is one more than
 the shingles that an item of the partition may lack. Every document that holds the wanted
 share of an item holds at least one shingle of its sketch, so looking up each shingle of
-the document finds all of them. What is found is verified on the words themselves.
+the document finds all of them. What is found is verified on the words themselves. An item
+of fewer words than a shingle is one shingle of its own length, and documents are cut at
+that length too, so it is found inside any text.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +50,8 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], size: int, containment: float):
         self.size, self.containment = size, containment
         self.items = {key: frozenset(shingles(text.split(), size)) for key, text in items}
+        self.length = {key: min(size, len(text.split())) for key, text in items}
+        self.lengths = sorted(set(self.length.values()))
         partitions: dict[int, list[tuple[int, np.ndarray]]] = {}
         for key, text in items:
             own = np.unique(shingle_hashes(hashed(text.split()), size))
@@ -79,16 +83,22 @@ class Index:
 
     def search(self, text: bytes) -> list[dict]:
         """Items of which the text holds the wanted share of shingles."""
-        found = self.candidates(shingle_hashes(word_hashes(text, plain_words), self.size))
+        words = word_hashes(text, plain_words)
+        found: set[int] = set()
+        for length in self.lengths:
+            if len(words) >= length:
+                found |= self.candidates(shingle_hashes(words, length))
         if not found:
             return []
         wanted = frozenset().union(*(self.items[k] for k in found))
+        lengths = {self.length[k] for k in found}
         held: set[bytes] = set()
         tail: list[bytes] = []
         for part in pieces(text):
             tail += plain_words(part)
-            held.update(s for s in shingles(tail, self.size) if s in wanted)
-            tail = tail[-(self.size - 1) :]
+            for length in lengths:
+                held.update(s for s in shingles(tail, length) if s in wanted)
+            tail = tail[-(self.size - 1) :] if self.size > 1 else []
         out = []
         for key in sorted(found):
             size, matched = len(self.items[key]), len(self.items[key] & held)
@@ -120,52 +130,47 @@ def item_classes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(classes.select(F.monotonically_increasing_id().alias("key"), "item_id", "n_items", "words"), "items")
 
 
-def with_found(docs: DataFrame, classes: DataFrame, text_col: str, name: str = "__found", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the item classes each text holds (item, matched, size).
-
-    Item words are sent to the executors in blocks of about ``block_bytes`` whose number
-    follows their size: the documents are scanned once for each block.
-    """
-    place = docs.columns.index(text_col)
+def item_indexes(classes: DataFrame, shingle: int, containment: float, block_bytes: int) -> Iterator[Index]:
+    """An index for each block of about ``block_bytes`` of item words, one at a time."""
     total = classes.agg(F.coalesce(F.sum(F.length("words") + 64), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
-    arrow = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "matched", "size")]))
+    for block in range(blocks):
+        rows = classes.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "words").collect()
+        yield Index(sorted((r["key"], bytes(r["words"])) for r in rows), shingle, containment)
 
-    def scan(index: Index | None, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [index.search(x) if index else [] for x in text_bytes(batch.column(place))]
-                columns = batch.columns
-                if not first:
-                    found = [a.as_py() + b for a, b in zip(columns[-1], found)]
-                    columns = columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow)], schema.names)
 
-        return run
+def found_in(index: Index, text: Column) -> Column:
+    """Item classes of the index that each text holds: (item, matched, size)."""
+    arrow = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "matched", "size")]))
 
-    out = docs
-    for block in range(max(1, blocks)):
-        own = F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))) == block
-        rows = classes.where(own).select("key", "words").collect() if blocks else []
-        index = Index(sorted((r["key"], bytes(r["words"])) for r in rows), shingle, containment)
-        out = out.mapInArrow(scan(index, block == 0), schema)
-    return out
+    @F.arrow_udf(FOUND)
+    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            yield pa.array([index.search(x) for x in text_bytes(texts)], arrow)
+
+    return search(text)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (id, item_id, n_items, matched, n_shingles, containment) at or above the share.
 
-    Words are runs of letters and digits in lower case. An item or document of under
-    ``shingle`` words has one shingle, its whole sequence. Items with the same words are
-    one class, named by its smallest id and counted in ``n_items`` (see
-    :func:`item_classes` for the members). NULL and empty texts match nothing; repeated
-    documents give repeated pairs; an empty table on either side gives no pairs.
+    Words are runs of letters and digits in lower case. An item of under ``shingle`` words
+    has one shingle, its whole sequence, and is found wherever a text holds it. Items with
+    the same words are one class, named by its smallest id and counted in ``n_items`` (see
+    :func:`item_classes` for the members). NULL and empty texts match nothing; very long
+    ones are read in pieces; repeated documents give repeated pairs; an empty table on
+    either side gives no pairs; other columns are ignored.
+
+    Items go to the executors in blocks of about ``block_bytes``; each block is a pass of
+    its own over the documents, so no more than one block is ever in memory.
     """
     classes = item_classes(items, item_id, item_text)
     small = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = with_found(small, classes, "__text", shingle=shingle, containment=containment, block_bytes=block_bytes)
-    pairs = found.select("__id", F.explode("__found").alias("f"))
+    none = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("f", FOUND.elementType)]))
+    pairs = none
+    for index in item_indexes(classes, shingle, containment, block_bytes):
+        own = small.select("__id", found_in(index, F.col("__text")).alias("found")).select("__id", F.explode("found").alias("f"))
+        pairs = own if pairs is none else stage(pairs, "pairs").unionByName(own)
     return pairs.join(classes, pairs["f.item"] == classes["key"]).select(
         F.col("__id").alias(id_col),
         F.col("item_id").alias(item_id),
@@ -176,24 +181,32 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the rows that hold the wanted share of any item's shingles."""
-    found = with_found(docs, item_classes(items, item_id, item_text), text_col, containment=containment)
-    return found.where(F.size("__found") == 0).drop("__found")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold the wanted share of any item's shingles.
+
+    NULL and empty texts stay, as do all without items; repeated rows stay or go together;
+    very long texts are read in pieces. With several blocks of items, what one block left is
+    stored and read for the next. Columns are those of ``docs``, whatever their names.
+    """
+    kept = docs
+    for i, index in enumerate(item_indexes(item_classes(items, item_id, item_text), SHINGLE, containment, block_bytes)):
+        kept = (stage(kept, "kept") if i else kept).where(F.size(found_in(index, F.col(text_col))) == 0)
+    return kept
 
 
 _WORDS = (
     "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     "'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x != '')"
 )
-_GRAMS = "unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))"
+_GRAMS = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
 PAIRS_SQL = f"""
 WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 classes AS (SELECT min(item_id) AS item_id, count(*) AS n_items, w FROM item_words WHERE len(w) > 0 GROUP BY w),
-item_grams AS (SELECT DISTINCT item_id, {_GRAMS} AS g FROM classes),
+item_grams AS (SELECT DISTINCT item_id, {_GRAMS} AS g FROM (SELECT *, least(5, len(w)) AS k FROM classes)),
+lengths AS (SELECT DISTINCT least(5, len(w)) AS k FROM classes),
 sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id),
 doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-doc_grams AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM doc_words WHERE len(w) > 0),
+doc_grams AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM doc_words, lengths WHERE len(w) >= k),
 found AS (SELECT doc_id, item_id, count(*) AS matched FROM doc_grams JOIN item_grams USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, f.item_id, n_items, matched, n AS n_shingles, matched / n::DOUBLE AS containment
 FROM found f JOIN sizes s ON f.item_id = s.item_id JOIN classes c ON f.item_id = c.item_id
