@@ -2,12 +2,14 @@
 
 Pieces are placed in decreasing length, each into the open bin that it fills best. If
 none has room, a bin is opened whose length costs least for each token it can be
-expected to hold: its piece and as much of what is still to come as fits. In the end
-every bin is cut down to the smallest permitted length that holds its contents.
+expected to hold: its piece, and then each time the longest of the pieces still to come
+that fits, so a length into which they go badly is not opened. In the end every bin is cut
+down to the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,17 +28,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
+def expected_fill(room: int, at: int, negated: Sequence[int]) -> int:
+    """What a room is filled with by the longest piece that fits, from place ``at`` on, again
+    and again. ``negated`` are the lengths in decreasing order, below zero."""
+    filled = 0
+    while room > filled:
+        at = bisect_left(negated, filled - room, at)
+        if at == len(negated) or negated[at] == 0:
+            break
+        length = -negated[at]
+        # As many of this length as there are and fit are taken at once.
+        count = min(bisect_left(negated, 1 - length, at) - at, (room - filled) // length)
+        filled += count * length
+        at += count
+    return filled
+
+
 def pack_lengths(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, bin_cost: int = BIN_COST):
     """Bin and place of each piece, and each bin's final capacity.
 
     ``lengths`` must be in decreasing order and none above the largest capacity.
     """
     sizes = sorted(capacities)
-    coming = int(sum(lengths))
+    negated = [-n for n in lengths]
     free: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]
     open_rooms, used, bins, places = 0, [], [], []
-    for length in lengths:
-        coming -= length
+    for i, length in enumerate(lengths):
         fitting = open_rooms >> length
         if fitting:
             room = length + (fitting & -fitting).bit_length() - 1
@@ -44,7 +61,10 @@ def pack_lengths(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES,
             if not free[room]:
                 open_rooms &= ~(1 << room)
         else:
-            size = min((c for c in sizes if c >= length), key=lambda c: ((c + bin_cost) / max(1, min(c, length + coming)), c))
+            size = min(
+                (c for c in sizes if c >= length),
+                key=lambda c: ((c + bin_cost) / max(1, length + expected_fill(c - length, i + 1, negated)), c),
+            )
             at, room = len(used), size
             used.append(0)
         bins.append(at)
@@ -76,12 +96,16 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "length",
 
     Pieces are dealt by a hash to shards of about ``shard_rows`` which are packed on
     their own; their number follows the number of pieces. NULL or negative lengths
-    count as 0 and take no room, but their rows are placed too; repeated rows are
-    placed one by one; an empty table gives no rows.
+    count as 0 and take no room, but their rows are placed too; repeated rows (and NULL
+    ids) are counted, numbered and placed one by one, in any shard; an empty table gives
+    no rows; other columns are ignored.
     """
     cut = pieces(lengths, id_col, length_col, max(capacities))
     shards = max(1, -(-cut.count() // shard_rows))
-    dealt = cut.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(shards)).cast("int"))
+    numbered = cut.groupBy(*cut.columns).agg(F.count("*").alias("__times"))
+    copies = numbered.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    shard = F.pmod(F.xxhash64(F.col(id_col), "piece", "length", "__copy"), F.lit(shards)).cast("int")
+    dealt = copies.select(*cut.columns, shard.alias("__shard"))
     names = [f.name for f in cut.schema.fields]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -98,5 +122,9 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "length",
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """Documents packed by their number of words and one end mark each."""
+    """Documents packed by their number of words and one end mark each.
+
+    NULL and empty texts are the end mark alone; very long ones are cut into pieces of the
+    largest capacity; repeated rows are packed one by one; other columns are ignored.
+    """
     return pack(docs.select(F.col(id_col), word_count(F.col(text_col)).alias("__words")), id_col, "__words", capacities)

@@ -9,17 +9,25 @@ import pytest
 from stayrate.llm import packing
 
 
+def slow_fill(room, coming):
+    filled = 0
+    for n in coming:  # in decreasing order: each that still fits is the longest that does
+        if 0 < n <= room - filled:
+            filled += n
+    return filled
+
+
 def slow_pack(lengths, capacities, bin_cost):
-    bins, where, coming = [], [], sum(lengths)
-    for n in lengths:
-        coming -= n
-        fits = [(b[0] - b[1], i) for i, b in enumerate(bins) if b[0] - b[1] >= n]
+    bins, where = [], []
+    for i, n in enumerate(lengths):
+        fits = [(b[0] - b[1], k) for k, b in enumerate(bins) if b[0] - b[1] >= n]
         if fits:
             room = min(fits)[0]
-            at = max((b[2], i) for i, b in enumerate(bins) if b[0] - b[1] == room)[1]
+            at = max((b[2], k) for k, b in enumerate(bins) if b[0] - b[1] == room)[1]
         else:
             size = min(
-                (c for c in sorted(capacities) if c >= n), key=lambda c: ((c + bin_cost) / max(1, min(c, n + coming)), c)
+                (c for c in sorted(capacities) if c >= n),
+                key=lambda c: ((c + bin_cost) / max(1, n + slow_fill(c - n, lengths[i + 1 :])), c),
             )
             bins.append([size, 0, 0])
             at = len(bins) - 1
@@ -29,6 +37,53 @@ def slow_pack(lengths, capacities, bin_cost):
     return where, [min(c for c in capacities if c >= b[1]) for b in bins]
 
 
+def share_filled(lengths, capacities):
+    bins, _, final = packing.pack_lengths(sorted(lengths, reverse=True), capacities)
+    return sum(lengths) / sum(final)
+
+
+def test_the_size_that_fits_the_pieces_is_opened():
+    """Pieces of 1,400 go three quarters into 4,096 and nearly fill 1,500."""
+    assert share_filled([1400] * 3000, (1500, 4096)) > 0.93
+    assert share_filled([1400] * 3000, (4096,)) < 0.69
+    assert share_filled([2000] * 100 + [90] * 100, (2048, 4096)) > 0.95
+
+
+def least_total(lengths, capacities):
+    """Smallest sum of capacities of any packing, for a few pieces."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in capacities if c >= b) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(capacities):
+                place(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_close_to_the_best_packing_of_a_few_pieces():
+    rng = random.Random(2)
+    found = best = 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 16) for _ in range(7)), reverse=True)
+        _, _, final = packing.pack_lengths(lengths, (5, 9, 16), 0)
+        own, least = sum(final), least_total(lengths, (5, 9, 16))
+        assert least <= own <= 1.5 * least
+        found, best = found + own, best + least
+    assert found <= 1.1 * best
+
+
+def test_no_more_padding_than_one_capacity_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [n for r in docs.select(packing.word_count(docs["text"]).alias("n")).collect() for n in [4096] * (r["n"] // 4096) + [r["n"] % 4096] if n]
+    assert share_filled(lengths, packing.CAPACITIES) >= share_filled(lengths, (4096,))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_lengths_equals_a_plain_search(seed):
     rng = random.Random(seed)
@@ -77,5 +132,10 @@ def test_edges_of_the_table(spark):
     got = packing.pack_documents(df).collect()
     assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 1), (0, 3), (1, 1), (2, 1), (3, 4), (3, 4)]
     assert {r["capacity"] for r in got} == {512}
+    same = spark.createDataFrame([(None, 7)] * 900 + [(5, 7)] * 900, "doc_id long, n long")
+    got = packing.pack(same, "doc_id", "n", shard_rows=300).collect()
+    assert len(got) == 1800 and len({r["bin_id"] >> 32 for r in got}) >= 5
+    long_text = spark.createDataFrame([(1, "w " * 300_000)], schema)
+    assert sum(r["length"] for r in packing.pack_documents(long_text).collect()) == 300_001
     none = spark.createDataFrame([(1, None), (2, -5)], "doc_id long, n long")
     assert sorted(r["length"] for r in packing.pack(none, "doc_id", "n").collect()) == [0, 0]
