@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayrate.llm.words import mix
-from stayrate.session import stage
+from stayrate.session import spread, stage
 
 LINKS = 16
 BUILD_BEAM = 64
@@ -201,7 +201,8 @@ def build_index(rows: DataFrame, kept_ids: int, shard_rows: int = SHARD_ROWS, li
     """One stored row per shard: dim, shard, shards, vectors, ids, heights, entry, links."""
     found = stage(nodes(rows, kept_ids), "nodes")
     sizes = found.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    dealt = found.join(sizes, "dim").withColumn("shard", F.pmod(F.col("mark"), F.col("shards")))
+    # Dealt to a fixed number of tasks: merged by their bytes, all shards would fall to one.
+    dealt = spread(found.join(sizes, "dim").withColumn("shard", F.pmod(F.col("mark"), F.col("shards"))), "dim", "shard")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("mark")
@@ -274,7 +275,7 @@ def search_index(index: DataFrame, queries: DataFrame, wanted: int, beam: int =
     id_type = queries.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("ids", T.ArrayType(id_type)), T.StructField("score", T.DoubleType())])
     keys = ["dim", "shard", "part"]
-    return asked.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(lambda q, s: run(s, q), schema)
+    return spread(asked, *keys).groupBy(*keys).cogroup(spread(own, *keys).groupBy(*keys)).applyInArrow(lambda q, s: run(s, q), schema)
 
 
 def nearest(table: DataFrame, queries: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS, links: int = LINKS, build_beam: int = BUILD_BEAM, beam: int = SEARCH_BEAM) -> DataFrame:
