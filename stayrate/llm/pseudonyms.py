@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.llm.words import unused
+
 ROUNDS = 8
 CHUNK = 20
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 144, 383  # 1900-2050 has 144 * 383 days
@@ -38,6 +40,17 @@ IBAN_LENGTHS = {
     22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN", 25: "PT",
     26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW", 31: "MT",
 }
+# Country codes of two digits, and the digits of a number behind the country
+# code where they are fewer than in general.
+TWO_DIGITS = r"^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+PHONE_DIGITS = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9),
+    "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (6, 12), "44": (9, 10), "45": (8, 8),
+    "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (6, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9),
+    "57": (10, 10), "61": (9, 9), "65": (8, 8), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10),
+    "91": (10, 10), "92": (10, 10), "351": (9, 9), "353": (8, 9), "354": (7, 7), "380": (9, 9), "420": (9, 9),
+    "421": (9, 9), "966": (9, 9), "971": (8, 9), "972": (8, 9),
+}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -259,6 +272,16 @@ def pseudonym(value: Column, key: str) -> Column:
     return result
 
 
+def _phone_fits(value: Column, digits: Column) -> Column:
+    """Whether a number is as long as its country's are, so that a longer run of digit
+    groups ends where the number does; 8 to 15 digits for any other."""
+    code = F.substring(digits, F.lit(1), F.when(digits.rlike("^[17]"), 1).when(digits.rlike(TWO_DIGITS), 2).otherwise(3))
+    bounds = F.try_element_at(F.create_map(*[x for c, b in PHONE_DIGITS.items() for x in (F.lit(c), F.array(*map(F.lit, b)))]), code)
+    rest = F.length(digits) - F.length(code)
+    national = F.coalesce(rest.between(bounds[0], bounds[1]), F.lit(True))
+    return F.length(digits).between(8, 15) & (~value.startswith("+") | national)
+
+
 def _extent(value: Column) -> Column:
     """Whether a part of a found value is an IBAN of its country's length, a phone or a card."""
     plain, digits = F.regexp_replace(value, " ", ""), _digits(value)
@@ -266,7 +289,7 @@ def _extent(value: Column) -> Column:
     body = F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))
     fits = F.coalesce(F.try_element_at(lengths, F.substring(plain, 1, 2)) == F.length(plain), F.length(plain).between(15, 34))
     iban = F.when(value.rlike(f"^(?:{PATTERNS['iban']})$") & fits, _mod97(body) == 1).otherwise(False)
-    phone = value.rlike(f"^(?:{PATTERNS['phone']})$") & F.length(digits).between(8, 15)
+    phone = value.rlike(f"^(?:{PATTERNS['phone']})$") & _phone_fits(value, digits)
     card = F.when(value.rlike(f"^(?:{PATTERNS['card']})$") & F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0)
     return iban | phone | card.otherwise(False)
 
@@ -300,11 +323,15 @@ def pieces_of(value: Column) -> Column:
 def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "pseudonym-key", found: str | None = None) -> DataFrame:
     """``docs`` with the personal values of ``text_col`` replaced, a text at a time.
 
+    A number ends where its kind does (an IBAN or phone of its country's length, a card by
+    its check digit), so equal numbers stay equal whatever stands behind them.
+
     ``found`` names an optional further column: (kind, value, pseudonym) in the order of
     the text. NULL texts stay NULL, empty ones empty; a text's length never changes but
     by a date in another width; repeated rows and clashing columns are no matter.
     """
     text = F.col(text_col)
+    at_value, at_gap, at_moved = (unused(n, docs.columns) for n in ("values", "gaps", "moved"))
     values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     gaps = F.split(text, ANY, -1)
 
@@ -315,20 +342,20 @@ def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "pseudon
         return F.struct(kind.alias("kind"), value.alias("value"), new.alias("pseudonym"))
 
     def moved_pieces(value: Column, i: Column) -> Column:
-        before = F.substring(F.get("__gaps", i), F.lit(-20), F.lit(20))
+        before = F.substring(F.get(at_gap, i), F.lit(-20), F.lit(20))
         return F.transform(F.when(before.rlike(ASSIGNED), F.array(value)).otherwise(pieces_of(value)), lambda v: moved_one(v, before))
 
-    moved = F.transform("__values", moved_pieces)
+    moved = F.transform(at_value, moved_pieces)
     shown = F.transform(
-        "__moved", lambda m: F.array_join(F.transform(m, lambda x: F.coalesce(x["pseudonym"], x["value"])), "")
+        at_moved, lambda m: F.array_join(F.transform(m, lambda x: F.coalesce(x["pseudonym"], x["value"])), "")
     )
-    rebuilt = F.concat(F.array_join(F.zip_with("__gaps", shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""))
-    out = docs.withColumn("__values", values).withColumn("__gaps", F.when(F.size("__values") > 0, gaps))
-    out = out.withColumn("__moved", F.when(F.size("__values") > 0, moved))
-    names = [F.when(F.col("__moved").isNotNull(), rebuilt).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    rebuilt = F.concat(F.array_join(F.zip_with(at_gap, shown, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""))
+    out = docs.withColumn(at_value, values).withColumn(at_gap, F.when(F.size(at_value) > 0, gaps))
+    out = out.withColumn(at_moved, F.when(F.size(at_value) > 0, moved))
+    names = [F.when(F.col(at_moved).isNotNull(), rebuilt).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if found is not None:
         none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-        names.append(F.coalesce(F.filter(F.flatten("__moved"), lambda m: m["pseudonym"].isNotNull()), none).alias(found))
+        names.append(F.coalesce(F.filter(F.flatten(at_moved), lambda m: m["pseudonym"].isNotNull()), none).alias(found))
     return out.select(*names)
 
 

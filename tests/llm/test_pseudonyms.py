@@ -206,3 +206,25 @@ def test_valid_values_inside_a_longer_match(spark):
     got = pseudonyms.pseudonymise(df, key=KEY).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == [wanted for _, wanted in cases]
     assert [r["n_replaced"] for r in got] == [1] * 8 + [0]
+
+
+def test_phones_end_where_their_country_does(spark):
+    """Equal phones stay equal whatever number stands behind them, and that one stays."""
+    rows = [(1, "call +49 30 1234 5678 12 apples"), (2, "+49 30 1234 5678, ok"), (3, "+33 1 23 45 67 89 2024"), (4, "+33 1 23 45 67 89."), (5, "+1 (017) 555-7713 42 boxes"), (6, "+1 (017) 555-7713")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(df, key=KEY).collect()}
+    for value, (a, behind), (b, end) in (
+        ("+49 30 1234 5678", (1, " 12 apples"), (2, ", ok")), ("+33 1 23 45 67 89", (3, " 2024"), (4, ".")), ("+1 (017) 555-7713", (5, " 42 boxes"), (6, ""))
+    ):
+        wanted = slow("phone", value)
+        assert new[a].removeprefix("call ") == wanted + behind and new[b] == wanted + end and wanted != value
+
+
+def test_clashing_columns_are_kept(spark):
+    """No column of the input is overwritten, and no clear value gets into one."""
+    schema = "doc_id long, text string, `values` string, __values string, gaps int, moved string, `Values.x` string"
+    df = spark.createDataFrame([(1, "mail a@b.co or 123-45-6789", "v", "w", 3, "m", "dot")], schema)
+    row = pseudonyms.with_pseudonyms(df, key=KEY, found="all").first()
+    assert row.asDict().keys() == {*df.columns, "all"}
+    assert (row["values"], row["__values"], row["gaps"], row["moved"], row["Values.x"]) == ("v", "w", 3, "m", "dot")
+    assert row["text"] == f"mail {slow('email', 'a@b.co')} or {slow('ssn', '123-45-6789')}" and len(row["all"]) == 2
