@@ -106,13 +106,15 @@ def raw_audit(
                 for n, (c, other, oc) in references.items()
             ]
         ),
+        # Tables whose id has another name are told by ``references``.
         "unknown_ids": union_all(
             [
-                keys_without(tables[n], base, id_col).agg(
+                base.sparkSession.createDataFrame([], "table_name string, unknown_ids long"),
+                *[keys_without(tables[n], base, id_col).agg(
                     F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("unknown_ids")
                 )
                 for n in tables
-                if n != population and id_cols.get(n) == id_col
+                if n != population and id_cols.get(n) == id_col],
             ]
         ),
     }

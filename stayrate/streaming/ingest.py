@@ -130,7 +130,8 @@ def ingest_stream(
         )
         query.awaitTermination()
         # Events arrive in order: with the end, every batch was told.
-        seen.ended.wait(60)
+        if not seen.ended.wait(60):
+            raise TimeoutError(f"the end of stream {seen.name} was not told: its batches are not known")
     finally:
         spark.streams.removeListener(seen)
     batches = [n for _, n in sorted(seen.rows.items()) if n]

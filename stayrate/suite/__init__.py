@@ -15,6 +15,7 @@ MODULES = (
     "model_queries",
     "storage_queries",
     "flow_queries",
+    "flow_report_queries",
 )
 
 
