@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +42,33 @@ def period_totals(
 ) -> DataFrame:
     """Distinct active days and sums per entity and period, one row per entity.
 
-    Rows are first summed per (entity, day), so counting days needs no
-    DISTINCT (which would multiply the rows once per period) and an entity
-    holding a large share of the log is spread over its days.
+    The days of a period are bits of a mask: masks are combined before the exchange like
+    the sums, so one grouping counts days without a DISTINCT and without a second exchange,
+    and an entity holding a large share of the log is one row from each task.
     """
     first, last = min(p.start for p in periods), max(p.end for p in periods)
     measures = {n: F.col(e) if isinstance(e, str) else e for n, e in sums.items()}
-    per_day = (
-        df.where(in_half_open(day, F.lit(first), F.lit(last)))
-        .select(id_col, F.to_date(day).alias("_day"), *[e.alias(n) for n, e in measures.items()])
-        .groupBy(id_col, "_day")
-        .agg(*[F.sum(n).alias(n) for n in measures])
+    days = df.where(in_half_open(day, F.lit(first), F.lit(last))).select(
+        id_col, F.to_date(day).alias("_day"), *[e.alias(n) for n, e in measures.items()]
     )
     outputs = []
     for p in periods:
+        outputs.append(active_days("_day", p).alias(f"{active_name}_{p.suffix}"))
         inside = in_half_open("_day", F.lit(p.start), F.lit(p.end))
-        outputs.append(F.count_if(inside).alias(f"{active_name}_{p.suffix}"))
         outputs.extend(F.sum(F.when(inside, F.col(n))).alias(f"{n}_{p.suffix}") for n in measures)
-    return per_day.groupBy(id_col).agg(*outputs)
+    return days.groupBy(id_col).agg(*outputs)
+
+
+def active_days(day: str, period: Period) -> Column:
+    """Aggregate: number of distinct days of the period, by masks of 64 days each."""
+    offset = F.date_diff(F.col(day), F.lit(period.start))
+    words = -(-(period.end - period.start).days // 64)
+    counts = []
+    for word in range(words):
+        inside = in_half_open(day, F.lit(period.start), F.lit(period.end)) & offset.between(64 * word, 64 * word + 63)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (offset - 64 * word).cast("int"))
+        counts.append(F.coalesce(F.bit_count(F.bit_or(F.when(inside, bit))), F.lit(0)).cast("bigint"))
+    return reduce(lambda x, y: x + y, counts, F.lit(0).cast("bigint"))
 
 
 def period_features(

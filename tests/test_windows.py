@@ -97,3 +97,24 @@ def test_outsiders_never_change_the_result(spark, limit):
     keys = spark.createDataFrame([("a",), ("b",)], "id string")
     kept = drop_outsiders(facts, keys, "id", limit=limit)
     assert rows_of(kept.join(keys, "id", "right")) == [("a", 1), ("b", 2)]
+
+
+def test_days_of_long_and_overlapping_periods(spark):
+    """Masks of several words; every day once, however many rows it has."""
+    import random
+
+    rng = random.Random(3)
+    first = date(2023, 1, 1)
+    rows = [(rng.choice("ab"), first + timedelta(days=rng.randrange(400)), 1.0) for _ in range(900)]
+    rows += [("c", first, 1.0)] * 50 + [("c", date(2023, 12, 31), 1.0)]
+    periods = (
+        Period("year", first, date(2024, 1, 1)), Period("spring", date(2023, 3, 1), date(2023, 6, 1)),
+        Period("day", date(2023, 12, 31), date(2024, 1, 1)), Period("weeks", date(2023, 1, 1), date(2023, 3, 6)),
+    )
+    totals = period_totals(spark.createDataFrame(rows, "id string, day date, v double"), "id", "day", {"v": "v"}, periods)
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    for r in totals.collect():
+        for p in periods:
+            wanted = {d for i, d, _ in rows if i == r["id"] and p.start <= d < p.end}
+            assert r[f"active_days_{p.suffix}"] == len(wanted)
