@@ -46,6 +46,7 @@ from stayrate.sources.readers import read_parquet
 from stayrate.sources.schemas import ACTIVITY_LOG
 from stayrate.sources.sinks import publish
 from stayrate.streaming.ingest import IngestTotals, ingest_batch
+from stayrate.streaming.partials import ingest_partials, totals_from_partials
 
 
 @dataclass(frozen=True)
@@ -166,6 +167,28 @@ def behaviour_features(
     )
 
 
+def ingest_activity_partials(
+    spark: SparkSession, source: str, target: str, checkpoint: str, names: CohortNames = CohortNames()
+) -> None:
+    """Monthly partials of the log files that arrived since the last run."""
+    measures = {
+        "total_secs": "total_secs",
+        "total_num_unq": "num_unq",
+        "total_song_events": row_sum("num_25", "num_50", "num_75", "num_985", "num_100"),
+    }
+    ingest_partials(
+        spark, source, target, checkpoint, ACTIVITY_LOG, lambda raw: parse_activity(raw, names.id), names.id, "log_date", measures
+    )
+
+
+def behaviour_from_partials(
+    cohort: DataFrame, partials: DataFrame, names: CohortNames = CohortNames(), periods: Sequence[Period] = MONTHS
+) -> DataFrame:
+    """:func:`behaviour_features` from stored partials: the log is not read."""
+    totals = totals_from_partials(partials, names.id, ACTIVITY_SUMS, periods)
+    return period_features(cohort, totals, names.id, periods, ACTIVITY_SUMS, "total_secs", "avg_daily_secs")
+
+
 def behaviour_flow(
     cohort: DataFrame, raw_logs: DataFrame, output: str, names: CohortNames = CohortNames(), table: str | None = None
 ) -> DataFrame:

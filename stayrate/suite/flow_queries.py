@@ -78,6 +78,19 @@ def behaviour_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rounded(df, [f"avg_daily_secs_{p.suffix}" for p in C.MONTHS], 7)
 
 
+def behaviour_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same features from monthly partials, the log arriving in two parts."""
+    path = work_path(spark, "partials")
+    logs = _logs(spark, sf_dir).select(*C.ACTIVITY_LOG.fieldNames())
+    half = F.pmod(F.xxhash64("msno", "date", "total_secs"), F.lit(2))
+    for part in (0, 1):
+        logs.where(half == part).write.mode("append").option("header", True).csv(f"{path}/log")
+        C.ingest_activity_partials(spark, f"{path}/log", f"{path}/months", f"{path}/checkpoint")
+    df = C.behaviour_from_partials(_cohort(spark, sf_dir), read_parquet(spark, f"{path}/months"))
+    df = I.rounded(df, [f"total_secs_{p.suffix}" for p in C.MONTHS], 4)
+    return I.rounded(df, [f"avg_daily_secs_{p.suffix}" for p in C.MONTHS], 7)
+
+
 def behaviour_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date report the flow returns."""
     return C.behaviour_flow(_cohort(spark, sf_dir), _logs(spark, sf_dir), work_path(spark, "flow-behaviour"))
@@ -123,6 +136,7 @@ def split_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "flow_behaviour": behaviour_flow,
+    "flow_behaviour_incremental": behaviour_incremental,
     "flow_behaviour_dates": behaviour_dates,
     "flow_transactions": transaction_flow,
     "flow_members": _profiles,
@@ -199,6 +213,7 @@ profiles AS (
 
 ORACLES = {
     "flow_behaviour": I.with_ctes(_BEHAVIOUR_SQL, select="SELECT * FROM behaviour"),
+    "flow_behaviour_incremental": I.with_ctes(_BEHAVIOUR_SQL, select="SELECT * FROM behaviour"),
     "flow_behaviour_dates": I.with_ctes(
         _LOGS_SQL,
         select="""SELECT count(*) AS total_rows, count(*) FILTER (WHERE log_date IS NULL) AS invalid_log_date,
