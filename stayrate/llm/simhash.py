@@ -169,21 +169,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(found, "fp").select(
         F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, that of the smallest id.
-
-    Of several rows with that id and fingerprint one stays. The columns are those
-    of ``docs``; a class without ids keeps one row too.
-    """
-    mark = "__fp"
-    marked = with_fingerprints(docs, text_col, mark)
-    marks = stage(marked.select(id_col, F.col(mark).alias("fp")), "marks")
-    kept = (
-        classes(marks, id_col, radius)
-        .groupBy(F.col("component_id").alias("__keep_id"), F.col("keep_fp").alias("__keep_fp"))
-        .agg(F.lit(1).alias("__one"))
-    )
-    hit = (marked[mark] == kept["__keep_fp"]) & marked[id_col].eqNullSafe(kept["__keep_id"])
-    return marked.join(kept, hit, "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)

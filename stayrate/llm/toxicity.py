@@ -17,11 +17,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayrate.llm.words import hashed, pieces, plain_words, text_bytes
+from stayrate.llm.words import hashed, pieces, plain_words, portions, text_bytes, unused
 from stayrate.session import stage
 
 MEMO_WORDS = 200_000
@@ -366,16 +367,20 @@ def calibration_groups(docs: DataFrame, single: DataFrame, model: Model, fitted:
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
-    """``docs`` with the score of each whole text (NULL as empty) in a further column."""
-    place = docs.columns.index(text_col)
+    """``docs`` with the score of each whole text (NULL as empty) in a further column.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text goes through Python.
+    """
+
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(model)
-        for batch in batches:
-            scores = score_batch(model, reader, list(text_bytes(batch.column(place))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
+        for texts in columns:
+            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+            found = [score_batch(model, reader, list(text_bytes(texts.slice(a, b - a)))) for a, b in portions(sizes)]
+            yield pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.withColumn(name, score(F.col(text_col)))
 
 
 def threshold_of(model: Model, lang: Column) -> Column:
@@ -406,7 +411,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> DataFrame:
-    """``docs`` without the rows whose score reaches their language's threshold."""
+    """``docs`` without the rows whose score reaches their language's threshold.
+
+    NULL and empty texts are scored like any other, very long ones whole; repeated rows
+    stay or go together; a NULL language takes the threshold of all rows; without labels
+    of both classes every row has the share of ones as its score. Columns are those of ``docs``, whatever their names.
+    """
     model = fit(docs, labels, id_col, text_col, lang_col, settings=settings)
-    scored = with_scores(docs, model, text_col)
-    return scored.where(F.col("__score") < threshold_of(model, F.col(lang_col))).drop("__score")
+    name = unused("score", docs.columns)
+    scored = with_scores(docs, model, text_col, name)
+    return scored.where(F.col(name) < threshold_of(model, F.col(lang_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

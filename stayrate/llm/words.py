@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,32 @@ PLAIN = bytes(
 ) + bytes(range(128, 256))
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores before it while a column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each row, NULL as empty."""
     for value in column.cast(pa.binary()):
         yield value.as_py() or b""
 
 
+def portions(sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes each, one row at least."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def words_of(data: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, A-Z in lower case."""
     return data.lower().split()

@@ -67,9 +67,6 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(df).collect()}
     assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{m:016x}" for i, m in marks.items()}
     assert {i: r["component_id"] for i, r in got.items()} == wanted
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wanted.values()))
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 4])
@@ -112,13 +109,10 @@ def test_links_connect_dense_groups_in_blocks(spark, bucket_rows):
 def test_edges_of_the_table(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
-    assert simhash.keep_one(spark.createDataFrame([], schema)).collect() == []
     rows = [(None, "same words in a row here"), (7, "same words in a row here"), (7, "same words in a row here"), (None, None), (None, "")]
     df = spark.createDataFrame(rows, schema)
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(df).collect())
     assert got == [(-1, -1), (-1, -1), (-1, 7), (7, 7), (7, 7)]
-    kept = simhash.keep_one(df).collect()
-    assert len(kept) == 2 and (7, rows[1][1]) in [tuple(r) for r in kept]
     long_text = " ".join(f"v{i % 977}" for i in range(150_000))
     got = simhash.near_duplicates(spark.createDataFrame([(1, long_text)], schema)).first()
     assert got["fingerprint"] == f"{slow_fingerprint(long_text):016x}"
