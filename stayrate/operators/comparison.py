@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.operators.draws import (
+    RANGE,
+    SCORE_SCHEMA,
+    SLOTS,
+    WIDTH,
+    add_up_draws,
+    add_up_weights,
+    drawn_places,
+    poisson_steps,
+)
 from stayrate.operators.joins import salted_join
 from stayrate.operators.metrics import evaluate, gated, ratio_or_zero
 from stayrate.operators.ordering import hash_rank, running_totals
@@ -26,8 +35,13 @@ METRICS = (
 BOOTSTRAP_METRICS = ("average_precision", "roc_auc", "f1")
 MIN_REPLICATES = 100
 MIN_CLUSTERS = 10
-# Replicates whose weights travel side by side in one row.
-WIDTH = 16
+# Blocks of replicates for which a range of rows is sent once.
+PART_BLOCKS = 8
+# Units of draws (a block of replicates for some slots) in a task that makes them.
+UNITS = 16
+# Draws in a task that counts them, two bytes each.
+TASK_DRAWS = 1 << 25
+SCORED = ["y", "p_a", "yhat_a", "p_b", "yhat_b"]
 
 
 def stack_models(pair: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -60,67 +74,57 @@ def drawn_index(replicate: Column, stratum: Column, slot: Column, seed: int, siz
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") % size
 
 
-def poisson_steps(bits: int = 52) -> list[int]:
-    """Where the weight grows by one on a scale of ``2 ** bits``: the distribution
-    function of a Poisson variable of mean 1, as far as the scale can tell."""
-    steps, total, term, k = [], 0.0, math.exp(-1), 0
-    while not steps or steps[-1] < 2**bits - 1:
-        total += term
-        k += 1
-        term /= k
-        steps.append(min(int(total * 2**bits), 2**bits - 1))
-    return steps
-
-
-def drawn_weight(replicate: Column, row: Column, seed: int) -> Column:
-    """Seeded Poisson(1) weight of one row in one replicate."""
-    text = F.concat_ws("|", replicate.cast("string"), row.cast("string"), F.lit(str(seed)))
-    number = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
-    weight = F.lit(len(poisson_steps()))
-    for k, step in reversed(list(enumerate(poisson_steps()))):
-        weight = F.when(number < step, k).otherwise(weight)
-    return weight
-
-
 def _slots() -> list[str]:
     return [f"w{j}" for j in range(WIDTH)]
 
 
-def weighted_replicates(pair: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``pair`` once per block of replicates, with the row's weight in each: block, w0, w1, ...
+def weighted_scores(pair: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Weights added up by score: block, model, p, y, yhat, w0, w1, ...
 
-    Replicate ``block * WIDTH + j + 1`` has the weights ``wj``. No draw is exchanged.
+    Replicate ``block * WIDTH + j + 1`` has the weights ``wj``. No draw is exchanged. A score
+    may come in several rows.
     """
-    blocks = -(-replicates // WIDTH)
-    first = F.col("block") * WIDTH + 1
-    rows = spread(pair, "id").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    weights = F.transform(F.sequence(first, first + WIDTH - 1), lambda r: drawn_weight(r, F.col("id"), seed))
-    # One array first, so that a weight is drawn once however often it is used.
-    drawn = rows.withColumn("w", weights)
-    return drawn.select("*", *[F.get("w", F.lit(j)).alias(name) for j, name in enumerate(_slots())]).drop("w")
+    tail = F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))
+    rows = spread(pair.withColumn("tail", tail), "tail").select("tail", *SCORED)
+    return rows.mapInArrow(add_up_weights(replicates), SCORE_SCHEMA)
 
 
-def drawn_replicates(pair: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
+def drawn_scores(pair: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
     """The same form from draws: each class is resampled to its own size.
 
     Rows get dense indexes in hash order; every row stands for one slot per replicate, whose
-    draw points at an index. Draws are counted by (class, index), whose keys are uniform,
-    side by side for a block of replicates, and meet their rows under the same partitioning.
+    draw points at an index. The draws of some slots are made together for a block of
+    replicates and packed by range of indexes. A range meets its rows, its draws are counted
+    there, and only sums by score come out. Neither side depends on the size of a class.
     """
+    spark = pair.sparkSession
     indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
-    size = F.when(F.col("y") == 1, F.lit(sizes[1])).otherwise(F.lit(sizes[0]))
-    draws = spread(indexed.select("y", "idx"), "y", "idx").select(
-        "y", "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).select(
-        "y",
-        F.floor((F.col("replicate") - 1) / WIDTH).cast("int").alias("block"),
-        ((F.col("replicate") - 1) % WIDTH).cast("int").alias("slot"),
-        drawn_index(F.col("replicate"), F.col("y"), F.col("idx"), seed, size).alias("idx"),
-    )
-    counted = spread(draws, "y", "idx").groupBy("y", "idx", "block").agg(
-        *[F.count_if(F.col("slot") == j).alias(name) for j, name in enumerate(_slots())]
+    blocks = -(-replicates // WIDTH)
+    kind = pair.schema["y"].dataType
+    labels = spark.range(1).select(*[F.lit(y).cast(kind).cast("string").alias(str(y)) for y in sizes]).first().asDict()
+    parallel, chunk = spark.sparkContext.defaultParallelism, F.floor(F.col("id") / blocks)
+    units = []
+    for y, size in sizes.items():
+        n = -(-size // SLOTS) * blocks
+        unit = spark.range(0, n, 1, min(n, max(parallel, n // UNITS)))
+        units.append(unit.select(F.lit(y).alias("y"), (F.col("id") % blocks).alias("block"), (chunk * SLOTS).alias("first")))
+    made = drawn_places(sizes, {int(y): text for y, text in labels.items()}, replicates, seed)
+    draws = units[0].unionByName(units[1]).mapInArrow(made, "y int, range long, block int, draws binary")
+    # A range's rows are sent once for some blocks, so that few large ranges make enough groups.
+    part = F.floor(F.col("block") / PART_BLOCKS).cast("int")
+    keys = ["y", "range", "part", "block"]
+    places = indexed.select(
+        F.col("y").cast("int").alias("y"),
+        F.floor(F.col("idx") / RANGE).alias("range"),
+        F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // PART_BLOCKS))).alias("part"),
+        F.lit(-1).alias("block"),
+        F.lit(None).cast("binary").alias("draws"),
+        "idx",
+        *SCORED[1:],
     )
-    return counted.join(indexed, ["y", "idx"]).drop("idx")
+    met = places.unionByName(draws.withColumn("part", part), allowMissingColumns=True)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallel, sum(sizes.values()) * replicates // TASK_DRAWS)
+    return met.repartition(tasks, *keys[:3]).sortWithinPartitions(*keys).mapInArrow(add_up_draws, SCORE_SCHEMA)
 
 
 def replicate_rankings(scores: DataFrame, keys: Sequence[str], replicates: int, rows_per_bucket: int | None = None) -> DataFrame:
@@ -200,27 +204,28 @@ def paired_bootstrap_replicates(
 
     ``weights`` gives every row an independent Poisson(1) weight, which is how often
     a draw would take it in a large table; class sizes then vary from replicate to
-    replicate. ``draws``: each class is resampled to its own size. Either way a row carries
-    its weights in a block of replicates side by side: it is read once per block, not once
-    per replicate, and collapses to one row per (block, model, score) before it is ordered.
+    replicate. ``draws``: each class is resampled to its own size. Either way the weights
+    of a block of replicates lie side by side, and rows collapse to one per (block, model,
+    score) where they are weighted, before anything else is exchanged or ordered.
     """
     if method not in ("draws", "weights"):
         raise ValueError(f"unknown method: {method}")
     if replicates < MIN_REPLICATES:
         raise ValueError(f"use at least {MIN_REPLICATES} replicates")
     sizes = require_both_classes(pair, "y", "paired bootstrap")
+    called = {c: F.coalesce(F.col(c) == 1, F.lit(False)).cast("int") for c in ("yhat_a", "yhat_b")}
+    rows = gated(gated(pair.select("id", *SCORED), "y", "p_a"), "y", "p_b").withColumns(called)
     if method == "weights":
-        rows = weighted_replicates(pair, replicates, seed)
+        weighted = weighted_scores(rows.withColumn("y", F.col("y").cast("int")), replicates, seed)
     else:
-        rows = drawn_replicates(pair, sizes, replicates, seed)
-    stacked = gated(stack_models(rows, ["block", *_slots()]))
+        weighted = drawn_scores(rows, sizes, replicates, seed)
     sums = [
         F.sum(F.when(F.col("y") == label, F.col(name)).otherwise(0)).alias(f"{kind}{j}")
         for j, name in enumerate(_slots())
         for kind, label in (("pos", 1), ("neg", 0))
     ]
     # Hits are counted with the scores, so that rows are weighted in one pass.
-    combined = stage(stacked.groupBy("block", "model", "p", "y", "yhat").agg(*[F.sum(n).alias(n) for n in _slots()]), "replicate-scores")
+    combined = stage(weighted.groupBy("block", "model", "p", "y", "yhat").agg(*[F.sum(n).alias(n) for n in _slots()]), "replicate-scores")
     rankings = replicate_rankings(combined.groupBy("block", "model", "p").agg(*sums), ["model"], replicates, rows_per_bucket)
     measured = rankings.join(_replicate_hits(combined, ["model"]), ["replicate", "model"])
     return measured.groupBy("replicate").agg(
