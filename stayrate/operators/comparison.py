@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayrate.operators.draws import (
     RANGE,
     SCORE_SCHEMA,
+    SCORED,
     SLOTS,
     WIDTH,
     add_up_draws,
@@ -37,11 +38,10 @@ MIN_REPLICATES = 100
 MIN_CLUSTERS = 10
 # Blocks of replicates for which a range of rows is sent once.
 PART_BLOCKS = 8
-# Units of draws (a block of replicates for some slots) in a task that makes them.
+# Units of draws (a block of replicates for some slots, or some blocks for a range) in a task.
 UNITS = 16
 # Draws in a task that counts them, two bytes each.
 TASK_DRAWS = 1 << 25
-SCORED = ["y", "p_a", "yhat_a", "p_b", "yhat_b"]
 
 
 def stack_models(pair: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -78,15 +78,23 @@ def _slots() -> list[str]:
     return [f"w{j}" for j in range(WIDTH)]
 
 
-def weighted_scores(pair: DataFrame, replicates: int, seed: int) -> DataFrame:
+def weighted_scores(pair: DataFrame, size: int, replicates: int, seed: int) -> DataFrame:
     """Weights added up by score: block, model, p, y, yhat, w0, w1, ...
 
     Replicate ``block * WIDTH + j + 1`` has the weights ``wj``. No draw is exchanged. A score
-    may come in several rows.
+    may come in several rows, one per range of rows it is in, however many tasks there are:
+    a unit of work is a range and some blocks, and the rows of a range are sent to each.
     """
+    conf, parallel = pair.sparkSession.conf, pair.sparkSession.sparkContext.defaultParallelism
+    ranges, parts = -(-size // RANGE), -(-replicates // (WIDTH * PART_BLOCKS))
     tail = F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))
-    rows = spread(pair.withColumn("tail", tail), "tail").select("tail", *SCORED)
-    return rows.mapInArrow(add_up_weights(replicates), SCORE_SCHEMA)
+    # With the scores, so that rows without an id are dealt as well.
+    rows = pair.select(tail.alias("tail"), *SCORED, F.pmod(F.xxhash64(tail, *SCORED), F.lit(ranges)).cast("int").alias("range"))
+    units = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tasks = min(ranges * parts, max(int(conf.get("spark.sql.shuffle.partitions")), parallel, ranges * parts // UNITS))
+    task = ((F.col("range").cast("long") * parts + F.col("part")) % tasks).cast("int")
+    dealt = units.repartitionById(tasks, task).sortWithinPartitions("range", "part")
+    return dealt.mapInArrow(add_up_weights(replicates, PART_BLOCKS), SCORE_SCHEMA)
 
 
 def drawn_scores(pair: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
@@ -216,7 +224,7 @@ def paired_bootstrap_replicates(
     called = {c: F.coalesce(F.col(c) == 1, F.lit(False)).cast("int") for c in ("yhat_a", "yhat_b")}
     rows = gated(gated(pair.select("id", *SCORED), "y", "p_a"), "y", "p_b").withColumns(called)
     if method == "weights":
-        weighted = weighted_scores(rows.withColumn("y", F.col("y").cast("int")), replicates, seed)
+        weighted = weighted_scores(rows.withColumn("y", F.col("y").cast("int")), sum(sizes.values()), replicates, seed)
     else:
         weighted = drawn_scores(rows, sizes, replicates, seed)
     sums = [

@@ -25,21 +25,24 @@ BITS = 16
 RANGE = 1 << BITS
 # Slots of a class whose draws are made together.
 SLOTS = 1 << 15
-# Texts hashed at a time, so that all operands stay in a core's cache.
-CHUNK = 1 << 14
+# Texts hashed at a time: enough that a step's call costs little beside its work.
+CHUNK = 1 << 15
 # Bytes of a text that MD5 takes in one block.
 ONE_BLOCK = 55
 SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+# The same as arrays without dimensions, which meet a column faster than numbers do.
+LEFT, RIGHT = ([np.array(abs(x - s), np.uint32) for s in SHIFTS] for x in (0, 32))
+ADDED = [np.array(x, np.uint32) for x in SINES]
 START = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
 
 
-def _leading(texts: np.ndarray, size: int) -> np.ndarray:
-    """First 52 bits of the MD5 of texts of ``size`` bytes, one padded block (16 words) a row."""
-    words = np.ascontiguousarray(texts.view("<u4").T)
-    a, b, c, d = (np.full(len(texts), x, np.uint32) for x in START)
+def _leading(words: Sequence[np.ndarray | int], bits: np.ndarray | int) -> np.ndarray:
+    """First 52 bits of the MD5 of texts of one padded block each, from its first words and the
+    length in bits; what all texts share is a number."""
+    n = next(len(w) for w in words if isinstance(w, np.ndarray))
+    a, b, c, d = (np.full(n, x, np.uint32) for x in START)
     f, t = np.empty_like(a), np.empty_like(a)
-    used = -(-(size + 1) // 4)
     for i in range(64):
         if i < 16:
             g = i
@@ -61,12 +64,13 @@ def _leading(texts: np.ndarray, size: int) -> np.ndarray:
             np.bitwise_or(f, b, out=f)
             np.bitwise_xor(f, c, out=f)
         np.add(f, a, out=f)
-        if g < used:
-            np.add(f, words[g], out=f)
-        constant = SINES[i] + (8 * size if g == 14 else 0)
-        np.add(f, np.uint32(constant & 0xFFFFFFFF), out=f)
-        np.left_shift(f, np.uint32(SHIFTS[i]), out=t)
-        np.right_shift(f, np.uint32(32 - SHIFTS[i]), out=f)
+        word = words[g] if g < len(words) else bits if g == 14 else 0
+        if isinstance(word, np.ndarray):
+            np.add(f, word, out=f)
+            word = 0
+        np.add(f, np.array((SINES[i] + word) & 0xFFFFFFFF, np.uint32) if word else ADDED[i], out=f)
+        np.left_shift(f, LEFT[i], out=t)
+        np.right_shift(f, RIGHT[i], out=f)
         np.bitwise_or(f, t, out=f)
         np.add(f, b, out=f)
         # What was a is free to take the next step's sum.
@@ -75,29 +79,40 @@ def _leading(texts: np.ndarray, size: int) -> np.ndarray:
     return (first.astype(np.int64) << 20) | (second >> np.uint32(12))
 
 
+def _tail_words(own: Sequence[bytes], sizes: np.ndarray, at: int) -> list[np.ndarray]:
+    """Words of padded blocks in which each text has ``at`` zero bytes before it."""
+    longest = int(sizes.max())
+    block = np.zeros((len(own), 4 * ((at + longest) // 4 + 1)), np.uint8)
+    # Text arrays fill up with zeros, as a block does.
+    block[:, at : at + longest] = np.array(own, f"S{max(longest, 1)}").view(np.uint8).reshape(len(own), -1)[:, :longest]
+    block[np.arange(len(own)), at + sizes] = 0x80
+    return list(np.ascontiguousarray(block.view("<u4").T))
+
+
 def numbers(prefixes: Sequence[bytes], tails: Sequence[bytes]) -> np.ndarray:
     """First 13 hex digits of the MD5 of each prefix + tail: one row per prefix."""
     found = np.empty((len(prefixes), len(tails)), np.int64)
-    sizes = np.fromiter(map(len, tails), np.int64, len(tails))
-    for length in np.unique(sizes):
-        places = np.flatnonzero(sizes == length)
-        short = length + max(map(len, prefixes)) <= ONE_BLOCK
-        for at in range(0, len(places), CHUNK):
-            part = places[at : at + CHUNK]
-            own = [tails[i] for i in part]
-            if not short:
-                for j, prefix in enumerate(prefixes):
-                    found[j, part] = [int(hashlib.md5(prefix + x).hexdigest()[:13], 16) for x in own]
-                continue
-            joined = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), length)
-            block, filled = np.zeros((len(own), 64), np.uint8), -1
-            for j, prefix in enumerate(prefixes):
-                size = len(prefix) + int(length)
-                if size != filled:
-                    block[:] = 0
-                    block[:, len(prefix) : size], block[:, size], filled = joined, 0x80, size
-                block[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
-                found[j, part] = _leading(block, size)
+    for at in range(0, len(tails), CHUNK):
+        own = tails[at : at + CHUNK]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        far = np.flatnonzero(sizes + max(map(len, prefixes)) > ONE_BLOCK).tolist()
+        short = list(own)
+        for i in far:
+            short[i] = b""
+        sizes[far] = 0
+        shared = None
+        for j, prefix in enumerate(prefixes):
+            # Prefixes of one length differ in the first words only.
+            if shared is None or shared[0] != len(prefix):
+                bits = (8 * (sizes + len(prefix))).astype(np.uint32)
+                shared = len(prefix), _tail_words(short, sizes, len(prefix)), bits if bits.min() < bits.max() else int(bits[0])
+            whole = len(prefix) // 4
+            words = [int.from_bytes(prefix[4 * i : 4 * i + 4], "little") for i in range(whole)] + shared[1][whole:]
+            if len(prefix) % 4:
+                words[whole] = words[whole] | np.uint32(int.from_bytes(prefix[4 * whole :], "little"))
+            found[j, at : at + len(own)] = _leading(words, shared[2])
+            for i in far:
+                found[j, at + i] = int(hashlib.md5(prefix + own[i]).hexdigest()[:13], 16)
     return found
 
 
@@ -131,14 +146,17 @@ def drawn_places(sizes: dict[int, int], labels: dict[int, str], replicates: int,
             for y, block, first in zip(*(column.to_pylist() for column in batch.columns)):
                 slots = range(first, min(first + SLOTS, sizes[y]))
                 tails = [f"{labels[y]}|{slot}|{seed}".encode() for slot in slots]
-                index = numbers(block_prefixes(block, replicates), tails) % sizes[y]
+                index = numbers(block_prefixes(block, replicates), tails).view(np.uint64)
+                # A quotient by one number is taken in columns, a remainder is not.
+                index -= index // np.uint64(sizes[y]) * np.uint64(sizes[y])
+                ranges = -(-sizes[y] // RANGE)
+                index = index.astype(np.uint32 if ranges * WIDTH * RANGE < 1 << 32 else np.uint64)
                 # Range, replicate and place, from the highest bits to the lowest.
-                index += (index >> BITS << BITS) * (WIDTH - 1) + (np.arange(len(index)) << BITS)[:, None]
+                index += (index >> BITS << BITS) * (WIDTH - 1) + (np.arange(len(index), dtype=index.dtype) << BITS)[:, None]
                 found = np.sort(index, axis=None)
-                ranges = -(-sizes[y] // RANGE)
-                ends = np.searchsorted(found, np.arange(ranges * WIDTH + 1) * RANGE)
+                ends = np.searchsorted(found, np.arange(ranges * WIDTH + 1, dtype=index.dtype) * RANGE)
                 counts = np.diff(ends).astype(np.uint32).reshape(ranges, WIDTH)
-                places = (found % RANGE).astype(np.uint16)
+                places = (found & (RANGE - 1)).astype(np.uint16)
                 hit = np.flatnonzero(counts.any(axis=1))
                 bounds = ends[::WIDTH]
                 packed = [counts[r].tobytes() + places[bounds[r] : bounds[r + 1]].tobytes() for r in hit]
@@ -165,23 +183,27 @@ class Scores:
             keys = [column[order] for column in (p, y, yhat)]
             new = np.ones(len(order), bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            starts = np.flatnonzero(new)
-            self.models.append((name, order, starts, [k[starts] for k in keys]))
+            place = np.empty(len(order), np.intp)
+            place[order] = np.cumsum(new) - 1
+            self.models.append((name, place, [k[new] for k in keys]))
 
-    def batch(self, block: int, weights: np.ndarray) -> pa.RecordBatch:
+    def batch(self, block: int, weights: Sequence[np.ndarray]) -> pa.RecordBatch:
         """One row per (model, p, y, yhat) with the weights of its rows, one column a replicate."""
         parts = []
-        for name, order, starts, keys in self.models:
-            sums = np.add.reduceat(weights.take(order, axis=1), starts, axis=1, dtype=np.int64)
+        doubles = [w.astype(np.float64) for w in weights]
+        for name, place, keys in self.models:
+            # Doubles hold sums of whole weights exactly.
+            sums = np.array([np.bincount(place, w, len(keys[0])) for w in doubles]).astype(np.int64)
             met = sums.any(axis=0)
             n = int(met.sum())
             p, y, yhat = (k[met] for k in keys)
-            columns = [np.full(n, block, np.int32), [name] * n, p, y, yhat, *sums[:, met]]
+            columns = [np.full(n, block, np.int32), pa.repeat(name, n), p, y, yhat, *sums[:, met]]
             types = [pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * WIDTH]
             parts.append(pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=SCORE_COLUMNS))
         return pa.concat_tables(parts).combine_chunks()
 
 
+SCORED = ["y", "p_a", "yhat_a", "p_b", "yhat_b"]
 SCORE_COLUMNS = ["block", "model", "p", "y", "yhat", *(f"w{j}" for j in range(WIDTH))]
 SCORE_SCHEMA = "block int, model string, p double, y int, yhat int, " + ", ".join(f"w{j} long" for j in range(WIDTH))
 
@@ -199,13 +221,11 @@ def add_up_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.Table:
         nonlocal held
-        places = []
-        for draws in held:
-            each = np.frombuffer(draws, np.uint32, WIDTH)
-            places.append(np.repeat(np.arange(WIDTH) * RANGE, each) + np.frombuffer(draws, np.uint16, offset=4 * WIDTH))
-        counts = np.bincount(np.concatenate(places), minlength=WIDTH * RANGE).astype(np.int32)
+        packed = [np.frombuffer(draws, np.uint16, offset=4 * WIDTH) for draws in held]
+        ends = [[0, *np.frombuffer(draws, np.uint32, WIDTH).cumsum().tolist()] for draws in held]
         held = []
-        return scores.batch(block, counts.reshape(WIDTH, RANGE)[:, :size])
+        drawn = (np.concatenate([p[e[j] : e[j + 1]] for p, e in zip(packed, ends)]) for j in range(WIDTH))
+        return scores.batch(block, [np.bincount(places, minlength=size) for places in drawn])
 
     for batch in batches:
         keys = [np.asarray(batch.column(i)) for i in range(4)]
@@ -237,30 +257,59 @@ def add_up_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted().to_batches()
 
 
-def add_up_weights(replicates: int) -> Callable:
+def poisson_weights() -> Callable:
+    """Function from 52-bit numbers to Poisson(1) weights, by the leading bits where they tell."""
+    steps, shift = np.array(poisson_steps()), 52 - BITS
+    first = np.arange(1 << BITS) << shift
+    lowest, highest = (np.searchsorted(steps, x, side="right") for x in (first, first + (1 << shift) - 1))
+    leading = np.where(lowest == highest, lowest, -1).astype(np.int8)
+
+    def weights(found: np.ndarray) -> np.ndarray:
+        taken = leading[found >> shift]
+        unclear = taken < 0
+        taken[unclear] = np.searchsorted(steps, found[unclear], side="right")
+        return taken
+
+    return weights
+
+
+def add_up_weights(replicates: int, part_blocks: int | None = None) -> Callable:
     """For ``mapInArrow`` over (tail, y, p_a, yhat_a, p_b, yhat_b): seeded Poisson(1) weights of
-    the rows, added up by score for ``RANGE`` rows at a time."""
-    steps = np.array(poisson_steps())
+    the rows, added up by score for some ``RANGE`` rows at a time.
 
-    def summed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    With ``part_blocks``, (range, part) follow and rows come in their order: a part is so many
+    blocks of replicates, and the rows of a range are added up together for it.
+    """
+    weights, blocks = poisson_weights(), -(-replicates // WIDTH)
+
+    def summed(rows: list[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         tails = [tail.encode() for tail in table["tail"].to_pylist()]
-        columns = {c: np.asarray(table[c]) for c in table.column_names if c != "tail"}
+        columns = {c: np.asarray(table[c]) for c in SCORED}
         scores = Scores(columns["y"], {m: (columns[f"p_{m}"], columns[f"yhat_{m}"]) for m in "ab"})
-        for block in range(-(-replicates // WIDTH)):
-            drawn = np.searchsorted(steps, numbers(block_prefixes(block, replicates), tails), side="right")
-            weights = np.zeros((WIDTH, len(tails)), np.int32)
-            weights[: len(drawn)] = drawn
-            yield from scores.batch(block, weights).to_batches()
+        first = part * (part_blocks or blocks)
+        for block in range(first, min(first + (part_blocks or blocks), blocks)):
+            drawn = weights(numbers(block_prefixes(block, replicates), tails))
+            # The last block may have fewer replicates.
+            yield from scores.batch(block, [*drawn, *np.zeros((WIDTH - len(drawn), len(tails)))]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[pa.RecordBatch] = []
+        owner, rows = (0, 0), []
         for batch in batches:
-            rows += [batch] if batch.num_rows else []
-            if sum(r.num_rows for r in rows) >= RANGE:
-                yield from summed(rows)
-                rows = []
+            keys = np.zeros((2, batch.num_rows), np.int64)
+            if part_blocks:
+                keys[:] = [np.asarray(batch[c]) for c in ("range", "part")]
+            ends = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip([0, *ends], ends):
+                if start == end:
+                    continue
+                group = tuple(keys[:, start].tolist())
+                if rows and (group != owner or sum(r.num_rows for r in rows) >= 2 * RANGE):
+                    yield from summed(rows, owner[1])
+                    rows = []
+                owner = group
+                rows.append(batch.slice(start, end - start))
         if rows:
-            yield from summed(rows)
+            yield from summed(rows, owner[1])
 
     return run

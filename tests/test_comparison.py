@@ -144,3 +144,47 @@ def test_comparison_table(spark, pair):
     row = table["average_precision"]
     assert row.model_a == pytest.approx(average_precision(y, a))
     assert row.difference == pytest.approx(average_precision(y, b) - average_precision(y, a))
+
+
+def test_weights_collapse_however_many_tasks(spark, pair, monkeypatch):
+    """A score comes out once per range and block, not once per task that holds some of its rows."""
+    from stayrate.operators import draws as D
+
+    counted, real = [], K.weighted_scores
+
+    def watched(*args):
+        scores = real(*args)
+        counted.append(scores.count())
+        return scores
+
+    monkeypatch.setattr(K, "weighted_scores", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = K.paired_bootstrap_replicates(pair_frame(spark, pair), 100, 42, method="weights").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    y, a, b = pair
+    keys = len({(p, c) for p, c in zip(a, y)}) + len({(p, c) for p, c in zip(b, y)})
+    assert len(got) == 100 and counted[0] <= keys * -(-100 // D.WIDTH)
+
+
+def test_weights_over_ranges_and_parts(spark, pair, monkeypatch):
+    from bisect import bisect_right
+    from collections import Counter
+
+    from stayrate.operators import draws as D
+
+    for module in (D, K):
+        monkeypatch.setattr(module, "RANGE", 25)
+    monkeypatch.setattr(K, "PART_BLOCKS", 2)
+    df, steps = pair_frame(spark, pair), D.poisson_steps()
+    total, expected = Counter(), Counter()
+    for row in K.weighted_scores(df, 60, 100, 42).collect():
+        for j in range(D.WIDTH):
+            total[row.block * D.WIDTH + j + 1, row.model, row.p, row.y, row.yhat] += row[f"w{j}"]
+    for r in df.collect():
+        for replicate in range(1, 101):
+            number = int(hashlib.md5(f"{replicate}|{r.id}|42".encode()).hexdigest()[:13], 16)
+            for m in "ab":
+                expected[replicate, m, r[f"p_{m}"], r.y, r[f"yhat_{m}"]] += bisect_right(steps, number)
+    assert {k: v for k, v in total.items() if v} == {k: v for k, v in expected.items() if v}
