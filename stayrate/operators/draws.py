@@ -142,10 +142,13 @@ def drawn_places(sizes: dict[int, int], labels: dict[int, str], replicates: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, tails = None, []
         for batch in batches:
             for y, block, first in zip(*(column.to_pylist() for column in batch.columns)):
-                slots = range(first, min(first + SLOTS, sizes[y]))
-                tails = [f"{labels[y]}|{slot}|{seed}".encode() for slot in slots]
+                # The blocks of the same slots follow each other.
+                if (y, first) != owner:
+                    owner, form = (y, first), f"{labels[y]}|%d|{seed}".encode()
+                    tails = [form % slot for slot in range(first, min(first + SLOTS, sizes[y]))]
                 index = numbers(block_prefixes(block, replicates), tails).view(np.uint64)
                 # A quotient by one number is taken in columns, a remainder is not.
                 index -= index // np.uint64(sizes[y]) * np.uint64(sizes[y])

@@ -82,3 +82,17 @@ def test_weights_are_those_of_each_row(monkeypatch):
             for m in "ab":
                 expected[replicate, m, p[m][i], y[i], yhat[m][i]] += weight
     assert added(D.add_up_weights(20)(iter(table.to_batches(max_chunksize=10)))) == {k: v for k, v in expected.items() if v}
+
+
+def test_texts_of_all_lengths_are_hashed_together(monkeypatch):
+    calls, real = [], D._leading
+
+    def counted(*args):
+        calls.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(D, "_leading", counted)
+    tails = [b"%d|42" % 10 ** (i % 9) for i in range(90)]
+    found = D.numbers([b"1|", b"20|", b"21|"], tails)
+    assert len(calls) == 3
+    assert found.tolist() == [[number(p + t.decode()) for t in tails] for p in ("1|", "20|", "21|")]
