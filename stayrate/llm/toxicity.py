@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from stayrate.llm.words import hashed, pieces, plain_words, portions, text_bytes, unused
 from stayrate.session import stage
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 GROUP_WORDS = 1 << 14
 PARTS = 4
 # Width of a score bin of the calibration, in log odds.
@@ -352,7 +352,8 @@ def calibration_groups(docs: DataFrame, single: DataFrame, model: Model, fitted:
     """Score bins by language, for :func:`thresholds`, of the labelled rows not fitted."""
     small = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), lang.alias("__lang"))
     scores = with_scores(small, model, "__text").select("__doc", "__lang", "__score")
-    known = docs.sparkSession.createDataFrame([(x,) for x in set(fitted)], "__order long").withColumn("__fitted", F.lit(True))
+    # An Arrow table is read in the JVM; rows of Python objects would start workers of their own on every executor.
+    known = docs.sparkSession.createDataFrame(pa.table({"__order": pa.array(set(fitted), pa.int64())})).withColumn("__fitted", F.lit(True))
     labelled = scores.join(single.join(F.broadcast(known), "__order", "left"), F.col("__doc") == F.col("__id"))
     inside = F.least(F.greatest("__score", F.lit(1e-13)), F.lit(1 - 1e-13))
     rows = (

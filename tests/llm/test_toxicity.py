@@ -139,3 +139,31 @@ def test_a_text_over_the_word_budget_does_not_end_the_sample(spark):
     got = toxicity.fit(df, truth, settings=settings)
     wanted = toxicity.fit(df.where("doc_id % 40 <> 0"), truth, settings=settings)
     assert got.trained and np.allclose(got.table, wanted.table)
+
+
+def test_no_rows_of_python_objects_reach_the_executors(spark, monkeypatch):
+    """They would start a second set of Python workers on each, beside those that score."""
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows of Python objects")
+
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert toxicity.fit(df, truth, settings=SMALL).trained
+
+
+def test_remembered_words_stay_few(monkeypatch):
+    model = toxicity.Model.fresh(SMALL)
+    model.trained = True
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)).encode() for i in range(200)]
+
+    def scores(reader):
+        return np.concatenate([toxicity.score_batch(model, reader, [t]) for t in texts])
+
+    reader = toxicity.Reader(model)
+    found = scores(reader)
+    assert len(reader.memo) <= 51_000 and reader.vectors.nbytes <= 4 << 20
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 1 << 30)
+    np.testing.assert_array_equal(found, scores(toxicity.Reader(model)))
