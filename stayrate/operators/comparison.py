@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.operators.draws import (
+    PACKED,
+    PACKED_SCHEMA,
     RANGE,
     SCORE_SCHEMA,
     SCORED,
     SLOTS,
+    UNIT,
     WIDTH,
-    add_up_draws,
     add_up_weights,
-    drawn_places,
+    count_draws,
+    pack_ranges,
     poisson_steps,
 )
 from stayrate.operators.joins import salted_join
@@ -38,10 +42,13 @@ MIN_REPLICATES = 100
 MIN_CLUSTERS = 10
 # Blocks of replicates for which a range of rows is sent once.
 PART_BLOCKS = 8
-# Units of draws (a block of replicates for some slots, or some blocks for a range) in a task.
+# Units of weights (some blocks of replicates for a range) in a task.
 UNITS = 16
-# Draws in a task that counts them, two bytes each.
-TASK_DRAWS = 1 << 25
+# Slots of a block whose draws a task holds, 32 bytes each, and tasks for a core.
+TASK_SLOTS = 1 << 21
+CORE_TASKS = 4
+# Ranges of packed rows in a file.
+FILE_RANGES = 8
 
 
 def stack_models(pair: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -97,42 +104,49 @@ def weighted_scores(pair: DataFrame, size: int, replicates: int, seed: int) -> D
     return dealt.mapInArrow(add_up_weights(replicates, PART_BLOCKS), SCORE_SCHEMA)
 
 
+def draw_units(spark: SparkSession, sizes: dict[int, int], blocks: int) -> DataFrame:
+    """Draws by task: the slots from ``first`` to ``stop`` of class y, in the blocks of replicates
+    from ``block`` to ``until``.
+
+    A whole class for some blocks if it is small enough, else some slots for one block; less if
+    there would be few tasks.
+    """
+    tasks, units = CORE_TASKS * spark.sparkContext.defaultParallelism, []
+    most = min(TASK_SLOTS, -(-sum(sizes.values()) * blocks // tasks))
+    for y, size in sizes.items():
+        slots = -(-size // -(-size // most) // SLOTS) * SLOTS
+        groups = -(-blocks // max(1, most // size))
+        group, n = -(-blocks // groups), groups * -(-size // slots)
+        first, block = F.floor(F.col("id") / groups) * slots, F.col("id") % groups * group
+        ends = F.least(first + slots, F.lit(size)).alias("stop"), F.least(block + group, F.lit(blocks)).alias("until")
+        units.append(spark.range(0, n, 1, n).select(F.lit(y).alias("y"), first.alias("first"), block.alias("block"), *ends))
+    return reduce(DataFrame.unionByName, units)
+
+
 def drawn_scores(pair: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
     """The same form from draws: each class is resampled to its own size.
 
     Rows get dense indexes in hash order; every row stands for one slot per replicate, whose
-    draw points at an index. The draws of some slots are made together for a block of
-    replicates and packed by range of indexes. A range meets its rows, its draws are counted
-    there, and only sums by score come out. Neither side depends on the size of a class.
+    draw points at an index. Rows are packed by range of indexes, a few bytes each. A task makes
+    the draws of some slots for some replicates, then reads the ranges of the class one by
+    one and counts its draws there; only sums by score leave it. No draw is exchanged or stored,
+    and what a task holds does not depend on the size of a class.
     """
     spark = pair.sparkSession
-    indexed = stage(hash_rank(pair, "id", seed, ["y"], name="idx").drop("id"), "bootstrap-rows")
-    blocks = -(-replicates // WIDTH)
-    kind = pair.schema["y"].dataType
+    kind, blocks, (one, other) = pair.schema["y"].dataType, -(-replicates // WIDTH), sizes
     labels = spark.range(1).select(*[F.lit(y).cast(kind).cast("string").alias(str(y)) for y in sizes]).first().asDict()
-    parallel, chunk = spark.sparkContext.defaultParallelism, F.floor(F.col("id") / blocks)
-    units = []
-    for y, size in sizes.items():
-        n = -(-size // SLOTS) * blocks
-        unit = spark.range(0, n, 1, min(n, max(parallel, n // UNITS)))
-        units.append(unit.select(F.lit(y).alias("y"), (F.col("id") % blocks).alias("block"), (chunk * SLOTS).alias("first")))
-    made = drawn_places(sizes, {int(y): text for y, text in labels.items()}, replicates, seed)
-    draws = units[0].unionByName(units[1]).mapInArrow(made, "y int, range long, block int, draws binary")
-    # A range's rows are sent once for some blocks, so that few large ranges make enough groups.
-    part = F.floor(F.col("block") / PART_BLOCKS).cast("int")
-    keys = ["y", "range", "part", "block"]
-    places = indexed.select(
-        F.col("y").cast("int").alias("y"),
-        F.floor(F.col("idx") / RANGE).alias("range"),
-        F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // PART_BLOCKS))).alias("part"),
-        F.lit(-1).alias("block"),
-        F.lit(None).cast("binary").alias("draws"),
-        "idx",
-        *SCORED[1:],
+    ranges = {y: -(-size // RANGE) for y, size in sizes.items()}
+    indexed = hash_rank(pair, "id", seed, ["y"], name="idx").select(
+        F.col("y").cast("int").alias("y"), F.floor(F.col("idx") / RANGE).alias("range"), "idx", *SCORED[1:]
     )
-    met = places.unionByName(draws.withColumn("part", part), allowMissingColumns=True)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallel, sum(sizes.values()) * replicates // TASK_DRAWS)
-    return met.repartition(tasks, *keys[:3]).sortWithinPartitions(*keys).mapInArrow(add_up_draws, SCORE_SCHEMA)
+    # Few files, as each task opens all.
+    file = (F.col("range") + F.when(F.col("y") == other, ranges[one]).otherwise(0)) / FILE_RANGES
+    dealt = indexed.repartitionById(-(-sum(ranges.values()) // FILE_RANGES), F.floor(file).cast("int"))
+    packed = stage(dealt.sortWithinPartitions("y", "range").mapInArrow(pack_ranges, PACKED_SCHEMA), "bootstrap-rows")
+    # Each task reads the packed rows by itself, so that they are not sent to it.
+    met = packed.coalesce(1).hint("shuffle_replicate_nl").join(draw_units(spark, sizes, blocks), "y")
+    counted = count_draws(sizes, {int(y): text for y, text in labels.items()}, replicates, seed)
+    return met.select("y", "range", *PACKED, *UNIT).mapInArrow(counted, SCORE_SCHEMA)
 
 
 def replicate_rankings(scores: DataFrame, keys: Sequence[str], replicates: int, rows_per_bucket: int | None = None) -> DataFrame:

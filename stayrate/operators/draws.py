@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -190,13 +190,37 @@ class Scores:
             place[order] = np.cumsum(new) - 1
             self.models.append((name, place, [k[new] for k in keys]))
 
+    @classmethod
+    def read(cls, y: int, packed: Sequence[bytes]) -> Scores:
+        """The scores of one class from what ``packed`` made of them."""
+        scores = cls.__new__(cls)
+        scores.models = []
+        for name, place, p, yhat in zip("ab", packed[::3], packed[1::3], packed[2::3]):
+            keys = [np.frombuffer(p), np.frombuffer(yhat, np.int32)]
+            place = np.frombuffer(place, np.uint16).astype(np.intp)
+            scores.models.append((name, place, [keys[0], np.full(len(keys[0]), y, np.int32), keys[1]]))
+        return scores
+
+    def packed(self) -> list[bytes]:
+        """Of each model: the place of each row among its scores, two bytes each, the scores and given classes."""
+        own = ((place.astype(np.uint16), p.astype(np.float64), yhat.astype(np.int32)) for _, place, (p, _, yhat) in self.models)
+        return [column.tobytes() for columns in own for column in columns]
+
     def batch(self, block: int, weights: Sequence[np.ndarray]) -> pa.RecordBatch:
         """One row per (model, p, y, yhat) with the weights of its rows, one column a replicate."""
-        parts = []
         doubles = [w.astype(np.float64) for w in weights]
+        # Doubles hold sums of whole weights exactly.
+        return self._added(block, lambda place, n: [np.bincount(place, w, n) for w in doubles])
+
+    def drawn(self, block: int, places: Iterable[np.ndarray]) -> pa.RecordBatch:
+        """The same from the places of the rows that each replicate draws."""
+        rows = [own.astype(np.intp) for own in places]
+        return self._added(block, lambda place, n: [np.bincount(place[own], minlength=n) for own in rows])
+
+    def _added(self, block: int, sums_of: Callable) -> pa.RecordBatch:
+        parts = []
         for name, place, keys in self.models:
-            # Doubles hold sums of whole weights exactly.
-            sums = np.array([np.bincount(place, w, len(keys[0])) for w in doubles]).astype(np.int64)
+            sums = np.array(sums_of(place, len(keys[0]))).astype(np.int64)
             met = sums.any(axis=0)
             n = int(met.sum())
             p, y, yhat = (k[met] for k in keys)
@@ -209,18 +233,96 @@ class Scores:
 SCORED = ["y", "p_a", "yhat_a", "p_b", "yhat_b"]
 SCORE_COLUMNS = ["block", "model", "p", "y", "yhat", *(f"w{j}" for j in range(WIDTH))]
 SCORE_SCHEMA = "block int, model string, p double, y int, yhat int, " + ", ".join(f"w{j} long" for j in range(WIDTH))
+PACKED = [f"{column}_{m}" for m in "ab" for column in ("places", "scores", "called")]
+PACKED_SCHEMA = "y int, range long, " + ", ".join(f"{name} binary" for name in PACKED)
+
+
+def range_scores(y: int, table: pa.Table) -> Scores:
+    """Scores of the rows (idx, p_a, yhat_a, p_b, yhat_b) of a range, by their place in it."""
+    at = np.argsort(np.asarray(table["idx"]) % RANGE)
+    columns = {c: np.asarray(table[c])[at] for c in SCORED[1:]}
+    return Scores(np.full(len(at), y, np.int32), {m: (columns[f"p_{m}"], columns[f"yhat_{m}"]) for m in "ab"})
+
+
+def pack_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over (y, range, idx, p_a, yhat_a, p_b, yhat_b), sorted by y and range:
+    one row a range with its packed scores."""
+    owner: tuple | None = None
+    rows: list[pa.RecordBatch] = []
+
+    def packed() -> pa.RecordBatch:
+        own = range_scores(owner[0], pa.Table.from_batches(rows)).packed()
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * len(PACKED)]
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([*owner, *own], kinds)], ["y", "range", *PACKED])
+
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(i)) for i in range(2)])
+        ends = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip([0, *ends], ends):
+            if start == end:
+                continue
+            group = tuple(keys[:, start].tolist())
+            if rows and group != owner:
+                yield packed()
+                rows = []
+            owner = group
+            rows.append(batch.slice(start, end - start))
+    if rows:
+        yield packed()
+
+
+def count_draws(sizes: dict[int, int], labels: dict[int, str], replicates: int, seed: int) -> Callable:
+    """For ``mapInArrow`` over (y, range, packed scores, first, stop, block, until): all ranges
+    of a class meet the draws of its slots from ``first`` to ``stop`` in these blocks.
+
+    Draws are made where they are counted and stay in their task, two bytes each.
+    """
+    made = drawn_places(sizes, labels, replicates, seed)
+
+    def drawn(y: int, first: int, stop: int, block: int, until: int) -> dict[int, list[tuple[int, bytes]]]:
+        """By range: block and draws, in the order of blocks."""
+        wanted = [(y, now, start) for start in range(first, stop, SLOTS) for now in range(block, until)]
+        found: dict[int, list[tuple[int, bytes]]] = {}
+        for out in made(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*wanted)], ["y", "block", "first"])])):
+            for place, now, draws in zip(*(out[c].to_pylist() for c in ("range", "block", "draws"))):
+                found.setdefault(place, []).append((now, draws))
+        return {place: sorted(draws, key=lambda x: x[0]) for place, draws in found.items()}
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict[tuple, dict[int, list[tuple[int, bytes]]]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                y, place, *rest = (row[c][0].as_py() for c in ("y", "range", *UNIT))
+                unit = (y, *rest)
+                if unit not in units:
+                    units[unit] = drawn(*unit)
+                blocks, draws = zip(*units[unit].pop(place)) if place in units[unit] else ((), ())
+                own = [pa.array([x] * (1 + len(blocks))) for x in (y, place, rest[0])]
+                keys = [*own, pa.array([-1, *blocks]), pa.array([None, *draws], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(k[:1] for k in keys), *row.select(PACKED).columns], [*MET, *PACKED])
+                yield pa.RecordBatch.from_arrays([k[1:] for k in keys], MET)
+        if any(units.values()):
+            raise ValueError("draws without their rows")
+
+    return lambda batches: add_up_draws(met(batches))
+
+
+MET = ["y", "range", "part", "block", "draws"]
+UNIT = ["first", "stop", "block", "until"]
 
 
 def add_up_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over (y, range, part, block, draws, idx, p_a, yhat_a, p_b, yhat_b).
+    """Over (y, range, part, block, draws) and, where block is -1, the rows of the range: idx, p_a,
+    yhat_a, p_b, yhat_b, or all packed in one.
 
-    By y, range and part, the rows of the range come first, with block -1; the draws follow by
-    block. Their places are counted, a block at a time.
+    By y, range and part, the rows of the range come first; the draws follow by block. Their
+    places are counted, a block at a time.
     """
     owner: tuple | None = None
     rows: list[pa.RecordBatch] = []
     scores: Scores | None = None
-    block, size, held = -1, 0, []
+    block, held = -1, []
 
     def counted() -> pa.Table:
         nonlocal held
@@ -228,7 +330,7 @@ def add_up_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [[0, *np.frombuffer(draws, np.uint32, WIDTH).cumsum().tolist()] for draws in held]
         held = []
         drawn = (np.concatenate([p[e[j] : e[j + 1]] for p, e in zip(packed, ends)]) for j in range(WIDTH))
-        return scores.batch(block, [np.bincount(places, minlength=size) for places in drawn])
+        return scores.drawn(block, drawn)
 
     for batch in batches:
         keys = [np.asarray(batch.column(i)) for i in range(4)]
@@ -248,12 +350,10 @@ def add_up_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if scores is None:
                 table = pa.Table.from_batches(rows)
-                place = np.asarray(table["idx"]) % RANGE
-                size = len(place)
-                at = np.argsort(place)
-                columns = {c: np.asarray(table[c])[at] for c in ("p_a", "yhat_a", "p_b", "yhat_b")}
-                y = np.full(size, owner[0], np.int32)
-                scores = Scores(y, {m: (columns[f"p_{m}"], columns[f"yhat_{m}"]) for m in "ab"})
+                if PACKED[0] in table.column_names:
+                    scores = Scores.read(owner[0], [table[c][0].as_py() for c in PACKED])
+                else:
+                    scores = range_scores(owner[0], table)
                 rows = []
             held += [draws.as_py() for draws in part.column(4)]
     if held:

@@ -188,3 +188,35 @@ def test_weights_over_ranges_and_parts(spark, pair, monkeypatch):
             for m in "ab":
                 expected[replicate, m, r[f"p_{m}"], r.y, r[f"yhat_{m}"]] += bisect_right(steps, number)
     assert {k: v for k, v in total.items() if v} == {k: v for k, v in expected.items() if v}
+
+
+def test_draws_are_not_exchanged(spark, pair, monkeypatch):
+    """What the draws of all replicates shuffle and store follows the rows and scores, not the draws."""
+    from collections import Counter
+
+    from stayrate.operators import draws as D
+
+    for module in (D, K):
+        monkeypatch.setattr(module, "RANGE", 8)
+    for module in (D, K):
+        monkeypatch.setattr(module, "SLOTS", 4)
+    monkeypatch.setattr(K, "TASK_SLOTS", 16)
+    monkeypatch.setattr(D, "BITS", 3)
+    y, a, b = pair
+    by_class = {c: sorted((i for i in range(60) if y[i] == c), key=lambda i: order_key(f"r{i}", 42)) for c in (0, 1)}
+    sizes = {c: len(rows) for c, rows in by_class.items()}
+    scores = K.drawn_scores(pair_frame(spark, pair), sizes, 40, 42)
+    # No exchange stands between the draws and their sums by score.
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    total, expected = Counter(), Counter()
+    for row in scores.collect():
+        for j in range(D.WIDTH):
+            total[row.block * D.WIDTH + j + 1, row.model, row.p, row.y, row.yhat] += row[f"w{j}"]
+    for replicate in range(1, 41):
+        for c, rows in by_class.items():
+            for slot in range(len(rows)):
+                i = rows[draw(replicate, c, slot, 42, len(rows))]
+                for m, p in (("a", a), ("b", b)):
+                    expected[replicate, m, p[i], c, int(p[i] >= 0.5)] += 1
+    assert {k: v for k, v in total.items() if v} == expected

@@ -96,3 +96,35 @@ def test_texts_of_all_lengths_are_hashed_together(monkeypatch):
     found = D.numbers([b"1|", b"20|", b"21|"], tails)
     assert len(calls) == 3
     assert found.tolist() == [[number(p + t.decode()) for t in tails] for p in ("1|", "20|", "21|")]
+
+
+def test_draws_meet_packed_ranges_in_their_task(monkeypatch):
+    """A task draws some slots for some blocks; the ranges come in any order, one row each."""
+    monkeypatch.setattr(D, "BITS", 4)
+    monkeypatch.setattr(D, "RANGE", 16)
+    monkeypatch.setattr(D, "SLOTS", 7)
+    sizes, replicates = {0: 45, 1: 70}, 40
+    data = {y: rows_of(n) for y, n in sizes.items()}
+    tables = []
+    for y, (p, yhat) in data.items():
+        scored = {f"{k}_{m}": v[m] for m in "ab" for k, v in (("p", p), ("yhat", yhat))}
+        index = np.arange(sizes[y])[::-1]
+        tables.append(pa.table({"y": np.full(sizes[y], y), "range": index // 16, "idx": index} | {c: scored[c][index] for c in D.SCORED[1:]}))
+    rows = pa.concat_tables(tables).sort_by([("y", "ascending"), ("range", "ascending")])
+    packed = [row for b in D.pack_ranges(iter(rows.to_batches(max_chunksize=9))) for row in b.to_pylist()]
+    assert [(r["y"], r["range"]) for r in packed] == [(y, i) for y, n in sizes.items() for i in range(-(-n // 16))]
+    expected = Counter()
+    for replicate in range(1, replicates + 1):
+        for y, n in sizes.items():
+            for slot in range(n):
+                i = number(f"{replicate}|{y}|{slot}|42") % n
+                for m in "ab":
+                    expected[replicate, m, data[y][0][m][i], y, data[y][1][m][i]] += 1
+    counted, batches = D.count_draws(sizes, {0: "0", 1: "1"}, replicates, 42), []
+    units = [(0, 0, 45, 0, 3), *((1, first, min(first + 28, 70), block, until) for first in (0, 28, 56) for block, until in ((0, 1), (1, 3)))]
+    for y, *unit in units:
+        met = [{**row, **dict(zip(D.UNIT, unit))} for row in reversed(packed) if row["y"] == y]
+        batches += counted(iter(pa.Table.from_pylist(met).to_batches(max_chunksize=2)))
+    assert added(batches) == expected
+    with pytest.raises(ValueError):
+        list(counted(iter(pa.Table.from_pylist(met[1:]).to_batches())))
